@@ -25,8 +25,22 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tokenmill.llm.suffix_dedup import suffix_dedup
+
+    d = suffix_dedup(table(spark, sf_dir, "documents"))
+    return d.select("doc_id", F.col("n").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")
+
+
+def op9_runlog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tokenmill.llm.runlog import substring_dedup
+
+    d = substring_dedup(table(spark, sf_dir, "documents"))
+    return d.select("doc_id", F.col("n").alias("n_words"), "n_removed", "kept_sha256")
+
+
 def queries() -> dict:
-    return {"op1_mix": op1_mix, "op2_simhash": op2_simhash}
+    return {"op1_mix": op1_mix, "op2_simhash": op2_simhash, "op5_suffix": op5_suffix, "op9_runlog": op9_runlog}
 
 
 OP1_SQL = r"""

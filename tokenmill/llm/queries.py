@@ -25,6 +25,12 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tokenmill.llm.automaton import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tokenmill.llm.suffix_dedup import suffix_dedup
 
@@ -40,7 +46,7 @@ def op9_runlog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_mix": op1_mix, "op2_simhash": op2_simhash, "op5_suffix": op5_suffix, "op9_runlog": op9_runlog}
+    return {"op1_mix": op1_mix, "op2_simhash": op2_simhash, "op3_automaton": op3_automaton, "op5_suffix": op5_suffix, "op9_runlog": op9_runlog}
 
 
 OP1_SQL = r"""
@@ -69,5 +75,26 @@ FROM p
 """
 
 
+OP3_SQL = r"""
+WITH i AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+l AS (SELECT item_id, w, least(len(w), 10) AS n FROM i WHERE len(w) > 0),
+g AS (SELECT DISTINCT item_id, n, array_to_string(w[p:p + n - 1], ' ') AS gram FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM l)),
+d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
+  FROM documents),
+o AS (
+  SELECT r, p, n, array_to_string(w[p:p + n - 1], ' ') AS gram
+  FROM (SELECT r, w, s.n, unnest(range(1, len(w) - s.n + 2)) AS p FROM d, (SELECT DISTINCT n FROM l) s)),
+m AS (SELECT r, p, o.n, item_id FROM o JOIN g ON o.n = g.n AND o.gram = g.gram),
+h AS (SELECT r, count(DISTINCT q)::BIGINT AS n_hit FROM (SELECT r, unnest(range(p, p + n)) AS q FROM m) GROUP BY r),
+k AS (SELECT r, count(*)::BIGINT AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT r, item_id FROM m) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h ON d.r = h.r LEFT JOIN k ON d.r = k.r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix": OP1_SQL}
+    return {"op1_mix": OP1_SQL, "op3_automaton": OP3_SQL}

@@ -38,6 +38,12 @@ def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.col("n").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tokenmill.llm.html_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op9_runlog(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tokenmill.llm.runlog import substring_dedup
 
@@ -45,8 +51,14 @@ def op9_runlog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.col("n").alias("n_words"), "n_removed", "kept_sha256")
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tokenmill.llm.warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict:
-    return {"op1_mix": op1_mix, "op2_simhash": op2_simhash, "op3_automaton": op3_automaton, "op5_suffix": op5_suffix, "op9_runlog": op9_runlog}
+    return {"op1_mix": op1_mix, "op2_simhash": op2_simhash, "op3_automaton": op3_automaton, "op5_suffix": op5_suffix, "op7_html": op7_html, "op9_runlog": op9_runlog, "op10_warc": op10_warc}
 
 
 OP1_SQL = r"""

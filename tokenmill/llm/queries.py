@@ -38,12 +38,24 @@ def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.col("n").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tokenmill.llm.language import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tokenmill.llm.html_text import extract
 
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tokenmill.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_runlog(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tokenmill.llm.runlog import substring_dedup
 
@@ -58,7 +70,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_mix": op1_mix, "op2_simhash": op2_simhash, "op3_automaton": op3_automaton, "op5_suffix": op5_suffix, "op7_html": op7_html, "op9_runlog": op9_runlog, "op10_warc": op10_warc}
+    found = (op1_mix, op2_simhash, op3_automaton, op5_suffix, op6_language, op7_html, op8_toxicity, op9_runlog, op10_warc)
+    return {f.__name__: f for f in found}
 
 
 OP1_SQL = r"""

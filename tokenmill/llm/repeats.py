@@ -149,15 +149,18 @@ def _run_rows(batches: Iterator[pa.RecordBatch], spec: Spec) -> Iterator[pa.Reco
         yield flush(parts)
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """``doc_id, dk, tk, text``."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("dk"), F.hash(F.col("text").cast("string")).alias("tk"), F.col("text").cast("string").alias("text"))
+def keyed(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """``doc_id, dk, tk, text, rest``; rest has the columns named in ``carry`` as JSON, or is null."""
+    rest = F.to_json(F.struct(*carry)) if carry else F.lit(None).cast("string")
+    return docs.select(rest.alias("rest"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("dk"), F.hash(F.col("text").cast("string")).alias("tk"), F.col("text").cast("string").alias("text"))
 
 
 def run_rows(docs: DataFrame, spec: Spec) -> DataFrame:
     return docs.select("dk", "tk", "text").mapInArrow(partial(_run_rows, spec=spec), RUNS)
 
 
+#: Bit of ``at`` that marks a row of the index, whose document is settled already; run lengths stay below it.
+SETTLED = 128
 MET = "kind int, h long, digest long, sub int, dk long, tk int, at long, starts array<int>"
 DUP, PIECE, INDEX = 0, 1, 2
 
@@ -167,7 +170,8 @@ def _meet(batches: Iterator[pa.RecordBatch], strict: bool, index: bool) -> Itera
 
     DUP rows have windows that an earlier document (or, if not strict, an earlier place) has.
     PIECE rows are the first run of each digest where a gram has several digests.
-    INDEX rows are the first run of each digest.
+    INDEX rows are the first run of each digest, if it isn't in the index yet.
+    Rows that carry SETTLED only serve as earlier places.
     """
     schema = pa.schema([("kind", pa.int32()), ("h", pa.int64()), ("digest", pa.int64()), ("sub", pa.int32()), ("dk", pa.int64()), ("tk", pa.int32()), ("at", pa.int64()), ("starts", pa.list_(pa.int32()))])
 
@@ -177,6 +181,7 @@ def _meet(batches: Iterator[pa.RecordBatch], strict: bool, index: bool) -> Itera
         sizes = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64) if more else np.zeros(n, np.int64)
         at = rows.column("at").to_numpy()
         counts = sizes + first
+        at = at & ~np.int64(SETTLED)
         values = np.zeros(int(counts.sum()), np.int64)
         heads = np.zeros(len(values), bool)
         if first:
@@ -184,7 +189,7 @@ def _meet(batches: Iterator[pa.RecordBatch], strict: bool, index: bool) -> Itera
             values[heads] = at >> 8
         if more:
             values[~heads] = lists.flatten().to_numpy(zero_copy_only=False)
-        cols = [pa.array(np.full(n, kind, np.int32)), rows.column("h"), rows.column("digest"), pa.array(sub[mask].astype(np.int32)), rows.column("dk"), rows.column("tk"), rows.column("at"), _lists(counts, values)]
+        cols = [pa.array(np.full(n, kind, np.int32)), rows.column("h"), rows.column("digest"), pa.array(sub[mask].astype(np.int32)), rows.column("dk"), rows.column("tk"), pa.array(at), _lists(counts, values)]
         return pa.RecordBatch.from_arrays(cols, schema=schema)
 
     held = None  # first runs of the gram's only digest so far, at the end of what has been read
@@ -194,6 +199,7 @@ def _meet(batches: Iterator[pa.RecordBatch], strict: bool, index: bool) -> Itera
         if not b.num_rows:
             continue
         h, d, dk = (b.column(i).to_numpy() for i in range(3))
+        fresh = b.column("at").to_numpy() & SETTLED == 0
         new_h = np.r_[h0 is None or h[0] != h0, h[1:] != h[:-1]]
         new_d = new_h | np.r_[d0 is None or d[0] != d0, d[1:] != d[:-1]]
         i = np.arange(len(h))
@@ -208,7 +214,7 @@ def _meet(batches: Iterator[pa.RecordBatch], strict: bool, index: bool) -> Itera
         total = np.zeros(gram[-1] + 1, np.int64)
         np.maximum.at(total, gram, ordinal)
         multi = total[gram] > 1
-        dup = ~firsts
+        dup = ~firsts & fresh
         if held is not None:
             if len(total) and gram[0] == 0 and total[0] > 1:
                 yield out(PIECE, held, np.zeros(held.num_rows, np.int64), np.ones(held.num_rows, bool), more=strict)
@@ -219,8 +225,8 @@ def _meet(batches: Iterator[pa.RecordBatch], strict: bool, index: bool) -> Itera
             yield out(DUP, b, sub, dup)
         if not strict and (m := firsts & b.column("more").is_valid().to_numpy(zero_copy_only=False)).any():
             yield out(DUP, b, sub, m, first=False)
-        if index and new_d.any():
-            yield out(INDEX, b, sub, new_d)
+        if index and (m := new_d & fresh).any():
+            yield out(INDEX, b, sub, m)
         if (m := firsts & multi).any():
             yield out(PIECE, b, sub, m, more=strict)
         if (m := firsts & ~multi & (gram == gram[-1])).any():
@@ -258,7 +264,7 @@ def digest_of(data: bytes, windows: list[tuple[int, int]], spec: Spec) -> tuple[
     return len(x), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept
 
 
-_SPLIT = "kind int, doc_id long, dk long, tk int, text string, known array<int>, h long, sub int, starts array<int>, size int, body binary, n long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+_SPLIT = "kind int, doc_id long, dk long, tk int, text string, rest string, known array<int>, h long, sub int, starts array<int>, size int, body binary, n long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
 def _split(batches: Iterator[pa.RecordBatch], spec: Spec, keep: bool) -> Iterator[pa.RecordBatch]:
@@ -270,7 +276,7 @@ def _split(batches: Iterator[pa.RecordBatch], spec: Spec, keep: bool) -> Iterato
         rows, size = [], 0
         found = b.column("found")
         for i, data in enumerate(byte_rows(b.column("text"))):
-            doc_id, dk, tk = (b.column(c)[i].as_py() for c in ("doc_id", "dk", "tk"))
+            doc_id, dk, tk, rest = (b.column(c)[i].as_py() for c in ("doc_id", "dk", "tk", "rest"))
             known, pieces = [], []
             for f in found[i].as_py() or []:
                 if f["kind"] == DUP:
@@ -279,7 +285,7 @@ def _split(batches: Iterator[pa.RecordBatch], spec: Spec, keep: bool) -> Iterato
                     pieces.append(f)
             if not pieces:
                 n, gone, spans, sha, kept = digest_of(data or b"", known, spec)
-                rows.append({"kind": 0, "doc_id": doc_id, "n": n, "n_removed": gone, "n_spans": spans, "kept_sha256": sha, "kept": kept if keep and data is not None else None})
+                rows.append({"kind": 0, "doc_id": doc_id, "rest": rest, "n": n, "n_removed": gone, "n_spans": spans, "kept_sha256": sha, "kept": kept if keep and data is not None else None})
                 size += len(kept) if keep else 100
             else:
                 x = units(data, spec) if spec.words else data
@@ -287,7 +293,7 @@ def _split(batches: Iterator[pa.RecordBatch], spec: Spec, keep: bool) -> Iterato
                     k = f["at"] & 255
                     part = x[f["at"] >> 8 : (f["at"] >> 8) + k - 1 + spec.window]
                     rows.append({"kind": 1, "dk": dk, "tk": tk, "h": f["h"], "sub": f["sub"], "starts": f["starts"], "size": k, "body": b" ".join(part) if spec.words else part})
-                rows.append({"kind": 2, "doc_id": doc_id, "dk": dk, "tk": tk, "text": data.decode(), "known": [y for w in known for y in w]})
+                rows.append({"kind": 2, "doc_id": doc_id, "dk": dk, "tk": tk, "text": data.decode(), "rest": rest, "known": [y for w in known for y in w]})
                 size += len(data) * 5
             if size > 8 << 20:
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
@@ -299,7 +305,7 @@ def _split(batches: Iterator[pa.RecordBatch], spec: Spec, keep: bool) -> Iterato
 def split(docs: DataFrame, met: DataFrame, spec: Spec, keep: bool) -> DataFrame:
     """Join settled and open runs to their documents; kind 0: results, 1: pieces, 2: documents that wait for pieces."""
     found = met.where(F.col("kind") != INDEX).groupBy("dk", "tk").agg(F.collect_set(F.struct("kind", "h", "sub", "at", "starts")).alias("found"))
-    return docs.join(found, ["dk", "tk"], "left").select("doc_id", "dk", "tk", "text", "found").mapInArrow(partial(_split, spec=spec, keep=keep), _SPLIT)
+    return docs.join(found, ["dk", "tk"], "left").select("doc_id", "dk", "tk", "text", "rest", "found").mapInArrow(partial(_split, spec=spec, keep=keep), _SPLIT)
 
 
 def _piece_windows(batches: Iterator[pa.RecordBatch], spec: Spec) -> Iterator[pa.RecordBatch]:
@@ -325,24 +331,25 @@ def hot_windows(pieces: DataFrame, spec: Spec) -> DataFrame | None:
 
 
 def _finish(batches: Iterator[pa.RecordBatch], spec: Spec, keep: bool) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "n", "n_removed", "n_spans", "kept_sha256", "kept"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+    names = RESULT_NAMES
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
     for b in batches:
         rows = []
         for i, data in enumerate(byte_rows(b.column("text"))):
             known, late = b.column("known")[i].as_py(), b.column("late")[i].as_py() or []
             windows = list(zip(known[::2], known[1::2], strict=True)) + [(s, f["size"]) for f in late for s in f["starts"]]
             *row, kept = digest_of(data, windows, spec)
-            rows.append((b.column("doc_id")[i].as_py(), *row, kept if keep else None))
+            rows.append((b.column("doc_id")[i].as_py(), b.column("rest")[i].as_py(), *row, kept if keep else None))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
-RESULT = "doc_id long, n long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+RESULT_NAMES = ["doc_id", "rest", "n", "n_removed", "n_spans", "kept_sha256", "kept"]
+RESULT = "doc_id long, rest string, n long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
 def finish(waiting: DataFrame, late: DataFrame, spec: Spec, keep: bool) -> DataFrame:
     """Results of documents that waited, with the windows (``dk, tk, starts, size``) that their pieces lose."""
     late = late.groupBy("dk", "tk").agg(F.collect_list(F.struct("starts", "size")).alias("late"))
-    return waiting.join(late, ["dk", "tk"], "left").select("doc_id", "text", "known", "late").mapInArrow(partial(_finish, spec=spec, keep=keep), RESULT)
+    return waiting.join(late, ["dk", "tk"], "left").select("doc_id", "rest", "text", "known", "late").mapInArrow(partial(_finish, spec=spec, keep=keep), RESULT)
 

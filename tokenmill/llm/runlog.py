@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenmill.llm.repeats import INDEX, Spec, finish, hot_windows, keyed, meet, run_rows, split
+from tokenmill.llm.repeats import INDEX, RESULT_NAMES, SETTLED, Spec, finish, hot_windows, keyed, meet, run_rows, split
 from tokenmill.llm.texts import table_names
 from tokenmill.scratch import drop_path, stage
 
@@ -33,19 +33,28 @@ class RunLog:
         self.spark, self.spec, self.max_runs = spark, spec, max_runs
         self.runs: list[tuple[DataFrame, str]] = []
 
-    def add(self, batch: DataFrame) -> DataFrame:
-        """Merge-join a batch (see ``repeats.keyed``) with the runs; returns its settled rows and open pieces, and keeps its run."""
-        new = run_rows(batch, self.spec)
+    def add(self, batch: DataFrame, index: bool = True) -> tuple[DataFrame, str]:
+        """Merge-join a batch (see ``repeats.keyed``) with the runs.
+
+        Returns its settled rows and open pieces and where they are written. Unless ``index``
+        is off, the batch's new stretches become the next run, sorted as the join leaves them.
+        """
+        rows = run_rows(batch, self.spec)
         for run, _ in self.runs:
-            new = new.union(run.select("h", "digest", "dk", "tk", "at", "more"))
-        met, path = stage(meet(new, self.spec.strict, index=True), "log-met", "kind")
-        index = met.where(F.col("kind") == INDEX).select("h", "digest", "dk", "tk", "at", F.when(F.size("starts") > 1, F.slice("starts", 2, 1 << 30)).alias("more"))
-        # what comes out is the first row of each stretch of all runs and the batch: older runs hold theirs already
-        fresh = index.join(batch.select("dk").distinct(), "dk", "left_semi").select(*index.columns) if self.runs else index
-        self.runs.append(stage(fresh.repartition("h").sortWithinPartitions("h", "digest", "dk"), "log-run"))
-        if len(self.runs) > self.max_runs:
-            self.compact()
-        return met.where(F.col("kind") != INDEX)
+            rows = rows.union(run.select("h", "digest", "dk", "tk", F.col("at").bitwiseOR(F.lit(SETTLED).cast("long")).alias("at"), F.col("more")))
+        met, path = stage(meet(rows, self.spec.strict, index), "log-met", "kind")
+        if index:
+            run = met.where(F.col("kind") == INDEX).select("h", "digest", "dk", "tk", "at", F.when(F.size("starts") > 1, F.slice("starts", 2, 1 << 30)).alias("more"))
+            self.runs.append((run, f"{path}/kind={INDEX}"))
+            if len(self.runs) > self.max_runs:
+                self.compact()
+        return met.where(F.col("kind") != INDEX), path
+
+    def close(self) -> None:
+        """Delete all runs."""
+        for _, path in self.runs:
+            drop_path(self.spark, path)
+        self.runs = []
 
     def compact(self) -> None:
         """Merge all runs into one with the first document of each stretch."""
@@ -53,10 +62,9 @@ class RunLog:
         for run, _ in self.runs:
             rows = run if rows is None else rows.union(run)
         first = F.min(F.struct("dk", "tk", "at", "more")).alias("r")
-        merged = rows.groupBy("h", "digest").agg(first).select("h", "digest", "r.*").sortWithinPartitions("h", "digest", "dk")
+        merged = rows.groupBy("h", "digest").agg(first).select("h", "digest", "r.*").repartition("h").sortWithinPartitions("h", "digest", "dk")
         done = stage(merged, "log-run")
-        for _, path in self.runs:
-            drop_path(self.spark, path)
+        self.close()
         self.runs = [done]
 
 
@@ -109,16 +117,22 @@ def substring_dedup(docs: DataFrame, batches: int = BATCHES, max_runs: int = MAX
     """
     table_names(docs, "doc_id", "text")
     docs = keyed(docs)
-    log, met = RunLog(docs.sparkSession, SPEC, max_runs), None
-    for batch in batches_by_id(docs, batches):
-        rows = log.add(batch)
+    # nothing arrives after the last batch here: it needs no run, and the log goes before the texts are read again
+    log, met, written = RunLog(docs.sparkSession, SPEC, max_runs), None, []
+    arriving = batches_by_id(docs, batches)
+    for k, batch in enumerate(arriving):
+        rows, path = log.add(batch, index=k + 1 < len(arriving))
+        written.append(path)
         met = rows if met is None else met.union(rows)
+    log.close()
     parts, _ = stage(split(docs, met, SPEC, keep), "log-split", "kind")
+    for path in written:
+        drop_path(docs.sparkSession, path)
     pieces = parts.where("kind = 1").select("h", "sub", "dk", "tk", "starts", "size", "body")
     late = pieces.repartition("h", "sub").sortWithinPartitions("h", "sub", "dk", "tk").mapInArrow(_verify, "dk long, tk int, starts array<int>, size int")
     hot = hot_windows(pieces, SPEC)
     late = late if hot is None else late.union(hot)
-    done = parts.where("kind = 0").select("doc_id", "n", "n_removed", "n_spans", "kept_sha256", "kept")
-    all_rows = done.union(finish(parts.where("kind = 2").select("doc_id", "dk", "tk", "text", "known"), late, SPEC, keep))
+    done = parts.where("kind = 0").select(*RESULT_NAMES)
+    all_rows = done.union(finish(parts.where("kind = 2").select("doc_id", "dk", "tk", "text", "rest", "known"), late, SPEC, keep))
     return all_rows.select("doc_id", "n", "n_removed", "kept_sha256", "kept")
 

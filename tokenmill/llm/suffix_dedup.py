@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenmill.llm.repeats import Spec, finish, hot_windows, keyed, meet, run_rows, split
+from tokenmill.llm.repeats import RESULT_NAMES, Spec, finish, hot_windows, keyed, meet, run_rows, split
 from tokenmill.llm.texts import table_names
 from tokenmill.scratch import drop_path, stage
 
@@ -198,18 +198,18 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(dk[piece[i]]), pa.array(tk[piece[i]]), starts, pa.array(count.astype(np.int32))], ["dk", "tk", "starts", "size"])
 
 
-def suffix_dedup(docs: DataFrame, keep: bool = False) -> DataFrame:
-    """``doc_id, n, n_removed, n_spans, kept_sha256, kept``, one row for each row of ``docs``.
+def suffix_dedup(docs: DataFrame, keep: bool = False, carry: list[str] | None = None) -> DataFrame:
+    """``doc_id, rest, n, n_removed, n_spans, kept_sha256, kept``, one row for each row of ``docs``.
 
     Texts are UTF-8 bytes (null: empty). A byte goes if a 100-byte string that covers it also
     starts earlier: in a smaller doc_id, or earlier in the same document; strings are judged on
     the input. ``kept`` has the remaining bytes if ``keep`` is set (null for a null text), else
     null. Rows with a null doc_id come after all others; rows that share a doc_id are ordered by
     a hash of their text, and rows that repeat both are one document and get one result each.
-    Empty and short texts lose nothing, an empty table gives no rows, and further columns are ignored.
+    Empty and short texts lose nothing, an empty table gives no rows, and further columns are ignored, but for those named in ``carry``: ``rest`` has them as JSON.
     """
     table_names(docs, "doc_id", "text")
-    docs = keyed(docs)
+    docs = keyed(docs, carry)
     met, met_path = stage(meet(run_rows(docs, SPEC), SPEC.strict), "sa-met")
     parts, _ = stage(split(docs, met, SPEC, keep), "sa-split", "kind")
     drop_path(docs.sparkSession, met_path)
@@ -218,5 +218,27 @@ def suffix_dedup(docs: DataFrame, keep: bool = False) -> DataFrame:
     late = sorted_pieces.mapInArrow(_resolve, "dk long, tk int, starts array<int>, size int")
     hot = hot_windows(pieces, SPEC)
     late = late if hot is None else late.union(hot)
-    done = parts.where("kind = 0").select("doc_id", "n", "n_removed", "n_spans", "kept_sha256", "kept")
-    return done.union(finish(parts.where("kind = 2").select("doc_id", "dk", "tk", "text", "known"), late, SPEC, keep))
+    done = parts.where("kind = 0").select(*RESULT_NAMES)
+    return done.union(finish(parts.where("kind = 2").select("doc_id", "dk", "tk", "text", "rest", "known"), late, SPEC, keep))
+
+
+def remove_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` with repeated bytes cut from their texts; a character that is cut in part goes whole.
+
+    A text that loses bytes and has no word left goes with its row. Other columns pass through.
+    """
+    carry = [c for c in docs.columns if c not in ("doc_id", "text")]
+    kinds = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes if n in carry)
+    found = suffix_dedup(docs, keep=True, carry=carry or None)
+    found = found.mapInArrow(_decoded, "doc_id long, rest string, text string, lost boolean")
+    found = found.where(~F.col("lost") | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    if carry:
+        found = found.withColumn("rest", F.from_json("rest", kinds))
+    return found.select(*[F.col(c) if c in ("doc_id", "text") else F.col("rest")[c].alias(c) for c in docs.columns])
+
+
+def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        texts = [x.as_py().decode("utf-8", "ignore") if x.is_valid else None for x in b.column("kept")]
+        lost = [n > 0 for n in b.column("n_removed").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("rest"), pa.array(texts, pa.string()), pa.array(lost)], ["doc_id", "rest", "text", "lost"])

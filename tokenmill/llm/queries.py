@@ -31,6 +31,12 @@ def op3_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tokenmill.llm.vectors import search
+
+    return search(table(spark, sf_dir, "embeddings"))
+
+
 def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tokenmill.llm.suffix_dedup import suffix_dedup
 
@@ -70,7 +76,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (op1_mix, op2_simhash, op3_automaton, op5_suffix, op6_language, op7_html, op8_toxicity, op9_runlog, op10_warc)
+    found = (op1_mix, op2_simhash, op3_automaton, op4_vectors, op5_suffix, op6_language, op7_html, op8_toxicity, op9_runlog, op10_warc)
     return {f.__name__: f for f in found}
 
 

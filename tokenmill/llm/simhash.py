@@ -18,7 +18,7 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokenmill.llm.texts import byte_rows, table_names, word_blocks
@@ -236,3 +236,17 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, m
     firsts = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     of = classes.join(firsts, "root").select("fp", "component_id")
     return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_firsts(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, max_bits: int = MAX_BITS) -> DataFrame:
+    """``docs`` with one document of each class, that of the smallest doc_id.
+
+    Rows that repeat doc_id and text are one document and leave one row. Rows without a doc_id
+    can't stand for a class and stay. Other columns pass through unchanged.
+    """
+    found = near_duplicates(docs.select("doc_id", "text"), shingle, seed, max_bits)
+    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
+    kept = docs.join(stay, F.col("doc_id") == F.col("__id"), "left_semi")
+    once = Window.partitionBy("doc_id", F.sha2("text", 256)).orderBy(F.lit(1))
+    kept = kept.withColumn("__n", F.row_number().over(once)).where("__n = 1").drop("__n")
+    return kept.unionByName(docs.where("doc_id is null"))

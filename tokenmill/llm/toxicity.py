@@ -32,6 +32,8 @@ TOXIC_WORDS = 2_000
 MIN_CONTEXTS, MIN_RATIO, MIN_ODDS = 4, 25.0, 2.0
 WINDOW = 8
 LEVEL = 12
+#: Name of the score's column, unlike any that documents have.
+SCORE = "__toxicity"
 
 
 def _words(text: bytes) -> list[bytes]:
@@ -69,7 +71,7 @@ class Model:
         self.ordinary = b" " + b"  ".join(ordinary) + b" "
         self.toxic = b" " + b"  ".join(toxic) + b" " if toxic else b""
         self.weights = np.zeros(6)
-        self.weights[0] = -50.0
+        self.weights[0] = -1e4
 
     def __getstate__(self):
         return {"ordinary": self.ordinary, "toxic": self.toxic, "weights": self.weights}
@@ -167,14 +169,14 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     for b in batches:
         s = [model.value.score(model.value.features(x)) for x in byte_rows(b.column("text"))]
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], [*b.schema.names, "toxicity"])
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], [*b.schema.names, SCORE])
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with a column ``toxicity`` from 0 to 1; texts are scored whole, one in memory at a time."""
+    """``docs`` with a column SCORE from 0 to 1; texts are scored whole, one in memory at a time."""
     kinds = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(partial(_score, model=shared), f"{kinds}, toxicity double")
+    return docs.mapInArrow(partial(_score, model=shared), f"{kinds}, {SCORE} double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -189,4 +191,9 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     table_names(labels, "doc_id", "toxic")
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     s = scored(d, train(docs, labels)).drop("text")
-    return s.select("doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
+    return s.select("doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), F.col(SCORE).alias("score"), (F.col(SCORE) >= 0.5).cast("int").alias("predicted"))
+
+
+def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """``docs`` without the rows whose score reaches the threshold; the model is trained on ``docs`` and ``labels``."""
+    return scored(docs, train(docs, labels)).where(F.col(SCORE) < threshold).drop(SCORE)

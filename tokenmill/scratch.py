@@ -62,14 +62,16 @@ def free_shuffles(spark: SparkSession) -> None:
 
 
 def stage(df: DataFrame, label: str, partition_by: str | None = None) -> tuple[DataFrame, str]:
-    """Write a step as Parquet and read it back; returns the table and its path."""
+    """Write a step as Parquet and read it back; returns the table and its path.
+
+    What earlier steps shuffled is freed first: their plans are unreachable by now.
+    """
     spark = df.sparkSession
+    free_shuffles(spark)
     path = new_path(spark, label)
     w = df.write.option("compression", "zstd")
     if partition_by:
         w = w.partitionBy(partition_by)
     w.parquet(path)
     schema = df.schema
-    del df, w
-    free_shuffles(spark)
     return spark.read.schema(schema).parquet(path), path

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokenmill.llm.texts import byte_rows, word_blocks
+from tokenmill.scratch import free_shuffles
 
 LAST = (1 << 63) - 1
 #: Runs of different digests of one gram that one task compares; more meet window by window.
@@ -351,5 +352,6 @@ RESULT = "doc_id long, rest string, n long, n_removed long, n_spans long, kept_s
 def finish(waiting: DataFrame, late: DataFrame, spec: Spec, keep: bool) -> DataFrame:
     """Results of documents that waited, with the windows (``dk, tk, starts, size``) that their pieces lose."""
     late = late.groupBy("dk", "tk").agg(F.collect_list(F.struct("starts", "size")).alias("late"))
+    free_shuffles(waiting.sparkSession)
     return waiting.join(late, ["dk", "tk"], "left").select("doc_id", "rest", "text", "known", "late").mapInArrow(partial(_finish, spec=spec, keep=keep), RESULT)
 

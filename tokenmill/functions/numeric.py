@@ -12,17 +12,21 @@ def _sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
 
+def _let(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once; inside a lambda, Spark would compute it for every element."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def softmax(logits: Column) -> Column:
     """Of an array, shifted by its maximum."""
-    top = F.array_max(logits)
-    e = F.transform(logits, lambda x: F.exp(x.cast("double") - top.cast("double")))
-    return F.transform(e, lambda x: x / _sum(e))
+    shifted = lambda top: F.transform(logits, lambda x: F.exp(x.cast("double") - top))
+    return _let(F.array_max(logits).cast("double"), lambda top: _let(shifted(top), lambda e: _let(_sum(e), lambda s: F.transform(e, lambda x: x / s))))
 
 
 def cross_entropy(logits: Column, target: Column) -> Column:
     """-log of the softmax at a 0-based target, without dividing small numbers."""
-    top = F.array_max(logits).cast("double")
-    return F.log(_sum(F.transform(logits, lambda x: F.exp(x.cast("double") - top)))) + top - F.get(logits, target).cast("double")
+    total = lambda top: F.log(_sum(F.transform(logits, lambda x: F.exp(x.cast("double") - top)))) + top
+    return _let(F.array_max(logits).cast("double"), total) - F.get(logits, target).cast("double")
 
 
 def gelu(x: Column) -> Column:
@@ -37,8 +41,8 @@ def standardise(a: Column, eps: float = 1e-5) -> Column:
     """Mean 0 and deviation 1 over an array."""
     n = F.size(a)
     mean = _sum(F.transform(a, lambda x: x.cast("double"))) / n
-    var = _sum(F.transform(a, lambda x: F.pow(x.cast("double") - mean, F.lit(2)))) / n
-    return F.transform(a, lambda x: (x.cast("double") - mean) / F.sqrt(var + eps))
+    scaled = lambda m: _let(F.sqrt(_sum(F.transform(a, lambda x: F.pow(x.cast("double") - m, F.lit(2)))) / n + eps), lambda d: F.transform(a, lambda x: (x.cast("double") - m) / d))
+    return _let(mean, scaled)
 
 
 def global_norm(df: DataFrame, vector: str) -> DataFrame:

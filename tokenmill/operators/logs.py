@@ -110,7 +110,7 @@ def percent_gate(found: DataFrame, golden: DataFrame, percent: float) -> DataFra
     """``idx, found, golden, diff_pct, ok`` from two tables ``idx, value``."""
     g = golden.withColumnRenamed("value", "golden")
     d = found.withColumnRenamed("value", "found").join(g, "idx", "full_outer")
-    pct = F.abs(F.col("found") - F.col("golden")) / F.abs("golden") * 100
+    pct = F.abs(F.col("found") - F.col("golden")) / F.nullif(F.abs("golden"), F.lit(0.0)) * 100
     return d.select("idx", "found", "golden", pct.alias("diff_pct"), F.coalesce(pct <= percent, F.lit(False)).alias("ok"))
 
 

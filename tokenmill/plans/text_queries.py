@@ -66,8 +66,8 @@ def bigram_model(spark, sf):
 def bigram_entropy_by_lang(spark, sf):
     """Bits for each byte given the one before, by language."""
     bi = ngrams.ngram_counts_by(_docs(spark, sf), "lang", (2,)).select("lang", F.substring("gram", 1, 2).alias("c"), "freq")
-    n = bi.groupBy("lang", "c").agg(F.sum("freq").alias("n"))
-    s = bi.join(n, bi.lang.eqNullSafe(n.lang) & (bi.c == n.c)).select(bi.lang, "freq", "n")
+    n = bi.groupBy(F.col("lang").alias("l"), F.col("c").alias("k")).agg(F.sum("freq").alias("n"))
+    s = bi.join(n, F.col("lang").eqNullSafe(F.col("l")) & (F.col("c") == F.col("k"))).select("lang", "freq", "n")
     return s.groupBy("lang").agg(F.sum("freq").alias("pairs"), F.round(F.sum(-F.col("freq") * F.log2(F.col("freq") / F.col("n"))) / F.sum("freq"), 6).alias("bits"))
 
 

@@ -13,14 +13,16 @@ def with_(*parts: str) -> str:
 
 
 def hexed(table: str = "documents", key: str = "doc_id", name: str = "d") -> str:
-    return f"{name} AS (SELECT {key} AS id, hex(encode(text)) AS hx FROM {table} WHERE text IS NOT NULL)"
+    """Texts as hex, and the same in pieces for 256 starting bytes each, as substr is slow on long strings."""
+    return f"""{name} AS (SELECT {key} AS id, hex(encode(text)) AS hx FROM {table} WHERE text IS NOT NULL),
+{name}_piece AS (SELECT id, o, substr(hx, 2 * o + 1, 576) AS part, len(hx) // 2 AS size FROM (SELECT id, hx, unnest(range(0, len(hx) // 2, 256)) AS o FROM {name}))"""
 
 
 def counts(sizes, source: str = "d", name: str = "c") -> str:
     return f"""{name} AS (
   SELECT n::INT AS n, gram, count(*) AS freq FROM (
-    SELECT n, substr(hx, 2 * i - 1, 2 * n) AS gram FROM (
-      SELECT hx, n, unnest(range(1, len(hx) // 2 - n + 2)) AS i FROM {source}, (SELECT unnest({list(sizes)}) AS n)))
+    SELECT n, substr(part, 2 * j + 1, 2 * n) AS gram FROM (
+      SELECT part, n, unnest(range(0, least(256, size - o - n + 1))) AS j FROM {source}_piece, (SELECT unnest({list(sizes)}) AS n)))
   GROUP BY n, gram)"""
 
 
@@ -54,7 +56,7 @@ SURPRISE = (
     "tri_rows AS (SELECT substr(gram, 1, 4) AS ctx, sum(freq)::BIGINT AS context FROM c WHERE n = 3 GROUP BY 1)",
     "h3 AS (SELECT gram, CAST(-ln((freq + 1) / (context + 256)) AS FLOAT) AS h FROM c JOIN tri_rows ON substr(gram, 1, 4) = ctx WHERE n = 3)",
     "h2 AS (SELECT c || x AS gram, CAST(-log_cond AS FLOAT) AS h FROM model)",
-    "p AS (SELECT id, i, substr(hx, 2 * i - 1 - (CASE WHEN i > 2 THEN 4 ELSE 2 END), CASE WHEN i > 2 THEN 6 ELSE 4 END) AS gram FROM (SELECT id, hx, unnest(range(2, len(hx) // 2 + 1)) AS i FROM d))",
+    "p AS (SELECT id, o + j + 3 AS i, substr(part, 2 * j + 1, 6) AS gram FROM (SELECT id, o, part, unnest(range(0, least(256, size - o - 2))) AS j FROM d_piece) UNION ALL SELECT id, 2, substr(hx, 1, 4) FROM d WHERE len(hx) >= 4)",
     "h AS (SELECT id, i, coalesce(h3.h, h2.h) AS h FROM p LEFT JOIN h3 ON p.gram = h3.gram LEFT JOIN h2 ON p.gram = h2.gram)",
     "tau AS (SELECT quantile_cont(h::DOUBLE, 0.8) AS tau FROM h)",
 )
@@ -66,7 +68,7 @@ SEGMENTS = (
 )
 CHOPPED = (
     *SEGMENTS,
-    "chop AS (SELECT substr(hx, 2 * (start + 16 * k) - 1, 2 * least(16, n - 16 * k)) AS token FROM (SELECT id, start, n, unnest(range(0, (n + 15) // 16)) AS k FROM g) JOIN d USING (id))",
+    "chop AS (SELECT substr(part, 2 * ((start - 1 + 16 * k) % 256) + 1, 2 * least(16, n - 16 * k)) AS token FROM (SELECT id, start, n, unnest(range(0, (n + 15) // 16)) AS k FROM g) q JOIN d_piece p ON q.id = p.id AND p.o = (start - 1 + 16 * k) // 256 * 256)",
     "sc AS (SELECT token, count(*) AS freq FROM chop GROUP BY token)",
 )
 PMI = "pmi AS (SELECT token, sum(log_cond - log_uni) AS pmi FROM (SELECT token, substr(token, 2 * j - 1, 2) AS c, substr(token, 2 * j + 1, 2) AS x FROM (SELECT token, unnest(range(1, len(token) // 2)) AS j FROM (SELECT DISTINCT token FROM tok))) t JOIN model USING (c, x) GROUP BY token)"
@@ -122,7 +124,8 @@ def oracle_sql() -> dict[str, str]:
         "byte_lm_contexts": with_(hexed(), counts((2, 3))) + "SELECT n, substr(gram, 1, 2 * n - 2) AS context, sum(freq)::BIGINT AS freq, count(*) AS followers FROM c GROUP BY 1, 2",
         "bigram_model": with_(*MODEL) + "SELECT c, x, freq, context, round(log_cond, 6) AS log_cond, round(log_uni, 6) AS log_uni FROM model",
         "bigram_entropy_by_lang": """WITH d AS (SELECT lang, hex(encode(text)) AS hx FROM documents WHERE text IS NOT NULL),
-bi AS (SELECT lang, substr(hx, 2 * i - 1, 2) AS c, substr(hx, 2 * i + 1, 2) AS x, count(*) AS freq FROM (SELECT lang, hx, unnest(range(1, len(hx) // 2)) AS i FROM d) GROUP BY 1, 2, 3),
+p AS (SELECT lang, substr(hx, 2 * o + 1, 576) AS part, len(hx) // 2 - o AS size FROM (SELECT lang, hx, unnest(range(0, len(hx) // 2, 256)) AS o FROM d)),
+bi AS (SELECT lang, substr(part, 2 * i + 1, 2) AS c, substr(part, 2 * i + 3, 2) AS x, count(*) AS freq FROM (SELECT lang, part, unnest(range(0, least(256, size - 1))) AS i FROM p) GROUP BY 1, 2, 3),
 n AS (SELECT lang, c, freq, sum(freq) OVER (PARTITION BY lang, c) AS n FROM bi)
 SELECT lang, sum(freq)::BIGINT AS pairs, round(sum(-freq * log2(freq / n)) / sum(freq), 6) AS bits FROM n GROUP BY lang""",
         "surprise_stats": with_(*SURPRISE, "q AS (SELECT h::DOUBLE AS h FROM h)")
@@ -131,7 +134,8 @@ SELECT lang, sum(freq)::BIGINT AS pairs, round(sum(-freq * log2(freq / n)) / sum
         "segment_pairs_topk": with_(
             *SEGMENTS,
             "a AS (SELECT id, start, n, lag(start) OVER (PARTITION BY id ORDER BY seg) AS p, lag(n) OVER (PARTITION BY id ORDER BY seg) AS pn FROM g)",
-            "u AS (SELECT 0 AS pair, substr(hx, 2 * start - 1, 2 * n) AS token FROM a JOIN d USING (id) WHERE n BETWEEN 2 AND 16 UNION ALL SELECT 1, substr(hx, 2 * p - 1, 2 * (pn + n)) FROM a JOIN d USING (id) WHERE pn + n BETWEEN 2 AND 16)",
+            "y AS (SELECT 0 AS pair, id, start AS st, n FROM a WHERE n BETWEEN 2 AND 16 UNION ALL SELECT 1, id, p, pn + n FROM a WHERE pn + n BETWEEN 2 AND 16)",
+            "u AS (SELECT pair, substr(part, 2 * ((st - 1) % 256) + 1, 2 * n) AS token FROM y JOIN d_piece z ON y.id = z.id AND z.o = (st - 1) // 256 * 256)",
             "m AS (SELECT token, max(freq) AS freq FROM (SELECT pair, token, count(*) AS freq FROM u GROUP BY 1, 2) GROUP BY token)",
         )
         + "SELECT token, freq FROM m WHERE freq >= 10 ORDER BY freq DESC, len(token), token LIMIT 300",

@@ -61,21 +61,39 @@ def test_classes_match_all_pairs(spark):
             least[k] = min(i, least.get(k, i))
     want = [(i, f"{brute_print(t):016x}", least.get(root[brute_print(t)])) for i, t in rows]
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
-    kept = keep_firsts(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    kept = keep_firsts(spark.createDataFrame(rows, "doc_id long, text string"), max_bits=3, streams=1, least=0.0).collect()
     assert sorted(k.doc_id for k in kept if k.doc_id is not None) == sorted(set(least.values()))
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-@pytest.mark.parametrize("group", [2048, 70])
-def test_links_of_dense_groups(spark, group):
+def test_near_copies_go_and_others_stay(spark):
+    r = random.Random(7)
+    words = ["".join(r.choices("abcdefgh", k=5)) for _ in range(2000)]
+    rows, copies = [], []
+    for i in range(60):
+        text = r.choices(words, k=250)
+        rows.append((i, " ".join(text)))
+        copy = list(text)
+        copy[r.randrange(250)] = "changed"
+        copies.append((100 + i, " ".join(copy)))
+    rows += copies + [(300, rows[0][1]), (301, ""), (302, None), (303, "two words"), (304, "other words"), (300, rows[0][1]), (None, rows[0][1])]
+    d = spark.createDataFrame([(*x, i) for i, x in enumerate(rows)], "doc_id long, text string, component_id int")
+    kept = [k.doc_id for k in keep_firsts(d).collect()]
+    ids = [k for k in kept if k is not None]
+    assert set(range(60)) <= set(ids) and len(ids) == len(set(ids)) and None in kept and {301, 303, 304} <= set(ids)
+    assert 300 not in ids and 302 not in ids and sum(k in ids for k in range(100, 160)) <= 3
+
+
+@pytest.mark.parametrize("bits,group", [(3, 2048), (3, 70), (7, 90)])
+def test_links_of_dense_groups(spark, bits, group):
     r = np.random.default_rng(1)
     base = int(r.integers(0, 2**63))
     prints = {base ^ int(sum(1 << int(b) for b in r.choice([0, 1, 2, 5, 9, 33, 34, 40, 50, 60, 61, 62, 63], r.integers(0, 9), replace=False))) for _ in range(400)}
     prints |= {int(x) for x in r.integers(0, 2**63, 100)} | {0, 1, 2**64 - 1, 2**63}
     signed = [(simhash._signed(p),) for p in prints]
-    links = hamming_links(spark.createDataFrame(signed, "fp long"), group=group)
+    links = hamming_links(spark.createDataFrame(signed, "fp long"), bits, group)
     found = {x.node & (2**64 - 1): x.root & (2**64 - 1) for x in connected_components(links).collect()}
-    want = classes(prints)
+    want = classes(prints, bits)
     same = {}
     for p in prints:
         assert same.setdefault(want[p], found.get(p, p)) == found.get(p, p)

@@ -21,57 +21,87 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tokenmill.llm.texts import byte_rows, table_names, word_blocks
+from tokenmill.llm.texts import byte_rows, prepare, word_blocks
 from tokenmill.operators.components import connected_components
 from tokenmill.scratch import stage
 
 SHINGLE = 3
 SEED = 42
 MAX_BITS = 3
-#: Fingerprints of one variant that are compared in one task; larger groups are indexed anew by their other bits.
-GROUP = 2048
+#: Of ``keep_firsts``: differing bits and streams of candidates, which are then compared by shingles of five words.
+WIDE_BITS, STREAMS, VERIFY_WORDS, LEAST = 5, 2, 5, 0.8
+#: Fingerprints of one variant that are compared in one task; larger groups are compared by blocks.
+GROUP = 4096
 _HASHES = 1 << 15
 
 
-def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+def _remixed(h: np.ndarray, stream: int) -> np.ndarray:
+    """Hashes of a further stream, from those of the first."""
+    x = h + np.uint64(stream * 0x9E3779B97F4A7C15 & 2**64 - 1)
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED, stream: int = 0) -> int:
     """SimHash of a UTF-8 text: a bit is 1 if it is set in over half of the shingles' hashes.
 
     A-Z are lower-cased. A text of fewer words than a shingle has one shingle, the
     whole sequence; a text without words (or null) has fingerprint 0.
     """
+    return fingerprint_streams(text, shingle, seed, stream + 1)[stream]
+
+
+def fingerprint_streams(text: bytes | None, shingle: int, seed: int, streams: int) -> list[int]:
+    """The fingerprint, and further ones of independent hashes of the same shingles."""
     hashed = partial(xxhash.xxh64_intdigest, seed=seed)
-    ones, total, tail = np.zeros(64, np.int64), 0, []
+    ones, total, tail = np.zeros((streams, 64), np.int64), 0, []
+
+    def take(h: np.ndarray) -> None:
+        nonlocal total
+        for s in range(streams):
+            bits = (_remixed(h, s) if s else h).view(np.uint8).reshape(-1, 8)
+            ones[s] += np.unpackbits(bits, axis=1, bitorder="little").sum(0, dtype=np.int64)
+        total += len(h)
+
     for words in word_blocks(text.lower() if text else b""):
         words = tail + words
         n = len(words) - shingle + 1
         shingles = map(b" ".join, zip(*(islice(words, k, None) for k in range(shingle)), strict=False))
         for at in range(0, n, _HASHES):
-            h = np.fromiter(map(hashed, shingles if n - at <= _HASHES else islice(shingles, _HASHES)), np.uint64)
-            ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-            total += len(h)
+            take(np.fromiter(map(hashed, shingles if n - at <= _HASHES else islice(shingles, _HASHES)), np.uint64))
         tail = words[-(shingle - 1) :] if shingle > 1 else []
-    if not total:
-        if not tail:
-            return 0
-        return hashed(b" ".join(tail))
-    return int(np.packbits(ones * 2 > total, bitorder="little").view(np.uint64)[0])
+    if not total and tail:
+        take(np.array([hashed(b" ".join(tail))], np.uint64))
+    return [int(np.packbits(o * 2 > total, bitorder="little").view(np.uint64)[0]) for o in ones]
 
 
-def _prints(batches: Iterator[pa.RecordBatch], shingle: int, seed: int) -> Iterator[pa.RecordBatch]:
+def _prints(batches: Iterator[pa.RecordBatch], shingle: int, seed: int, streams: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        fp = np.fromiter((fingerprint(x, shingle, seed) for x in byte_rows(b.column(1))), np.uint64, b.num_rows)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+        found = [fingerprint_streams(x, shingle, seed, streams) for x in byte_rows(b.column(1))]
+        fp = np.array(found, np.uint64).reshape(-1, streams).view(np.int64)
+        yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(fp[:, s].copy()) for s in range(streams)]], ["doc_id", *_columns(streams)])
+
+
+def _columns(streams: int) -> list[str]:
+    return ["fp", *[f"fp{s}" for s in range(1, streams)]]
+
+
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, streams: int = 1) -> DataFrame:
+    """``doc_id, fp`` for every row of ``docs``; fp holds the 64 bits as a signed BIGINT. Further streams are in fp1 and so on."""
+    prepare(docs, "doc_id", "text")
+    kinds = ", ".join(f"{c} long" for c in ("doc_id", *_columns(streams)))
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(partial(_prints, shingle=shingle, seed=seed, streams=streams), kinds)
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """``doc_id, fp`` for every row of ``docs``; fp holds the 64 bits as a signed BIGINT."""
-    table_names(docs, "doc_id", "text")
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(partial(_prints, shingle=shingle, seed=seed), "doc_id long, fp long")
+def _parts(max_bits: int) -> int:
+    """Segments of which one differs in at most one bit if all do in ``max_bits``; two at least."""
+    return max(2, (max_bits + 2) // 2)
 
 
 def segments(max_bits: int) -> list[tuple[int, int]]:
-    """First bit and width of each segment: (max_bits + 2) // 2 of them, two at least."""
-    k = max(2, (max_bits + 2) // 2)
+    """First bit and width of each segment."""
+    k = _parts(max_bits)
     cuts = [64 * i // k for i in range(k + 1)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
@@ -81,23 +111,15 @@ def _signed(x: int) -> int:
 
 
 def variant_rows(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """``key, free, fp``: one row for each of the 64 one-wildcard segment variants of a fingerprint.
-
-    ``free`` has the bits that neither the variant fixes nor its wildcard covers.
-    """
-    keep, free = [0] * 64, [0] * 64
+    """``key, fp``: one row for each of the 64 one-wildcard segment variants of a fingerprint."""
+    keep = [0] * 64
     for a, w in segments(max_bits):
         whole = ((1 << w) - 1) << a
         for i in range(a, a + w):
             keep[i] = _signed(whole & ~(1 << i))
-            free[i] = _signed(~whole & (2**64 - 1))
     literal = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
     rows = prints.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i"))
-    return rows.select(
-        F.xxhash64(F.col("fp").bitwiseAND(F.element_at(literal(keep), F.col("i") + 1)), "i").alias("key"),
-        F.element_at(literal(free), F.col("i") + 1).alias("free"),
-        "fp",
-    )
+    return rows.select(F.xxhash64(F.col("fp").bitwiseAND(F.element_at(literal(keep), F.col("i") + 1)), "i").alias("key"), "fp")
 
 
 def _forest(fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -118,21 +140,21 @@ def _forest(fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(us), np.concatenate(vs)) if us else (none, none)
 
 
-_LINKS = pa.schema([("over", pa.int32()), ("key", pa.int64()), ("free", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+_LINKS = pa.schema([("over", pa.int32()), ("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
 
 def _verify(batches: Iterator[pa.RecordBatch], max_bits: int, group: int, last: bool) -> Iterator[pa.RecordBatch]:
-    """Links among the rows of each key. Rows come sorted by key; a group over ``group`` is passed on for indexing anew."""
+    """Links among the rows of each key. Rows come sorted by key; a group over ``group`` is passed on, to be dealt to blocks."""
 
-    def out(key, free, a, b, over):
-        cols = [np.full(len(a), over, np.int32), key, free, a.view(np.int64), b.view(np.int64)]
+    def out(key, a, b, over):
+        cols = [np.full(len(a), over, np.int32), key, a.view(np.int64), b.view(np.int64)]
         return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], schema=_LINKS)
 
     zero = lambda n: np.zeros(n, np.int64)
-    key, free, fps = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    key, fps = np.zeros(0, np.int64), np.zeros(0, np.uint64)
     passing = None  # key of a large group whose first rows have been passed on
 
-    def whole(key, free, fps):
+    def whole(key, fps):
         """Of complete groups."""
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         sizes = np.diff(np.r_[starts, len(key)])
@@ -147,7 +169,7 @@ def _verify(batches: Iterator[pa.RecordBatch], max_bits: int, group: int, last:
         for g in np.flatnonzero(~small):
             at = slice(starts[g], starts[g] + sizes[g])
             if sizes[g] > group and not last:
-                yield out(key[at], free[at], fps[at], fps[at], 1)
+                yield out(key[at], fps[at], fps[at], 1)
             else:
                 a, b = _forest(fps[at], max_bits)
                 us.append(a)
@@ -156,72 +178,62 @@ def _verify(batches: Iterator[pa.RecordBatch], max_bits: int, group: int, last:
             a, b = np.concatenate(us), np.concatenate(vs)
             if len(a):
                 pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-                yield out(zero(pairs.shape[1]), zero(pairs.shape[1]), pairs[0].copy(), pairs[1].copy(), 0)
+                yield out(zero(pairs.shape[1]), pairs[0].copy(), pairs[1].copy(), 0)
 
     for batch in batches:
-        k, f, x = (batch.column(j).to_numpy(zero_copy_only=False) for j in range(3))
-        key, free, fps = np.r_[key, k], np.r_[free, f], np.r_[fps, x.view(np.uint64)]
+        k, x = (batch.column(j).to_numpy() for j in range(2))
+        key, fps = np.r_[key, k], np.r_[fps, x.view(np.uint64)]
         if passing is not None:
             n = int(np.searchsorted(key, passing, side="right"))
             if n:
-                yield out(key[:n], free[:n], fps[:n], fps[:n], 1)
-                key, free, fps = key[n:], free[n:], fps[n:]
+                yield out(key[:n], fps[:n], fps[:n], 1)
+                key, fps = key[n:], fps[n:]
             if len(key):
                 passing = None
         if not len(key):
             continue
         cut = int(np.searchsorted(key, key[-1], side="left"))
         if cut:
-            yield from whole(key[:cut], free[:cut], fps[:cut])
-            key, free, fps = key[cut:], free[cut:], fps[cut:]
+            yield from whole(key[:cut], fps[:cut])
+            key, fps = key[cut:], fps[cut:]
         if len(key) > group and not last:
             passing = key[-1]
-            yield out(key, free, fps, fps, 1)
-            key, free, fps = key[:0], free[:0], fps[:0]
+            yield out(key, fps, fps, 1)
+            key, fps = key[:0], fps[:0]
     if len(key):
-        yield from whole(key, free, fps)
+        yield from whole(key, fps)
 
 
-def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Index rows of large groups anew: each half of the free bits, with one bit deleted."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            free, fp = row["free"] & (2**64 - 1), row["a"] & (2**64 - 1)
-            bits = [i for i in range(64) if free >> i & 1]
-            keys, rest = [], []
-            for half, other in ((bits[: len(bits) // 2], bits[len(bits) // 2 :]), (bits[len(bits) // 2 :], bits[: len(bits) // 2])):
-                mask, left = sum(1 << i for i in half), sum(1 << i for i in other)
-                for i in half:
-                    keys.append(_signed(xxhash.xxh64_intdigest(b"%d %d %d" % (row["key"], i, fp & mask & ~(1 << i)))))
-                    rest.append(_signed(left))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(rest, pa.int64()), pa.array([row["a"]] * len(keys), pa.int64())], ["key", "free", "fp"])
+def _in_blocks(rows: DataFrame, group: int) -> DataFrame:
+    """``key, fp``: rows of large groups dealt to pairs of blocks, so that any two rows of a group meet in one."""
+    sizes = rows.groupBy("key").agg(F.ceil(F.count("*") * 4 / group).cast("int").alias("blocks"))
+    d = rows.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("a"), "blocks").cast("int"))
+    d = d.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return d.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"), F.col("a").alias("fp"))
 
 
 def hamming_links(prints: DataFrame, max_bits: int = MAX_BITS, group: int = GROUP) -> DataFrame:
     """``a, b``: links that join the same fingerprints as all pairs within ``max_bits`` bits do.
 
     ``prints`` has distinct fingerprints in ``fp``. Each variant's group is verified in one
-    task with memory for ``group`` rows; a larger group goes on to a further equality join on
-    halves of its other bits, until the free bits bound its size. Of a group only links that
-    span its components are returned, so their number stays below that of the index rows.
+    task with memory for ``group`` rows; a larger group is verified by pairs of blocks of it.
+    Of a group only links that span its components are returned, so their number stays below
+    that of the index rows.
     """
-    rows, found, last = variant_rows(prints, max_bits), None, False
-    free = 64 - min(w for _, w in segments(max_bits))
-    while True:
-        sent = rows.repartition("key").sortWithinPartitions("key").mapInArrow(partial(_verify, max_bits=max_bits, group=group, last=last), "over int, key long, free long, a long, b long")
-        done, _ = stage(sent, "links")
-        links = done.where("over = 0").select("a", "b")
-        found = links if found is None else found.union(links)
-        if last or not done.where("over = 1").limit(1).count():
-            return found.distinct()
-        rows = done.where("over = 1").select("key", "free", "a").mapInArrow(_halves, "key long, free long, fp long")
-        free //= 2
-        last = free // 2 <= max_bits + 1
-
-
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, max_bits: int = MAX_BITS) -> DataFrame:
+    deal = lambda d, last: d.repartition("key").sortWithinPartitions("key").mapInArrow(partial(_verify, max_bits=max_bits, group=group, last=last), "over int, key long, a long, b long")
+    done, _ = stage(deal(variant_rows(prints, max_bits), False), "links")
+    links = done.where("over = 0").select("a", "b")
+    if done.where("over = 1").limit(1).count():
+        more, _ = stage(deal(_in_blocks(done.where("over = 1").select("key", "a"), group), True), "links")
+        links = links.union(more.select("a", "b"))
+    return links.distinct()
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, max_bits: int = MAX_BITS, streams: int = 1) -> DataFrame:
     """``doc_id, fingerprint, component_id``, one row for each row of ``docs``.
 
+    With more than one stream, texts are also linked by fingerprints of further, independent hashes.
+
     fingerprint: 16 lower-case hex digits; component_id: the smallest doc_id reachable over
     links of at most ``max_bits`` differing bits, the document itself included. Null texts
     and texts without words have fingerprint 0 and are linked like any other. Rows with a
@@ -229,24 +241,64 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, m
     class has no other id. Repeated rows give repeated rows; an empty table gives none.
     Further columns of ``docs`` are ignored.
     """
-    prints, _ = stage(fingerprints(docs, shingle, seed), "prints")
+    prints, _ = stage(fingerprints(docs, shingle, seed, streams), "prints")
     each = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = connected_components(hamming_links(each.select("fp"), max_bits))
+    links = hamming_links(each.select("fp"), max_bits)
+    for s in range(1, streams):
+        # links of a further stream join the first one's fingerprints over the documents that have both
+        own = prints.select("fp", F.col(f"fp{s}").alias("other")).distinct()
+        found, _ = stage(hamming_links(own.select(F.col("other").alias("fp")).distinct(), max_bits), "stream-links")
+        joined = found.select("a").union(found.select("b")).union(own.groupBy("other").count().where("count > 1").select("other")).distinct()
+        name = lambda c: F.xxhash64(F.lit(s), F.col(c))  # noqa: B023, E731
+        links = links.union(found.select(name("a"), name("b"))).union(own.join(joined.withColumnRenamed("a", "other"), "other").select("fp", name("other")))
+    roots = connected_components(links)
     classes = each.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     firsts = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     of = classes.join(firsts, "root").select("fp", "component_id")
     return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_firsts(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, max_bits: int = MAX_BITS) -> DataFrame:
-    """``docs`` with one document of each class, that of the smallest doc_id.
+def shingle_set(text: bytes | None, words: int = VERIFY_WORDS) -> set[int]:
+    """Hashes of the different word shingles of a text, lower-cased like fingerprints; fewer words are one shingle."""
+    w = (text or b"").lower().split()
+    if len(w) < words:
+        return {xxhash.xxh64_intdigest(b" ".join(w))} if w else set()
+    return set(map(xxhash.xxh64_intdigest, map(b" ".join, zip(*(islice(w, k, None) for k in range(words)), strict=False))))
+
+
+def similarity(a: set[int], b: set[int]) -> float:
+    """Jaccard similarity; that of two empty sets is 1."""
+    return len(a & b) / len(a | b) if a or b else 1.0
 
-    Rows that repeat doc_id and text are one document and leave one row. Rows without a doc_id
-    can't stand for a class and stay. Other columns pass through unchanged.
+
+def _copies(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    known, of = None, None  # the last representative, as its members mostly come together
+    for b in batches:
+        drop = []
+        for text, rep in zip(byte_rows(b.column("text")), byte_rows(b.column("rep")), strict=True):
+            if rep != known or of is None:
+                known, of = rep, shingle_set(rep)
+            drop.append(text == rep or similarity(shingle_set(text), of) >= least)
+        yield pa.RecordBatch.from_arrays([b.column("doc_id")], ["doc_id"]).filter(pa.array(drop))
+
+
+def keep_firsts(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, max_bits: int = WIDE_BITS, streams: int = STREAMS, least: float = LEAST) -> DataFrame:
+    """``docs`` without near copies of the document of the smallest doc_id of their class.
+
+    Classes come from ``streams`` fingerprints within ``max_bits`` bits. A member goes if its five-word
+    shingles have a Jaccard similarity of ``least`` or more with those of the class's first
+    document; a member that only hangs on by a chain of others stays. Rows that repeat doc_id and
+    text are one document and leave one row; rows without a doc_id stay. Other columns pass
+    through unchanged. Each member is compared once, so a class of any size costs its size.
     """
-    found = near_duplicates(docs.select("doc_id", "text"), shingle, seed, max_bits)
-    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(stay, F.col("doc_id") == F.col("__id"), "left_semi")
+    found = near_duplicates(docs.select("doc_id", "text"), shingle, seed, max_bits, streams)
+    members, _ = stage(found.where("doc_id != component_id").select("doc_id", "component_id").distinct(), "near-members")
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    first = members.select(F.col("component_id").alias("doc_id")).distinct()
+    reps = d.join(first, "doc_id").groupBy(F.col("doc_id").alias("component_id")).agg(F.min("text").alias("rep"))
+    pairs = d.join(members, "doc_id").join(reps, "component_id").select("doc_id", "text", "rep")
+    drop, _ = stage(pairs.mapInArrow(partial(_copies, least=least), "doc_id long").distinct(), "near-drop")
+    kept = docs.where("doc_id is not null").join(drop.withColumnRenamed("doc_id", "__id"), F.col("doc_id") == F.col("__id"), "left_anti")
     once = Window.partitionBy("doc_id", F.sha2("text", 256)).orderBy(F.lit(1))
     kept = kept.withColumn("__n", F.row_number().over(once)).where("__n = 1").drop("__n")
     return kept.unionByName(docs.where("doc_id is null"))

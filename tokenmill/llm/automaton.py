@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenmill.llm.texts import byte_rows, table_names, word_blocks
+from tokenmill.llm.texts import byte_rows, prepare, word_blocks
 
 WINDOW = 10
 MAX_COVERAGE = 0.5
@@ -216,8 +216,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, block
     without words or with a null id are left out; no items or an empty table are fine. Repeated
     rows and null doc_ids keep a row each; further columns are ignored.
     """
-    table_names(docs, "doc_id", "text")
-    table_names(items, "item_id", "text")
+    prepare(docs, "doc_id", "text")
+    prepare(items, "item_id", "text")
     found = search(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), items, window, block_words)
     return found.drop("text").mapInArrow(_digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
@@ -256,6 +256,6 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_w
     Documents without such spans stay as they are, null texts included. Columns named n_words,
     spans or items may not be among those of ``docs``.
     """
-    table_names(docs, "text")
+    prepare(docs, "text")
     kinds = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
     return search(docs, items, window).mapInArrow(partial(_clean, max_coverage=max_coverage, min_words=min_words), kinds)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenmill.llm.texts import byte_rows, table_names
+from tokenmill.llm.texts import byte_rows, prepare
 
 WINDOW = 3
 #: Weight over a window that makes a surge, where no element marks the content.
@@ -199,6 +199,6 @@ def extract(pages: DataFrame, window: int = WINDOW, surge: int = SURGE) -> DataF
     html gives an empty text. Nothing is shuffled: repeated rows, null ids and urls pass through,
     very long pages need memory for themselves only, and further columns are ignored.
     """
-    table_names(pages, "page_id", "url", "html")
+    prepare(pages, "page_id", "url", "html")
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return p.mapInArrow(partial(_extract, window=window, surge=surge), "page_id long, url string, text string, n_chars long")

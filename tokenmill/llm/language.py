@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tokenmill.llm.texts import byte_rows, table_names
+from tokenmill.llm.texts import byte_rows, prepare
 
 #: Bounds of the labelled sample: documents of each language, languages, and characters of each document.
 FIT_DOCS, FIT_LANGS, FIT_CHARS = 1_200, 400, 4_000
@@ -218,6 +218,6 @@ def identify(docs: DataFrame) -> DataFrame:
     nothing could be learned, get ``und`` and score 0. Repeated rows get equal results, an empty
     table gives no rows, and further columns are ignored.
     """
-    table_names(docs, "doc_id", "text", "lang")
+    prepare(docs, "doc_id", "text", "lang")
     p = predict(docs, train(docs, fold() != 2))
     return p.select("doc_id", F.coalesce(fold() == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tokenmill.llm.texts import table_names
+from tokenmill.llm.texts import prepare
 from tokenmill.scratch import stage
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -62,7 +62,7 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, ratios: tuple[int, ..
     A hot source does not meet in one task: its keys are cut into about sqrt(n) ranges, a
     window sums within each range, and a second one over the ranges' totals adds the offsets.
     """
-    table_names(docs, "doc_id", "text", "source")
+    prepare(docs, "doc_id", "text", "source")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     if quality is None:
         base = base.withColumn("weight", F.lit(1.0))

@@ -32,6 +32,10 @@ LAST = (1 << 63) - 1
 #: Runs of different digests of one gram that one task compares; more meet window by window.
 SUB = 1 << 14
 _CHUNK = 1 << 18
+#: Bytes of output rows that a Python worker gathers.
+_FLUSH = 2 << 20
+#: Runs among which a worker settles repeats before they are shuffled.
+_ROWS = 200_000
 _U = np.uint64
 _A, _B = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 
@@ -118,12 +122,34 @@ RUNS = "h long, digest long, dk long, tk int, at long, more array<int>"
 _NAMES = ["h", "digest", "dk", "tk", "at", "more"]
 
 
+def _later(h: np.ndarray, digest: np.ndarray, dk: np.ndarray, tk: np.ndarray, at: np.ndarray, strict: bool) -> np.ndarray:
+    """Which runs repeat another one among these that comes earlier (strict: in a smaller dk)."""
+    late = np.zeros(len(h), bool)
+    z = h ^ (digest * _U(_B))
+    order = np.argsort(z, kind="stable")
+    same = z[order][1:] == z[order][:-1]
+    some = order[np.r_[same, False] | np.r_[False, same]]
+    if len(some):
+        some = some[np.lexsort((at[some], tk[some], dk[some], digest[some], h[some]))]
+        new = np.r_[True, (h[some][1:] != h[some][:-1]) | (digest[some][1:] != digest[some][:-1])]
+        first = some[np.maximum.accumulate(np.where(new, np.arange(len(some)), 0))]
+        late[some] = dk[some] > dk[first] if strict else ~new
+    return late
+
+
 def _run_rows(batches: Iterator[pa.RecordBatch], spec: Spec) -> Iterator[pa.RecordBatch]:
-    """A row for each different run of a text: at is first << 8 | windows, more has the first windows of its repeats in the text."""
+    """A row for each different run of a text: at is first << 8 | windows, more has the first windows of its repeats in the text.
+
+    Runs that repeat an earlier one of the rows gathered so far are settled here; they carry -at - 1.
+    """
 
     def flush(parts):
         h, d, dk, tk, at, count = (np.concatenate([p[i] for p in parts]) for i in range(6))
         more = _lists(count, np.concatenate([p[6] for p in parts]), True)
+        late = _later(h, d, dk, tk, at, spec.strict)
+        # settled already: dealt evenly, so that a stretch of very many copies doesn't meet in one task
+        h = np.where(late, _mix(dk.view(_U) * _U(_A) + at.view(_U)), h)
+        at = np.where(late, -at - 1, at)
         return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(d.view(np.int64)), pa.array(dk), pa.array(tk), pa.array(at), more], _NAMES)
 
     parts, held = [], 0
@@ -143,7 +169,7 @@ def _run_rows(batches: Iterator[pa.RecordBatch], spec: Spec) -> Iterator[pa.Reco
                 k = len(new)
                 parts.append((h[new], d[new], np.full(k, dks[i]), np.full(k, tks[i]), first[new] << 8 | size[new], count, first[again]))
                 held += k
-                if held > 50_000:
+                if held > _ROWS:
                     yield flush(parts)
                     parts, held = [], 0
     if parts:
@@ -197,6 +223,13 @@ def _meet(batches: Iterator[pa.RecordBatch], strict: bool, index: bool) -> Itera
     h0 = d0 = dk0 = None
     seen = 0  # digests of that gram so far
     for b in batches:
+        settled = b.column("at").to_numpy() < 0
+        if settled.any():
+            gone = b.filter(pa.array(settled))
+            plain = pa.array(-gone.column("at").to_numpy() - 1)
+            gone = pa.RecordBatch.from_arrays([plain if n == "at" else gone.column(n) for n in _NAMES], _NAMES)
+            yield out(DUP, gone, np.zeros(gone.num_rows, np.int64), np.ones(gone.num_rows, bool))
+            b = b.filter(pa.array(~settled))
         if not b.num_rows:
             continue
         h, d, dk = (b.column(i).to_numpy() for i in range(3))
@@ -256,13 +289,14 @@ def mask_of(n: int, windows: list[tuple[int, int]], spec: Spec) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def digest_of(data: bytes, windows: list[tuple[int, int]], spec: Spec) -> tuple[int, int, int, str, bytes]:
-    """Units, removed units, removed runs, SHA-256 of what is kept, and what is kept."""
+def digest_of(data: bytes, windows: list[tuple[int, int]], spec: Spec, keep: bool) -> tuple[int, int, int, str, bytes | None]:
+    """Units, removed units, removed runs, SHA-256 of what is kept, and (if ``keep``) what is kept, without characters that are cut in part."""
     x = units(data, spec)
     gone = mask_of(len(x), windows, spec)
     spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()) if len(gone) else 0
     kept = b" ".join(w for w, g in zip(x, gone, strict=True) if not g) if spec.words else x[~gone].tobytes()
-    return len(x), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept
+    rest = kept.decode("utf-8", "ignore").encode() if keep else None
+    return len(x), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), rest
 
 
 _SPLIT = "kind int, doc_id long, dk long, tk int, text string, rest string, known array<int>, h long, sub int, starts array<int>, size int, body binary, n long, n_removed long, n_spans long, kept_sha256 string, kept binary"
@@ -285,9 +319,9 @@ def _split(batches: Iterator[pa.RecordBatch], spec: Spec, keep: bool) -> Iterato
                 else:
                     pieces.append(f)
             if not pieces:
-                n, gone, spans, sha, kept = digest_of(data or b"", known, spec)
-                rows.append({"kind": 0, "doc_id": doc_id, "rest": rest, "n": n, "n_removed": gone, "n_spans": spans, "kept_sha256": sha, "kept": kept if keep and data is not None else None})
-                size += len(kept) if keep else 100
+                n, gone, spans, sha, kept = digest_of(data or b"", known, spec, keep and data is not None)
+                rows.append({"kind": 0, "doc_id": doc_id, "rest": rest, "n": n, "n_removed": gone, "n_spans": spans, "kept_sha256": sha, "kept": kept})
+                size += 100 + len(kept or b"")
             else:
                 x = units(data, spec) if spec.words else data
                 for f in pieces:
@@ -295,8 +329,8 @@ def _split(batches: Iterator[pa.RecordBatch], spec: Spec, keep: bool) -> Iterato
                     part = x[f["at"] >> 8 : (f["at"] >> 8) + k - 1 + spec.window]
                     rows.append({"kind": 1, "dk": dk, "tk": tk, "h": f["h"], "sub": f["sub"], "starts": f["starts"], "size": k, "body": b" ".join(part) if spec.words else part})
                 rows.append({"kind": 2, "doc_id": doc_id, "dk": dk, "tk": tk, "text": data.decode(), "rest": rest, "known": [y for w in known for y in w]})
-                size += len(data) * 5
-            if size > 8 << 20:
+                size += len(data) + 300 * len(pieces)
+            if size > _FLUSH:
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
                 rows, size = [], 0
         if rows:
@@ -334,15 +368,19 @@ def hot_windows(pieces: DataFrame, spec: Spec) -> DataFrame | None:
 def _finish(batches: Iterator[pa.RecordBatch], spec: Spec, keep: bool) -> Iterator[pa.RecordBatch]:
     names = RESULT_NAMES
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+    flush = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
     for b in batches:
-        rows = []
+        rows, size = [], 0
         for i, data in enumerate(byte_rows(b.column("text"))):
             known, late = b.column("known")[i].as_py(), b.column("late")[i].as_py() or []
             windows = list(zip(known[::2], known[1::2], strict=True)) + [(s, f["size"]) for f in late for s in f["starts"]]
-            *row, kept = digest_of(data, windows, spec)
-            rows.append((b.column("doc_id")[i].as_py(), b.column("rest")[i].as_py(), *row, kept if keep else None))
+            rows.append((b.column("doc_id")[i].as_py(), b.column("rest")[i].as_py(), *digest_of(data, windows, spec, keep)))
+            size += len(data) if keep else 200
+            if size > _FLUSH:
+                yield flush(rows)
+                rows, size = [], 0
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+            yield flush(rows)
 
 
 RESULT_NAMES = ["doc_id", "rest", "n", "n_removed", "n_spans", "kept_sha256", "kept"]

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenmill.llm.repeats import INDEX, RESULT_NAMES, SETTLED, Spec, finish, hot_windows, keyed, meet, run_rows, split
-from tokenmill.llm.texts import table_names
+from tokenmill.llm.texts import prepare
 from tokenmill.scratch import drop_path, stage
 
 SPEC = Spec(window=13, gram=4, words=True, strict=True)
@@ -115,7 +115,7 @@ def substring_dedup(docs: DataFrame, batches: int = BATCHES, max_runs: int = MAX
     count as one document, as do rows that share a doc_id: they lose nothing to each other.
     Texts of fewer than 13 words lose nothing, an empty table gives no rows, and further columns are ignored.
     """
-    table_names(docs, "doc_id", "text")
+    prepare(docs, "doc_id", "text")
     docs = keyed(docs)
     # nothing arrives after the last batch here: it needs no run, and the log goes before the texts are read again
     log, met, written = RunLog(docs.sparkSession, SPEC, max_runs), None, []

@@ -19,10 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokenmill.llm.repeats import RESULT_NAMES, Spec, finish, hot_windows, keyed, meet, run_rows, split
-from tokenmill.llm.texts import table_names
+from tokenmill.llm.texts import prepare
 from tokenmill.scratch import drop_path, stage
 
 SPEC = Spec(window=100, gram=20, words=False, strict=False)
+#: Pieces of one shard, of at most 181 bytes each: its arrays then take some 40 MB.
+SHARD_ROWS = 2_000
 
 
 def words_at(text: np.ndarray) -> np.ndarray:
@@ -157,11 +159,9 @@ class Shard:
 
 
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows of pieces that an earlier piece of the same gram has. Pieces come sorted by gram, sub, dk, tk and place; a batch is a shard."""
+    """Windows of pieces that an earlier piece of the same gram has. Pieces come sorted by gram, sub, dk, tk and place; SHARD_ROWS of them are a shard."""
     depth, carried, last = SPEC.window, [], None
-    for b in batches:
-        if not b.num_rows:
-            continue
+    for b in (whole.slice(a, SHARD_ROWS) for whole in batches for a in range(0, whole.num_rows, SHARD_ROWS)):
         h, sub, dk, tk, size = (b.column(c).to_numpy() for c in ("h", "sub", "dk", "tk", "size"))
         start = b.column("start").to_numpy()
         body = b.column("body")
@@ -203,12 +203,12 @@ def suffix_dedup(docs: DataFrame, keep: bool = False, carry: list[str] | None =
 
     Texts are UTF-8 bytes (null: empty). A byte goes if a 100-byte string that covers it also
     starts earlier: in a smaller doc_id, or earlier in the same document; strings are judged on
-    the input. ``kept`` has the remaining bytes if ``keep`` is set (null for a null text), else
-    null. Rows with a null doc_id come after all others; rows that share a doc_id are ordered by
+    the input. ``kept`` has the remaining bytes if ``keep`` is set (null for a null text; a character that is cut
+    in part goes whole), else null. Rows with a null doc_id come after all others; rows that share a doc_id are ordered by
     a hash of their text, and rows that repeat both are one document and get one result each.
     Empty and short texts lose nothing, an empty table gives no rows, and further columns are ignored, but for those named in ``carry``: ``rest`` has them as JSON.
     """
-    table_names(docs, "doc_id", "text")
+    prepare(docs, "doc_id", "text")
     docs = keyed(docs, carry)
     met, met_path = stage(meet(run_rows(docs, SPEC), SPEC.strict), "sa-met")
     parts, _ = stage(split(docs, met, SPEC, keep), "sa-split", "kind")
@@ -229,16 +229,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     carry = [c for c in docs.columns if c not in ("doc_id", "text")]
     kinds = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes if n in carry)
-    found = suffix_dedup(docs, keep=True, carry=carry or None)
-    found = found.mapInArrow(_decoded, "doc_id long, rest string, text string, lost boolean")
-    found = found.where(~F.col("lost") | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    found = suffix_dedup(docs, keep=True, carry=carry or None).withColumn("text", F.col("kept").cast("string"))
+    found = found.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if carry:
         found = found.withColumn("rest", F.from_json("rest", kinds))
     return found.select(*[F.col(c) if c in ("doc_id", "text") else F.col("rest")[c].alias(c) for c in docs.columns])
-
-
-def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        texts = [x.as_py().decode("utf-8", "ignore") if x.is_valid else None for x in b.column("kept")]
-        lost = [n > 0 for n in b.column("n_removed").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("rest"), pa.array(texts, pa.string()), pa.array(lost)], ["doc_id", "rest", "text", "lost"])

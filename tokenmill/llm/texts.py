@@ -8,6 +8,9 @@ import pyarrow as pa
 
 #: Bytes of a text that are split into words at a time.
 BLOCK = 1 << 20
+#: Rows of an Arrow batch.
+BATCH_ROWS = 3_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _SPACE = b" \t\n\r\x0b\x0c"
 
 
@@ -38,8 +41,15 @@ def word_blocks(data: bytes, size: int = BLOCK) -> Iterator[list[bytes]]:
         at = cut
 
 
-def table_names(docs, *names: str) -> None:
-    """Raise if a needed column is missing."""
+def prepare(docs, *names: str) -> None:
+    """Raise if a needed column is missing; and see to it that Arrow batches of texts stay small.
+
+    Spark sends 10,000 rows at a time to Python by default. At some kilobytes a text, several
+    workers then hold more than they need; a smaller setting of the session stays as it is.
+    """
+    conf = docs.sparkSession.conf
+    if int(conf.get(_BATCH, "10000")) > BATCH_ROWS:
+        conf.set(_BATCH, str(BATCH_ROWS))
     missing = [n for n in names if n not in docs.columns]
     if missing:
         raise ValueError(f"columns are missing: {', '.join(missing)}")

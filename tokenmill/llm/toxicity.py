@@ -13,6 +13,7 @@ import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import cached_property, partial
+from heapq import nlargest
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +21,10 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tokenmill.llm.texts import byte_rows, table_names, word_blocks
+from tokenmill.llm.texts import byte_rows, prepare, word_blocks
 
 #: Bounds of the labelled sample: documents of each label, and characters of each document.
-FIT_TOXIC, FIT_ORDINARY, FIT_CHARS = 1_800, 5_400, 20_000
+FIT_TOXIC, FIT_ORDINARY, FIT_CHARS = 1_500, 4_500, 12_000
 #: Share of the sample for the dictionaries; the rest fits the curve.
 DICTIONARY_SHARE = 0.6
 ORDINARY_WORDS = 2_000
@@ -42,11 +43,16 @@ def _words(text: bytes) -> list[bytes]:
 
 def contexts(texts: Iterable[bytes]) -> Counter:
     """How many different neighbourhoods (word before, word after) each word has; copies of a text add nothing."""
-    seen: set[tuple[bytes, int]] = set()
+    seen: set[int] = set()
+    found: Counter = Counter()
     for t in texts:
         w = _words(t)
-        seen.update((x, hash((p, q))) for p, x, q in zip([b"", *w[:-1]], w, [*w[1:], b""], strict=True))
-    return Counter(w for w, _ in seen)
+        for p, x, q in zip([b"", *w[:-1]], w, [*w[1:], b""], strict=True):
+            h = hash((p, x, q))
+            if h not in seen:
+                seen.add(h)
+                found[x] += 1
+    return found
 
 
 def typical(toxic: Counter, ordinary: Counter) -> list[bytes]:
@@ -133,7 +139,7 @@ def fit(toxic: list[bytes], ordinary: list[bytes]) -> Model:
     """A model from labelled texts. Without toxic texts every score is 0."""
     a, b = math.ceil(len(toxic) * DICTIONARY_SHARE), math.ceil(len(ordinary) * DICTIONARY_SHARE)
     c1, c0 = contexts(toxic[:a]), contexts(ordinary[:b])
-    usual = [w for _, w in sorted((n, w) for w, n in c0.items())[-ORDINARY_WORDS:]]
+    usual = [w for _, w in nlargest(ORDINARY_WORDS, ((n, w) for w, n in c0.items()))][::-1]
     model = Model(typical(c1, c0), usual)
     if model.toxic:
         rest = toxic[a:] + ordinary[b:]
@@ -174,6 +180,7 @@ def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with a column SCORE from 0 to 1; texts are scored whole, one in memory at a time."""
+    prepare(docs, "text")
     kinds = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return docs.mapInArrow(partial(_score, model=shared), f"{kinds}, {SCORE} double")
@@ -187,8 +194,8 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     without gains. Repeated rows are scored alike; without labels all scores are 0; an empty
     table gives no rows, and further columns are ignored.
     """
-    table_names(docs, "doc_id", "text")
-    table_names(labels, "doc_id", "toxic")
+    prepare(docs, "doc_id", "text")
+    prepare(labels, "doc_id", "toxic")
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     s = scored(d, train(docs, labels)).drop("text")
     return s.select("doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), F.col(SCORE).alias("score"), (F.col(SCORE) >= 0.5).cast("int").alias("predicted"))

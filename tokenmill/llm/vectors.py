@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tokenmill.llm.texts import table_names
+from tokenmill.llm.texts import prepare
 from tokenmill.scratch import stage
 
 K = 10
@@ -159,7 +159,7 @@ def search(vectors: DataFrame, is_query: Column | None = None, k: int = K) -> Da
     about CANDIDATES vectors of one list and QUERIES of its queries: larger lists (one that holds
     a third of all vectors, say) and their queries are cut by a hash of their ids.
     """
-    table_names(vectors, "vec_id", "embedding")
+    prepare(vectors, "vec_id", "embedding")
     sc = vectors.sparkSession.sparkContext
     good = usable(vectors)
     shapes = good.groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), "dim").first()

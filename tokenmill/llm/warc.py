@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenmill.llm.texts import byte_rows, table_names
+from tokenmill.llm.texts import byte_rows, prepare
 from tokenmill.scratch import new_path, stage
 
 LAST = (1 << 63) - 1
@@ -228,7 +228,7 @@ def with_revisits(pages: DataFrame, min_revisit_bytes: int = MIN_REVISIT_BYTES)
 
 def write_archives(pages: DataFrame, folder: str, min_revisit_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
     """Write whole-file gzip archives of pages, one for each partition, to a shared folder; returns ``path, n``."""
-    table_names(pages, "page_id", "url", "html")
+    prepare(pages, "page_id", "url", "html")
     rows = with_revisits(pages, min_revisit_bytes).mapInArrow(partial(_write, folder=folder), "path string, n long")
     return stage(rows, "warc-raw")[0]
 

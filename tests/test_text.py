@@ -156,3 +156,12 @@ def test_metrics(spark):
     assert metrics.encode_speed(TEXT, t) > 0
     x = spark.range(1).select(metrics.loss_to_bpb(F.lit(3.0), F.lit(3.6)).alias("x")).first().x
     assert x == pytest.approx(3.0 / 0.6931471805599453 / 3.6)
+
+
+def test_run_slices(spark):
+    from tokenmill.functions.text import run_slices, split_runs
+
+    assert list(run_slices("aaaaa  bb", 2, 100)) == ["aa", "aa", "a  bb"]
+    assert list(run_slices("", 2, 100)) == [] and list(run_slices("abc", 9, 2)) == ["ab", "c"]
+    d = spark.createDataFrame([("x" * 7,), (None,)], "t string").select(split_runs(F.col("t"), 3, 100).alias("s")).collect()
+    assert [r.s for r in d] == [["xxx", "xxx", "x"], None]

@@ -51,6 +51,16 @@ def records(rows: DataFrame) -> DataFrame:
     return r.withColumn("__last", last).where("val_loss is not null or ordinal < __last").drop("__last")
 
 
+def steps_once(lines: DataFrame) -> DataFrame:
+    """``run, step, val_loss``: any line that names a step opens it, and the first val line behind it takes it; others are dropped."""
+    group = lambda p: F.nullif(F.regexp_extract("line", p, 1), F.lit(""))
+    d = lines.select("run", "line_no", group(r"step\s+(\d+)").cast("long").alias("step"), group(VAL).cast("double").alias("val_loss")).where("step is not null or val_loss is not null")
+    d = d.withColumn("ordinal", F.count("step").over(Window.partitionBy("run").orderBy("line_no"))).where("ordinal > 0")
+    # a line with both takes its own step
+    r = d.groupBy("run", "ordinal").agg(F.max("step").alias("step"), F.min_by("val_loss", F.when(F.col("val_loss").isNotNull(), F.col("line_no"))).alias("val_loss"))
+    return r.where("val_loss is not null").select("run", "step", "val_loss")
+
+
 def reached(recs: DataFrame, targets: DataFrame) -> DataFrame:
     """``run, target, step, val_loss, hit``: the first record at or below the target, else the one of the highest step (the first of equals). ``targets`` has run and target."""
     d = recs.where("val_loss is not null").join(targets, "run")

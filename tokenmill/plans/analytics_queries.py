@@ -44,6 +44,10 @@ def log_records(spark, sf):
     return logs.records(logs.parsed(_lines(spark, sf)))
 
 
+def log_steps_once(spark, sf):
+    return logs.steps_once(_lines(spark, sf))
+
+
 def log_target(spark, sf):
     r = logs.records(logs.parsed(_lines(spark, sf)))
     return logs.reached(r, r.select("run").distinct().withColumn("target", F.lit(TARGET)))
@@ -287,7 +291,7 @@ def prefix_bytes(spark, sf):
 
 def queries() -> dict:
     found = (
-        log_val_curve, log_final_val, log_records, log_target, convergence, equal_compute, metric_streams, stream_ranges, last_values, zscore_outliers, skip_updates, moving_average, ema_rate,
+        log_val_curve, log_final_val, log_records, log_steps_once, log_target, convergence, equal_compute, metric_streams, stream_ranges, last_values, zscore_outliers, skip_updates, moving_average, ema_rate,
         lr_schedules, bytes_per_token_source, percent_gate, fixed_columns, done_markers, checkpoint_retention, harness_rollup, kernel_rollup, recent_mean, val_batches, auto_config, accumulation,
         utilisation, choice_render, choice_predictions, choice_accuracy, running_accuracy, label_accuracy, eval_stream, softmax_loss, softmax_rows, gelu_values, standardised, global_norm,
         top_k_crop, nucleus, cdf_sample, xorshift, prefix_bytes,

@@ -66,6 +66,7 @@ def oracle_sql() -> dict[str, str]:
         "log_val_curve": BY_USER + CURVE + " SELECT * FROM curve",
         "log_final_val": BY_USER + CURVE + " SELECT run, arg_max(val_loss, line_no) AS final_val, arg_max(step, line_no) AS final_step FROM curve GROUP BY run",
         "log_records": BY_USER + RECORDS + " SELECT run, ordinal, step, train_loss, val_loss FROM recs",
+        "log_steps_once": BY_USER + RECORDS + " SELECT run, step, val_loss FROM recs WHERE val_loss IS NOT NULL",
         "log_target": BY_USER + RECORDS + REACHED.format(target=TARGET) + f" SELECT run, {TARGET}::DOUBLE AS target, step, val_loss, hit FROM reached",
         "convergence": ARMS + ", " + DENSITY + RECORDS + REACHED.format(target=1.0) + f""",
 c AS (SELECT run, step * {TOTAL_BATCH} * bpt AS n_bytes, val_loss / ln(2.0) / bpt AS bpb FROM reached JOIN density USING (run))

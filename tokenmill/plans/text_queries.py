@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenmill.functions.bytesx import pack_le, positional_features, printable, to_bytes, unpack_le
+from tokenmill.functions.text import split_runs
 from tokenmill.operators import bytelm, codec, corpus, metrics, minhash, ngrams, pack, segment, vocab
 from tokenmill.operators.components import connected_components
 from tokenmill.session import table
@@ -286,6 +287,12 @@ def section_split(spark, sf):
     return s.groupBy("doc_id").agg(F.count("*").alias("sections"), F.sum(F.length("section")).alias("chars"), F.max(F.length("section")).cast("long").alias("longest"))
 
 
+def run_slices(spark, sf):
+    """Slices of documents in which no word is longer than 12 characters, and no slice longer than 1,000."""
+    d = _docs(spark, sf).select("doc_id", split_runs(F.col("text"), 12, 1_000).alias("s"))
+    return d.select("doc_id", F.size("s").cast("long").alias("slices"), F.length(F.array_join("s", "")).cast("long").alias("chars"))
+
+
 def text_shards(spark, sf):
     s = corpus.text_shards(_docs(spark, sf), 128)
     return s.groupBy("shard").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
@@ -364,7 +371,7 @@ def queries() -> dict:
         ngram_counts_n2, ngram_counts_sql_n3, ngram_totals, ngram_topk_per_n, freq_vocab, vocab_lengths, byte_lm_counts, byte_lm_contexts, bigram_model, bigram_entropy_by_lang, surprise_stats,
         segments_topk, segment_pairs_topk, token_pmi, entropy_vocab, cluster_vocab, independent_vocab, gain_vocab, minhash_signatures, lsh_buckets, lsh_pairs, lsh_components, lsh_representatives,
         jaccard_pairs, match_positions, first_round_gain, encode_greedy, encode_with_eot, decode_roundtrip, tokenizer_metrics_by_lang, benchmark_metrics, tokenizer_comparison, word_fertility,
-        shortest_cost, token_density, bits_per_byte, packed_grams, gram_features, printable_tokens, corpus_prefix, doc_split_marker, section_split, text_shards, shard_pack, document_shards,
+        shortest_cost, token_density, bits_per_byte, packed_grams, gram_features, printable_tokens, corpus_prefix, doc_split_marker, section_split, run_slices, text_shards, shard_pack, document_shards,
         loader_manifest, batch_layout, batch_resume, val_prefix_split, token_range_check, token_shard_files, eval_split,
     )
     return {f.__name__: f for f in found}

@@ -176,6 +176,7 @@ SELECT lang, sum(freq)::BIGINT AS pairs, round(sum(-freq * log2(freq / n)) / sum
         "corpus_prefix": "WITH d AS (SELECT doc_id, hex(encode(text)) AS hx, octet_length(encode(text)) AS n FROM documents WHERE text IS NOT NULL), o AS (SELECT *, (sum(n) OVER (ORDER BY doc_id) - n)::BIGINT AS before FROM d) SELECT doc_id, before, least(n, 1000000 - before)::BIGINT AS n_bytes, md5(unhex(substr(hx, 1, 2 * least(n, 1000000 - before)::INT))) AS digest FROM o WHERE before < 1000000",
         "doc_split_marker": "WITH j AS (SELECT conv_id, string_agg(text, chr(10) || '<|endoftext|> ' ORDER BY turn, text) AS text FROM conversations GROUP BY conv_id), p AS (SELECT conv_id, string_split(text, '<|endoftext|>') AS parts FROM j), u AS (SELECT conv_id, i - 1 AS part, regexp_replace(parts[i], '^\\s+|\\s+$', '', 'g') AS document FROM (SELECT conv_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM p)) SELECT * FROM u WHERE document != ''",
         "section_split": "WITH p AS (SELECT doc_id, string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10)) AS parts FROM documents), u AS (SELECT doc_id, CASE WHEN i < len(parts) THEN parts[i] || chr(10) || chr(10) ELSE parts[i] END AS s FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM p)) SELECT doc_id, count(*) AS sections, sum(length(s))::BIGINT AS chars, max(length(s)) AS longest FROM u GROUP BY doc_id",
+        "run_slices": "WITH c AS (SELECT doc_id, length(text) AS chars, unnest(list_transform(range(0, length(text), 1000), lambda a : regexp_extract_all(text[a + 1 : a + 1000], '\\s+|\\S+'))) AS runs FROM documents) SELECT doc_id, sum(1 + list_sum(list_transform(runs, lambda r : (length(r) - 1) // 12)))::BIGINT AS slices, any_value(chars) AS chars FROM c GROUP BY doc_id",
         "text_shards": "SELECT shard, count(*) AS n_docs, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 128 AS shard FROM documents) GROUP BY shard",
         "shard_pack": with_(*STREAM[:2], PIECES) + f"SELECT item_id, shard, {SPLIT}, first, n_tokens FROM pc",
         "document_shards": with_("o AS (SELECT doc_id, n, (sum(n) OVER (ORDER BY doc_id) - n)::BIGINT AS before FROM (SELECT doc_id, coalesce(length(text), 0) + 1 AS n FROM documents))", "pc AS (SELECT doc_id, shard, least((shard + 1) * 100000, before + n) - greatest(shard * 100000, before) AS n_tokens FROM (SELECT *, unnest(range(before // 100000, (before + n - 1) // 100000 + 1)) AS shard FROM o))") + f"SELECT shard, {SPLIT}, sum(n_tokens)::BIGINT AS n_tokens, count(*) AS n_docs FROM pc GROUP BY shard",

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokenmill.llm.texts import byte_rows, prepare
-from tokenmill.scratch import new_path, stage
+from tokenmill.scratch import drop_path, new_path, stage
 
 LAST = (1 << 63) - 1
 MIN_REVISIT_BYTES = 0
@@ -259,4 +259,6 @@ def round_trip(pages: DataFrame, folder: str | None = None, min_revisit_bytes: i
         f, p = file_system(folder)
         f.create_dir(p, recursive=True)
     raw = write_archives(pages, f"{folder}/raw", min_revisit_bytes)
-    return read_archives(normalise_archives(raw, f"{folder}/members"))
+    members = normalise_archives(raw, f"{folder}/members")
+    drop_path(pages.sparkSession, f"{folder}/raw")  # all that they hold is in the members
+    return read_archives(members)

@@ -10,6 +10,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from contextlib import suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,8 +57,13 @@ def drop_all(spark: SparkSession) -> None:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of plans that are no longer referenced."""
+    """Let Spark remove the shuffle files of plans that are no longer referenced.
+
+    An event that waits in the listener bus still refers to its plan, so the bus is emptied first.
+    """
     gc.collect()
+    with suppress(Exception):
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
     spark._jvm.System.gc()
 
 

@@ -216,7 +216,9 @@ def _meet(batches: Iterator[pa.RecordBatch], strict: bool, index: bool) -> Itera
             values[heads] = at >> 8
         if more:
             values[~heads] = lists.flatten().to_numpy(zero_copy_only=False)
-        cols = [pa.array(np.full(n, kind, np.int32)), rows.column("h"), rows.column("digest"), pa.array(sub[mask].astype(np.int32)), rows.column("dk"), rows.column("tk"), pa.array(at), _lists(counts, values)]
+        # what is settled needs no hashes, which don't compress
+        h, digest = (rows.column("h"), rows.column("digest")) if kind != DUP else [pa.array(np.zeros(n, np.int64))] * 2
+        cols = [pa.array(np.full(n, kind, np.int32)), h, digest, pa.array(sub[mask].astype(np.int32)), rows.column("dk"), rows.column("tk"), pa.array(at), _lists(counts, values)]
         return pa.RecordBatch.from_arrays(cols, schema=schema)
 
     held = None  # first runs of the gram's only digest so far, at the end of what has been read

@@ -98,3 +98,28 @@ def test_links_of_dense_groups(spark, bits, group):
     for p in prints:
         assert same.setdefault(want[p], found.get(p, p)) == found.get(p, p)
     assert len(set(same.values())) == len(set(want.values()))
+
+
+@pytest.mark.parametrize("held", [simhash.HELD, 1])
+def test_copies_at_the_end_of_a_chain_go(spark, held):
+    """C is too far from A, but linked to it by B; D equals C and E is near it."""
+    r = random.Random(9)
+    words = ["".join(r.choices("abcdefgh", k=5)) for _ in range(2000)]
+    a = r.choices(words, k=400)
+
+    def changed(text, places):
+        return [f"new{k}" if k in places else w for k, w in enumerate(text)]
+
+    b = changed(a, range(20, 380, 30))
+    c = changed(b, range(30, 380, 30))
+    e = changed(c, [200])
+    rows = [(1, a), (5, c), (7, b), (9, c), (11, e), (20, r.choices(words, k=400))]
+    near = lambda x, y: simhash.similarity(*(simhash.shingle_set(" ".join(t).encode()) for t in (x, y)))
+    assert near(a, c) < 0.8 <= near(c, e)
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")
+    got = sorted(k.doc_id for k in keep_firsts(d, max_bits=40, streams=1, held=held).collect())
+    want = []
+    for i, t in rows:
+        if all(near(t, dict(rows)[j]) < 0.8 for j in want):
+            want.append(i)
+    assert got == want and not {9, 11} & set(got)

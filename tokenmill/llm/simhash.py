@@ -11,6 +11,7 @@ join on it, and their full distance is verified there.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 from itertools import islice
@@ -32,6 +33,8 @@ MAX_BITS = 3
 WIDE_BITS, STREAMS, VERIFY_WORDS, LEAST = 5, 2, 5, 0.8
 #: Fingerprints of one variant that are compared in one task; larger groups are compared by blocks.
 GROUP = 4096
+#: Shingles of texts that stay, of one class, that a task holds.
+HELD = 2_000_000
 _HASHES = 1 << 15
 
 
@@ -77,10 +80,12 @@ def fingerprint_streams(text: bytes | None, shingle: int, seed: int, streams: in
 
 
 def _prints(batches: Iterator[pa.RecordBatch], shingle: int, seed: int, streams: int) -> Iterator[pa.RecordBatch]:
+    """Columns other than the text pass through."""
     for b in batches:
-        found = [fingerprint_streams(x, shingle, seed, streams) for x in byte_rows(b.column(1))]
+        found = [fingerprint_streams(x, shingle, seed, streams) for x in byte_rows(b.column("text"))]
         fp = np.array(found, np.uint64).reshape(-1, streams).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(fp[:, s].copy()) for s in range(streams)]], ["doc_id", *_columns(streams)])
+        ids = [n for n in b.schema.names if n != "text"]
+        yield pa.RecordBatch.from_arrays([*map(b.column, ids), *[pa.array(fp[:, s].copy()) for s in range(streams)]], [*ids, *_columns(streams)])
 
 
 def _columns(streams: int) -> list[str]:
@@ -229,6 +234,19 @@ def hamming_links(prints: DataFrame, max_bits: int = MAX_BITS, group: int = GROU
     return links.distinct()
 
 
+def _links(prints: DataFrame, max_bits: int, streams: int) -> DataFrame:
+    """``a, b``: links of the fingerprints in ``prints``, and of nodes that stand for those of further streams."""
+    links = hamming_links(prints.select("fp").distinct(), max_bits)
+    for s in range(1, streams):
+        # links of a further stream join the first one's fingerprints over the documents that have both
+        own = prints.select("fp", F.col(f"fp{s}").alias("other")).distinct()
+        found, _ = stage(hamming_links(own.select(F.col("other").alias("fp")).distinct(), max_bits), "stream-links")
+        joined = found.select("a").union(found.select("b")).union(own.groupBy("other").count().where("count > 1").select("other")).distinct()
+        name = lambda c: F.xxhash64(F.lit(s), F.col(c))  # noqa: B023, E731
+        links = links.union(found.select(name("a"), name("b"))).union(own.join(joined.withColumnRenamed("a", "other"), "other").select("fp", name("other")))
+    return links
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, max_bits: int = MAX_BITS, streams: int = 1) -> DataFrame:
     """``doc_id, fingerprint, component_id``, one row for each row of ``docs``.
 
@@ -243,15 +261,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, m
     """
     prints, _ = stage(fingerprints(docs, shingle, seed, streams), "prints")
     each = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    links = hamming_links(each.select("fp"), max_bits)
-    for s in range(1, streams):
-        # links of a further stream join the first one's fingerprints over the documents that have both
-        own = prints.select("fp", F.col(f"fp{s}").alias("other")).distinct()
-        found, _ = stage(hamming_links(own.select(F.col("other").alias("fp")).distinct(), max_bits), "stream-links")
-        joined = found.select("a").union(found.select("b")).union(own.groupBy("other").count().where("count > 1").select("other")).distinct()
-        name = lambda c: F.xxhash64(F.lit(s), F.col(c))  # noqa: B023, E731
-        links = links.union(found.select(name("a"), name("b"))).union(own.join(joined.withColumnRenamed("a", "other"), "other").select("fp", name("other")))
-    roots = connected_components(links)
+    roots = connected_components(_links(prints, max_bits, streams))
     classes = each.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     firsts = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     of = classes.join(firsts, "root").select("fp", "component_id")
@@ -271,33 +281,95 @@ def similarity(a: set[int], b: set[int]) -> float:
     return len(a & b) / len(a | b) if a or b else 1.0
 
 
-def _copies(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    known, of = None, None  # the last representative, as its members mostly come together
+class Kept:
+    """Shingle sets of the texts of one class that stay, found again by the smallest hashes of a set.
+
+    Two sets of a similarity of ``least`` or more share one of the ``_prefix`` smallest hashes of either.
+    """
+
+    def __init__(self, least: float):
+        self.least, self.size, self.sets = least, 0, []
+        self.having: dict[int, list[int]] = {}
+
+    def _prefix(self, x: np.ndarray) -> list[int]:
+        return x[: len(x) - math.ceil(self.least * len(x) - 1e-9) + 1].tolist()
+
+    def near(self, x: np.ndarray) -> bool:
+        """Whether a set that stays is so similar."""
+        if self.least <= 0 or not len(x):
+            return any(self.least <= 0 or not len(y) for y in self.sets)
+        for k in {k for h in self._prefix(x) for k in self.having.get(h, ())}:
+            y = self.sets[k]
+            if min(len(x), len(y)) >= self.least * max(len(x), len(y)) - 1e-9:
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if both / (len(x) + len(y) - both) >= self.least:
+                    return True
+        return False
+
+    def add(self, x: np.ndarray) -> None:
+        for h in self._prefix(x) if len(x) else ():
+            self.having.setdefault(h, []).append(len(self.sets))
+        self.sets.append(x)
+        self.size += len(x) + 1
+
+
+_KEY = ["root", "doc_id", "h0", "h1"]
+
+
+def _copies(batches: Iterator[pa.RecordBatch], least: float, held: int) -> Iterator[pa.RecordBatch]:
+    """Members that go, and those that are still open since the class has ``held`` shingles that stay. Rows come sorted by _KEY."""
+    root = last = kept = None
     for b in batches:
-        drop = []
-        for text, rep in zip(byte_rows(b.column("text")), byte_rows(b.column("rep")), strict=True):
-            if rep != known or of is None:
-                known, of = rep, shingle_set(rep)
-            drop.append(text == rep or similarity(shingle_set(text), of) >= least)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id")], ["doc_id"]).filter(pa.array(drop))
-
-
-def keep_firsts(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, max_bits: int = WIDE_BITS, streams: int = STREAMS, least: float = LEAST) -> DataFrame:
-    """``docs`` without near copies of the document of the smallest doc_id of their class.
-
-    Classes come from ``streams`` fingerprints within ``max_bits`` bits. A member goes if its five-word
-    shingles have a Jaccard similarity of ``least`` or more with those of the class's first
-    document; a member that only hangs on by a chain of others stays. Rows that repeat doc_id and
-    text are one document and leave one row; rows without a doc_id stay. Other columns pass
-    through unchanged. Each member is compared once, so a class of any size costs its size.
+        out = []
+        for at, (text, *key) in enumerate(zip(byte_rows(b.column("text")), *(b.column(c).to_pylist() for c in _KEY), strict=True)):
+            if key == last:  # the row is repeated
+                continue
+            if key[0] != root or kept is None:
+                root, kept = key[0], Kept(least)
+            last, x = key, np.sort(np.fromiter(shingle_set(text), np.uint64))
+            if kept.near(x):
+                out.append((at, False))
+            elif kept.size < held:
+                kept.add(x)
+            else:
+                out.append((at, True))
+        rows = pa.array([at for at, _ in out], pa.int64())
+        yield pa.RecordBatch.from_arrays([*(b.column(c).take(rows) for c in _KEY), pa.array([x for _, x in out], pa.bool_())], [*_KEY, "open"])
+
+
+def keep_firsts(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, max_bits: int = WIDE_BITS, streams: int = STREAMS, least: float = LEAST, held: int = HELD) -> DataFrame:
+    """``docs`` without near copies of a document of a smaller doc_id of their class that stays.
+
+    Classes come from ``streams`` fingerprints within ``max_bits`` bits. Equal texts leave the one of the
+    smallest doc_id. Then the members of a class are taken by ascending doc_id: one goes if its five-word
+    shingles have a Jaccard similarity of ``least`` or more with those of a member that stays, so no two
+    such members of a class both stay; one that only hangs on by a chain of others stays. Rows that
+    repeat doc_id and text are one document and leave one row; rows without a doc_id stay. Other
+    columns pass through unchanged. A task holds about ``held`` shingles that stay; a class that has
+    more takes a further pass over the members that are open.
     """
-    found = near_duplicates(docs.select("doc_id", "text"), shingle, seed, max_bits, streams)
-    members, _ = stage(found.where("doc_id != component_id").select("doc_id", "component_id").distinct(), "near-members")
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    first = members.select(F.col("component_id").alias("doc_id")).distinct()
-    reps = d.join(first, "doc_id").groupBy(F.col("doc_id").alias("component_id")).agg(F.min("text").alias("rep"))
-    pairs = d.join(members, "doc_id").join(reps, "component_id").select("doc_id", "text", "rep")
-    drop, _ = stage(pairs.mapInArrow(partial(_copies, least=least), "doc_id long").distinct(), "near-drop")
+    prepare(docs, "doc_id", "text")
+    text = F.col("text").cast("string")
+    # 128 bits that stand for the text
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h0"), F.xxhash64(F.lit(1), text).alias("h1"))
+    kinds = ", ".join(f"{c} long" for c in ("doc_id", "h0", "h1", *_columns(streams)))
+    prints, _ = stage(d.mapInArrow(partial(_prints, shingle=shingle, seed=seed, streams=streams), kinds), "prints")
+    roots = connected_components(_links(prints, max_bits, streams))
+    named = prints.where("doc_id is not null")
+    texts, _ = stage(named.groupBy("h0", "h1").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp")), "near-texts")
+    equal = named.join(texts.select("h0", "h1", "first"), ["h0", "h1"]).where("doc_id > first").select("doc_id", "h0", "h1")
+    of = texts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(F.coalesce("root", "fp").alias("root"), F.col("first").alias("doc_id"), "h0", "h1")
+    several = of.groupBy("root").count().where("count > 1").select("root")
+    drop, _ = stage(equal.distinct(), "near-drop")
+    members, _ = stage(of.join(several, "root", "left_semi").select(*_KEY), "near-members")
+    while True:
+        rows = d.join(members, ["doc_id", "h0", "h1"]).select(*_KEY, "text").repartition("root").sortWithinPartitions(*_KEY)
+        done, _ = stage(rows.mapInArrow(partial(_copies, least=least, held=held), "root long, doc_id long, h0 long, h1 long, open boolean"), "near-copies")
+        drop = drop.union(done.where("not open").select("doc_id", "h0", "h1"))
+        members = done.where("open").select(*_KEY)
+        if not members.limit(1).count():
+            break
+    drop = drop.select("doc_id").distinct()
     kept = docs.where("doc_id is not null").join(drop.withColumnRenamed("doc_id", "__id"), F.col("doc_id") == F.col("__id"), "left_anti")
     once = Window.partitionBy("doc_id", F.sha2("text", 256)).orderBy(F.lit(1))
     kept = kept.withColumn("__n", F.row_number().over(once)).where("__n = 1").drop("__n")

@@ -123,3 +123,21 @@ def test_copies_at_the_end_of_a_chain_go(spark, held):
         if all(near(t, dict(rows)[j]) < 0.8 for j in want):
             want.append(i)
     assert got == want and not {9, 11} & set(got)
+
+
+def test_near_copies_of_every_similarity_go(spark):
+    """By band of five-word similarity, against the similarity of all planted pairs."""
+    r = random.Random(11)
+    words = ["".join(r.choices("abcdefgh", k=5)) for _ in range(3000)]
+    rows, band = [], {}
+    for i in range(150):
+        text = r.choices(words, k=300)
+        places = set(r.sample(range(300), r.randint(1, 7)))
+        copy = ["new" if k in places else w for k, w in enumerate(text)]
+        rows += [(i, " ".join(text)), (1000 + i, " ".join(copy))]
+        s = simhash.similarity(*(simhash.shingle_set(t.encode()) for _, t in rows[-2:]))
+        if s >= 0.8:
+            band.setdefault(min(int(s * 20), 18), []).append(1000 + i)
+    kept = {k.doc_id for k in keep_firsts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(range(150)) <= kept and all(len(band[k]) >= 10 for k in (16, 17, 18))
+    assert not kept & {i for ids in band.values() for i in ids}

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import partial
+from functools import cache, partial
 from itertools import islice
 
 import numpy as np
@@ -31,6 +31,8 @@ SEED = 42
 MAX_BITS = 3
 #: Of ``keep_firsts``: differing bits and streams of candidates, which are then compared by shingles of five words.
 WIDE_BITS, STREAMS, VERIFY_WORDS, LEAST = 5, 2, 5, 0.8
+#: Bands of ``keep_firsts``, each of ROWS least values of five-word shingles: texts of a similarity of 0.8 share one but for 1 in 2,700.
+BANDS, ROWS = 20, 5
 #: Fingerprints of one variant that are compared in one task; larger groups are compared by blocks.
 GROUP = 4096
 #: Shingles of texts that stay, of one class, that a task holds.
@@ -79,13 +81,34 @@ def fingerprint_streams(text: bytes | None, shingle: int, seed: int, streams: in
     return [int(np.packbits(o * 2 > total, bitorder="little").view(np.uint64)[0]) for o in ones]
 
 
-def _prints(batches: Iterator[pa.RecordBatch], shingle: int, seed: int, streams: int) -> Iterator[pa.RecordBatch]:
+@cache
+def _mix(n: int, seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).integers(0, 2**64, (2, n), np.uint64)
+
+
+def bands(text: bytes | None, count: int = BANDS, rows: int = ROWS, seed: int = SEED) -> list[int]:
+    """MinHash bands of the five-word shingles of a text, none for a text without words."""
+    h = np.fromiter(shingle_set(text), np.uint64)
+    if not len(h):
+        return []
+    mix = _mix(count * rows, seed)
+    least = np.full(count * rows, 2**64 - 1, np.uint64)
+    for at in range(0, len(h), 1024):
+        np.minimum(least, ((h[at : at + 1024, None] ^ mix[0]) * (mix[1] | np.uint64(1))).min(0), out=least)
+    key = np.arange(count, dtype=np.uint64)
+    for x in least.reshape(count, rows).T:
+        key = _remixed(key ^ x, 1)
+    return key.view(np.int64).tolist()
+
+
+def _prints(batches: Iterator[pa.RecordBatch], shingle: int, seed: int, streams: int, banded: bool = False) -> Iterator[pa.RecordBatch]:
     """Columns other than the text pass through."""
     for b in batches:
         found = [fingerprint_streams(x, shingle, seed, streams) for x in byte_rows(b.column("text"))]
         fp = np.array(found, np.uint64).reshape(-1, streams).view(np.int64)
         ids = [n for n in b.schema.names if n != "text"]
-        yield pa.RecordBatch.from_arrays([*map(b.column, ids), *[pa.array(fp[:, s].copy()) for s in range(streams)]], [*ids, *_columns(streams)])
+        more = [pa.array([bands(x) for x in byte_rows(b.column("text"))], pa.list_(pa.int64()))] if banded else []
+        yield pa.RecordBatch.from_arrays([*map(b.column, ids), *[pa.array(fp[:, s].copy()) for s in range(streams)], *more], [*ids, *_columns(streams), *["bands"][: len(more)]])
 
 
 def _columns(streams: int) -> list[str]:
@@ -268,6 +291,13 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, m
     return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _band_links(prints: DataFrame) -> DataFrame:
+    """``a, b``: each fingerprint that shares a band, with the least one that has the band."""
+    rows, _ = stage(prints.select("fp", F.explode("bands").alias("band")).distinct(), "bands")
+    shared = rows.groupBy("band").agg(F.min("fp").alias("a"), F.max("fp").alias("most")).where("a != most").select("band", "a")
+    return rows.join(shared, "band").where("fp != a").select("a", F.col("fp").alias("b")).distinct()
+
+
 def shingle_set(text: bytes | None, words: int = VERIFY_WORDS) -> set[int]:
     """Hashes of the different word shingles of a text, lower-cased like fingerprints; fewer words are one shingle."""
     w = (text or b"").lower().split()
@@ -340,7 +370,8 @@ def _copies(batches: Iterator[pa.RecordBatch], least: float, held: int) -> Itera
 def keep_firsts(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, max_bits: int = WIDE_BITS, streams: int = STREAMS, least: float = LEAST, held: int = HELD) -> DataFrame:
     """``docs`` without near copies of a document of a smaller doc_id of their class that stays.
 
-    Classes come from ``streams`` fingerprints within ``max_bits`` bits. Equal texts leave the one of the
+    Classes come from ``streams`` fingerprints within ``max_bits`` bits, and from shared MinHash bands of
+    five-word shingles unless ``least`` is 0, where the fingerprints alone decide. Equal texts leave the one of the
     smallest doc_id. Then the members of a class are taken by ascending doc_id: one goes if its five-word
     shingles have a Jaccard similarity of ``least`` or more with those of a member that stays, so no two
     such members of a class both stay; one that only hangs on by a chain of others stays. Rows that
@@ -352,9 +383,11 @@ def keep_firsts(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, max_b
     text = F.col("text").cast("string")
     # 128 bits that stand for the text
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h0"), F.xxhash64(F.lit(1), text).alias("h1"))
-    kinds = ", ".join(f"{c} long" for c in ("doc_id", "h0", "h1", *_columns(streams)))
-    prints, _ = stage(d.mapInArrow(partial(_prints, shingle=shingle, seed=seed, streams=streams), kinds), "prints")
-    roots = connected_components(_links(prints, max_bits, streams))
+    banded = least > 0
+    kinds = ", ".join(f"{c} long" for c in ("doc_id", "h0", "h1", *_columns(streams))) + ", bands array<long>" * banded
+    prints, _ = stage(d.mapInArrow(partial(_prints, shingle=shingle, seed=seed, streams=streams, banded=banded), kinds), "prints")
+    links = _links(prints, max_bits, streams)
+    roots = connected_components(links.union(_band_links(prints)) if banded else links)
     named = prints.where("doc_id is not null")
     texts, _ = stage(named.groupBy("h0", "h1").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp")), "near-texts")
     equal = named.join(texts.select("h0", "h1", "first"), ["h0", "h1"]).where("doc_id > first").select("doc_id", "h0", "h1")

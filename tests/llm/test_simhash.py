@@ -141,3 +141,11 @@ def test_near_copies_of_every_similarity_go(spark):
     kept = {k.doc_id for k in keep_firsts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert set(range(150)) <= kept and all(len(band[k]) >= 10 for k in (16, 17, 18))
     assert not kept & {i for ids in band.values() for i in ids}
+
+
+def test_other_text_of_a_repeated_id_stays(spark):
+    r = random.Random(13)
+    first, other = (" ".join(f"w{r.randrange(5000)}" for _ in range(100)) for _ in range(2))
+    rows = [(1, first), (7, first), (7, other), (8, first + " more"), (8, other + " more")]
+    got = keep_firsts(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == [(1, first), (7, other)]

@@ -375,8 +375,8 @@ def keep_firsts(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, max_b
     smallest doc_id. Then the members of a class are taken by ascending doc_id: one goes if its five-word
     shingles have a Jaccard similarity of ``least`` or more with those of a member that stays, so no two
     such members of a class both stay; one that only hangs on by a chain of others stays. Rows that
-    repeat doc_id and text are one document and leave one row; rows without a doc_id stay. Other
-    columns pass through unchanged. A task holds about ``held`` shingles that stay; a class that has
+    repeat doc_id and text are one document and leave one row; rows of one doc_id and different
+    texts are different documents; rows without a doc_id stay. Other columns pass through unchanged. A task holds about ``held`` shingles that stay; a class that has
     more takes a further pass over the members that are open.
     """
     prepare(docs, "doc_id", "text")
@@ -402,8 +402,9 @@ def keep_firsts(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, max_b
         members = done.where("open").select(*_KEY)
         if not members.limit(1).count():
             break
-    drop = drop.select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(drop.withColumnRenamed("doc_id", "__id"), F.col("doc_id") == F.col("__id"), "left_anti")
+    drop = drop.toDF("__id", "__h0", "__h1")
+    same = (F.col("doc_id") == F.col("__id")) & (F.xxhash64(text) == F.col("__h0")) & (F.xxhash64(F.lit(1), text) == F.col("__h1"))
+    kept = docs.where("doc_id is not null").join(drop, same, "left_anti")
     once = Window.partitionBy("doc_id", F.sha2("text", 256)).orderBy(F.lit(1))
     kept = kept.withColumn("__n", F.row_number().over(once)).where("__n = 1").drop("__n")
     return kept.unionByName(docs.where("doc_id is null"))

@@ -52,3 +52,11 @@ def test_cleaning_and_empty_tables(spark):
     assert decontaminate(d, items.limit(0)).count() == 4
     assert contamination(d.limit(0), items).count() == 0
     assert cut("é a b".encode(), [(0, 1), (2, 3)]) == b" a "
+
+
+def test_items_without_an_id_are_cut(spark):
+    long, short = "one two three four five six seven eight nine ten eleven", "red green blue"
+    rest = "and quite a lot of other words that come after it here"
+    d = spark.createDataFrame([(1, f"{long} {rest}"), (2, f"{short} {rest}"), (3, rest)], "doc_id long, text string")
+    items = spark.createDataFrame([(None, long), (None, short), (5, "unrelated words")], "item_id long, text string")
+    assert {x.doc_id: x.text.strip() for x in decontaminate(d, items, max_coverage=0.9).collect()} == {1: rest, 2: rest, 3: rest}

@@ -40,7 +40,7 @@ class SuffixAutomaton:
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
         self.vocabulary: dict[bytes, int] = {}
-        self.items: list[tuple[int, list[int]]] = []
+        self.items: list[tuple[int | None, list[int]]] = []
         self.words = 0
 
     def _state(self, length: int, link: int, moves: dict[int, int]) -> int:
@@ -60,7 +60,7 @@ class SuffixAutomaton:
             p = self.link[p]
         return clone
 
-    def add(self, item_id: int, words: list[bytes]) -> None:
+    def add(self, item_id: int | None, words: list[bytes]) -> None:
         ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words]
         self.items.append((item_id, ids))
         self.words += len(ids)
@@ -81,7 +81,7 @@ class SuffixAutomaton:
         """Find each state's window (the state of its last ``window`` words) and the items of windows and of short items."""
         n = self.window
         self.home = [-1] * len(self.link)
-        self.short: dict[int, list[tuple[int, int]]] = {}
+        self.short: dict[int, list[tuple[int, int | None]]] = {}
         self.of: dict[int, set[int]] = {}
         by_length = sorted(range(1, len(self.link)), key=self.length.__getitem__)
         for s in by_length:
@@ -92,7 +92,7 @@ class SuffixAutomaton:
             for i, c in enumerate(ids):
                 s = self.next[s][c]
                 if i + 1 >= n:
-                    self.of.setdefault(self.home[s], set()).add(item_id)
+                    self.of.setdefault(self.home[s], set()).update([item_id] if item_id is not None else [])
             if 0 < len(ids) < n:
                 self.short.setdefault(s, []).append((len(ids), item_id))
         #: Nearest state on the way to the root, itself included, that ends a short item; -1: none.
@@ -136,7 +136,8 @@ class SuffixAutomaton:
                 while s > 0:
                     for size, item in self.short[s] if s in self.short else ():
                         if size <= matched:
-                            items.add(item)
+                            if item is not None:
+                                items.add(item)
                             hit(at - size + 1, at + 1)
                     s = ends[link[s]] if link[s] > 0 else -1
         for w in windows:
@@ -144,10 +145,11 @@ class SuffixAutomaton:
         return at + 1, [(a, b) for a, b in spans], items
 
 
-def automata(items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> Iterator[SuffixAutomaton]:
-    """Automata over blocks of items; the driver holds one block at a time. Items with a null id or no words are left out."""
+def automata(items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, unnamed: bool = False) -> Iterator[SuffixAutomaton]:
+    """Automata over blocks of items; the driver holds one block at a time. Items without words are left out, those with a null id unless ``unnamed``."""
     block = SuffixAutomaton(window)
-    rows = items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null and text is not null")
+    rows = items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null")
+    rows = rows if unnamed else rows.where("item_id is not null")
     for item_id, text in rows.toLocalIterator():
         if words := item_words(text):
             if block.words and block.words + len(words) > block_words:
@@ -179,12 +181,12 @@ def merged(spans: list[int]) -> list[tuple[int, int]]:
     return out
 
 
-def search(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+def search(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, unnamed: bool = False) -> DataFrame:
     """The columns of ``docs`` with ``n_words, spans, items`` for each row; spans (first, end, ...) may touch if there are several automata."""
     sc = docs.sparkSession.sparkContext
     kinds = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
     now = docs
-    for k, automaton in enumerate(automata(items, window, block_words)):
+    for k, automaton in enumerate(automata(items, window, block_words, unnamed)):
         step = partial(_search, automaton=sc.broadcast(automaton))
         if not k:
             now = now.mapInArrow(step, f"{kinds}, n_words long, spans array<int>, items array<long>")
@@ -253,9 +255,9 @@ def _clean(batches: Iterator[pa.RecordBatch], max_coverage: float, min_words: in
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_words: int = 1, max_coverage: float = MAX_COVERAGE) -> DataFrame:
     """``docs`` without the words of hit spans of at least ``min_words`` words; a document goes if they are over ``max_coverage`` of its words.
 
-    Documents without such spans stay as they are, null texts included. Columns named n_words,
+    Items with a null id count like any other. Documents without such spans stay as they are, null texts included. Columns named n_words,
     spans or items may not be among those of ``docs``.
     """
     prepare(docs, "text")
     kinds = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-    return search(docs, items, window).mapInArrow(partial(_clean, max_coverage=max_coverage, min_words=min_words), kinds)
+    return search(docs, items, window, unnamed=True).mapInArrow(partial(_clean, max_coverage=max_coverage, min_words=min_words), kinds)

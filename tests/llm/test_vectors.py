@@ -44,3 +44,12 @@ def test_recall_and_ties(spark, monkeypatch, n, small):
 def test_empty(spark):
     assert search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     assert search(spark.createDataFrame([(100, [1.0])], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_probes_go_on_until_lists_hold_enough(spark, monkeypatch):
+    """20 lists of three vectors, of which one is probed."""
+    rows = [(i, [float(i // 3 + 1), i % 3 / 10, 0.0, 1.0]) for i in range(60)] + [(0, [1.0, 0.0, 0.0, 1.0])] * 2
+    centroids = np.array([[c + 1, 0.1, 0, 1] for c in range(20)], np.float32)
+    monkeypatch.setattr(vectors, "fit", lambda sample, total: vectors.Index(centroids, np.eye(4, dtype=np.float32), 1))
+    got = search(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert [g.query_id for g in got] == [0] * 10 and {1, 2, 3, 4, 5} <= {g.vec_id for g in got}

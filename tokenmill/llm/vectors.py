@@ -97,11 +97,17 @@ def _assign(batches: Iterator[pa.RecordBatch], index) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("embedding"), rotated, pa.array(nearest_lists(x, ix.centroids)[:, 0])], ["vec_id", "embedding", "rotated", "list"])
 
 
-def _probes(batches: Iterator[pa.RecordBatch], index) -> Iterator[pa.RecordBatch]:
+def _probes(batches: Iterator[pa.RecordBatch], index, sizes: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """The nearest lists of each query, more than the index asks for where those hold fewer than k other vectors."""
     ix = index.value
     for b in batches:
-        lists = nearest_lists(matrix(b.column("embedding"), ix.dim), ix.centroids, ix.probe)
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.FixedSizeListArray.from_arrays(pa.array(lists.ravel()), ix.probe).cast(pa.list_(pa.int32()))], [*b.schema.names, "lists"])
+        x, least = matrix(b.column("embedding"), ix.dim), b.column("own").to_numpy() + k
+        lists = list(nearest_lists(x, ix.centroids, ix.probe))
+        for i in np.flatnonzero(np.array([sizes[near].sum() for near in lists]) < least):
+            order = nearest_lists(x[i : i + 1], ix.centroids, len(ix.centroids))[0]
+            lists[i] = order[: int(np.searchsorted(np.cumsum(sizes[order]), least[i])) + 1]
+        rest = [n for n in b.schema.names if n != "own"]
+        yield pa.RecordBatch.from_arrays([*map(b.column, rest), pa.array(lists, pa.list_(pa.int32()))], [*rest, "lists"])
 
 
 def scan(query: np.ndarray, exact: np.ndarray, own: int, rotated: np.ndarray, embedding: np.ndarray, ids: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
@@ -175,11 +181,12 @@ def search(vectors: DataFrame, is_query: Column | None = None, k: int = K) -> Da
     shared = sc.broadcast(index)
     assigned, _ = stage(good.mapInArrow(partial(_assign, index=shared), "vec_id long, embedding array<float>, rotated array<float>, list int"), "ann-index")
     is_query = F.col("vec_id") % EVERY == 0 if is_query is None else is_query
-    one = assigned.where(is_query).groupBy("vec_id").agg(F.min(F.struct("embedding", "rotated")).alias("v")).select("vec_id", "v.*")
-    probed = one.mapInArrow(partial(_probes, index=shared), "vec_id long, embedding array<float>, rotated array<float>, lists array<int>")
-    probed, _ = stage(probed.select("vec_id", "embedding", "rotated", F.explode("lists").alias("list")), "ann-queries")
+    one = assigned.where(is_query).groupBy("vec_id").agg(F.min(F.struct("embedding", "rotated")).alias("v"), F.count("*").alias("own")).select("vec_id", "v.*", "own")
     # one row for each list, at most MAX_LISTS
     sizes = {r["list"]: [r["n"], 0] for r in assigned.groupBy("list").agg(F.count("*").alias("n")).collect()}
+    held = np.array([sizes.get(i, (0, 0))[0] for i in range(len(index.centroids))])
+    probed = one.mapInArrow(partial(_probes, index=shared, sizes=held, k=k), "vec_id long, embedding array<float>, rotated array<float>, lists array<int>")
+    probed, _ = stage(probed.select("vec_id", "embedding", "rotated", F.explode("lists").alias("list")), "ann-queries")
     for r in probed.groupBy("list").agg(F.count("*").alias("n")).collect():
         sizes.setdefault(r["list"], [0, 0])[1] = r["n"]
     parts = lambda j, most: F.element_at(F.array(*[F.lit(max(1, -(-sizes.get(i, (0, 0))[j] // most))) for i in range(len(index.centroids))]), F.col("list") + 1)

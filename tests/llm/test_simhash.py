@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -61,7 +62,7 @@ def test_classes_match_all_pairs(spark):
             least[k] = min(i, least.get(k, i))
     want = [(i, f"{brute_print(t):016x}", least.get(root[brute_print(t)])) for i, t in rows]
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
-    kept = keep_firsts(spark.createDataFrame(rows, "doc_id long, text string"), max_bits=3, streams=1, least=0.0).collect()
+    kept = keep_firsts(spark.createDataFrame(rows, "doc_id long, text string"), max_bits=3, least=0.0).collect()
     assert sorted(k.doc_id for k in kept if k.doc_id is not None) == sorted(set(least.values()))
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
@@ -91,7 +92,8 @@ def test_links_of_dense_groups(spark, bits, group):
     prints = {base ^ int(sum(1 << int(b) for b in r.choice([0, 1, 2, 5, 9, 33, 34, 40, 50, 60, 61, 62, 63], r.integers(0, 9), replace=False))) for _ in range(400)}
     prints |= {int(x) for x in r.integers(0, 2**63, 100)} | {0, 1, 2**64 - 1, 2**63}
     signed = [(simhash._signed(p),) for p in prints]
-    links = hamming_links(spark.createDataFrame(signed, "fp long"), bits, group)
+    links = hamming_links(spark.createDataFrame(signed, "fp long"), bits, group).persist()
+    assert links.count() <= 64 * len(prints)
     found = {x.node & (2**64 - 1): x.root & (2**64 - 1) for x in connected_components(links).collect()}
     want = classes(prints, bits)
     same = {}
@@ -100,6 +102,44 @@ def test_links_of_dense_groups(spark, bits, group):
     assert len(set(same.values())) == len(set(want.values()))
 
 
+@pytest.mark.parametrize("n", [2, 3, 56, 64, 65, 300])
+def test_a_group_gives_spanning_links_only(n):
+    """n fingerprints of one key that are all near each other, between keys of unlinked ones."""
+    near = np.array([1 << 40 | i % 8 << 4 | (i // 8 % 8) << 10 | (i // 64) << 20 for i in range(n)], np.uint64).view(np.int64)
+    apart = np.random.default_rng(n).integers(-(2**63), 2**63, 40)
+    key = np.r_[np.full(20, 1), np.full(n, 5), np.full(20, 9)]
+    batch = pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.r_[apart[:20], near, apart[20:]])], ["key", "fp"])
+    found = list(simhash._verify(iter([batch.slice(0, 21), batch.slice(21)]), 8, simhash.GROUP, False))
+    links = [(a, b) for x in found for a, b in zip(x.column("a").to_pylist(), x.column("b").to_pylist(), strict=True)]
+    assert len(links) == n - 1 and {x for link in links for x in link} == set(near.tolist())
+
+
+@pytest.mark.parametrize("copies", [1, 3])
+def test_classes_are_thinned_out_in_blocks(spark, monkeypatch, copies):
+    """A class of 60 texts by a drifting chain, in blocks of seven: no two that are near stay, and copies of all go."""
+    monkeypatch.setattr(simhash, "BLOCK_TEXTS", 7)
+    r = random.Random(21)
+    words = ["".join(r.choices("abcdefgh", k=5)) for _ in range(2000)]
+    text, rows = r.choices(words, k=200), []
+    for i in range(60):
+        text = list(text)
+        text[r.randrange(200)] = f"new{i}"
+        rows.append((i, " ".join(text)))
+    rows = [(100 * c + i, t) for c in range(copies) for i, t in rows]
+    got = sorted(k.doc_id for k in keep_firsts(spark.createDataFrame(rows, "doc_id long, text string"), max_bits=40).collect())
+    sets = {i: simhash.shingle_set(t.encode()) for i, t in rows}
+    assert got[0] == 0 and 2 <= len(got) < 20 and max(got) < 100
+    assert all(simhash.similarity(sets[a], sets[b]) < 0.8 for a in got for b in got if a < b)
+
+
+def test_empty_and_clashing_columns(spark):
+    schema = "doc_id long, text string, __h0 string, fp int, root string, state timestamp"
+    assert keep_firsts(spark.createDataFrame([], schema)).count() == 0
+    rows = [(1, "a b c d e f", "x", 1, "r", None), (2, "a b c d e f", "y", 2, None, None), (1, "a b c d e f", "x", 1, "r", None), (3, None, "z", 3, None, None), (4, "", "w", 4, None, None)]
+    got = keep_firsts(spark.createDataFrame(rows, schema)).collect()
+    assert sorted((k.doc_id, k["__h0"]) for k in got) == [(1, "x"), (3, "z")]
+
+
 @pytest.mark.parametrize("held", [simhash.HELD, 1])
 def test_copies_at_the_end_of_a_chain_go(spark, held):
     """C is too far from A, but linked to it by B; D equals C and E is near it."""
@@ -117,7 +157,7 @@ def test_copies_at_the_end_of_a_chain_go(spark, held):
     near = lambda x, y: simhash.similarity(*(simhash.shingle_set(" ".join(t).encode()) for t in (x, y)))
     assert near(a, c) < 0.8 <= near(c, e)
     d = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")
-    got = sorted(k.doc_id for k in keep_firsts(d, max_bits=40, streams=1, held=held).collect())
+    got = sorted(k.doc_id for k in keep_firsts(d, max_bits=40, held=held).collect())
     want = []
     for i, t in rows:
         if all(near(t, dict(rows)[j]) < 0.8 for j in want):

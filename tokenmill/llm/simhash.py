@@ -22,51 +22,47 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tokenmill.llm.texts import byte_rows, prepare, word_blocks
+from tokenmill.llm.texts import byte_rows, free_names, prepare, word_blocks
 from tokenmill.operators.components import connected_components
 from tokenmill.scratch import stage
 
 SHINGLE = 3
 SEED = 42
 MAX_BITS = 3
-#: Of ``keep_firsts``: differing bits and streams of candidates, which are then compared by shingles of five words.
-WIDE_BITS, STREAMS, VERIFY_WORDS, LEAST = 5, 2, 5, 0.8
+#: Of ``keep_firsts``: words of a shingle and least similarity of near copies.
+VERIFY_WORDS, LEAST = 5, 0.8
 #: Bands of ``keep_firsts``, each of ROWS least values of five-word shingles: texts of a similarity of 0.8 share one but for 1 in 2,700.
 BANDS, ROWS = 20, 5
 #: Fingerprints of one variant that are compared in one task; larger groups are compared by blocks.
 GROUP = 4096
+#: Texts of a class that one task takes; larger classes are first thinned out in blocks of so many.
+BLOCK_TEXTS = 1_000
+#: Share of the texts that a pass over blocks must drop for another one.
+WORTH = 0.1
 #: Shingles of texts that stay, of one class, that a task holds.
 HELD = 2_000_000
 _HASHES = 1 << 15
 
 
-def _remixed(h: np.ndarray, stream: int) -> np.ndarray:
-    """Hashes of a further stream, from those of the first."""
-    x = h + np.uint64(stream * 0x9E3779B97F4A7C15 & 2**64 - 1)
-    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+def _remixed(h: np.ndarray) -> np.ndarray:
+    """Hashes of 64-bit values."""
+    x = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
     return x ^ x >> np.uint64(31)
 
 
-def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED, stream: int = 0) -> int:
+def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """SimHash of a UTF-8 text: a bit is 1 if it is set in over half of the shingles' hashes.
 
     A-Z are lower-cased. A text of fewer words than a shingle has one shingle, the
     whole sequence; a text without words (or null) has fingerprint 0.
     """
-    return fingerprint_streams(text, shingle, seed, stream + 1)[stream]
-
-
-def fingerprint_streams(text: bytes | None, shingle: int, seed: int, streams: int) -> list[int]:
-    """The fingerprint, and further ones of independent hashes of the same shingles."""
     hashed = partial(xxhash.xxh64_intdigest, seed=seed)
-    ones, total, tail = np.zeros((streams, 64), np.int64), 0, []
+    ones, total, tail = np.zeros(64, np.int64), 0, []
 
     def take(h: np.ndarray) -> None:
-        nonlocal total
-        for s in range(streams):
-            bits = (_remixed(h, s) if s else h).view(np.uint8).reshape(-1, 8)
-            ones[s] += np.unpackbits(bits, axis=1, bitorder="little").sum(0, dtype=np.int64)
+        nonlocal total, ones
+        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
         total += len(h)
 
     for words in word_blocks(text.lower() if text else b""):
@@ -78,7 +74,7 @@ def fingerprint_streams(text: bytes | None, shingle: int, seed: int, streams: in
         tail = words[-(shingle - 1) :] if shingle > 1 else []
     if not total and tail:
         take(np.array([hashed(b" ".join(tail))], np.uint64))
-    return [int(np.packbits(o * 2 > total, bitorder="little").view(np.uint64)[0]) for o in ones]
+    return int(np.packbits(ones * 2 > total, bitorder="little").view(np.uint64)[0])
 
 
 @cache
@@ -95,31 +91,25 @@ def bands(text: bytes | None, count: int = BANDS, rows: int = ROWS, seed: int =
     least = np.full(count * rows, 2**64 - 1, np.uint64)
     for at in range(0, len(h), 1024):
         np.minimum(least, ((h[at : at + 1024, None] ^ mix[0]) * (mix[1] | np.uint64(1))).min(0), out=least)
-    key = np.arange(count, dtype=np.uint64)
+    key = np.arange(1, count + 1, dtype=np.uint64)
     for x in least.reshape(count, rows).T:
-        key = _remixed(key ^ x, 1)
+        key = _remixed(key * np.uint64(0x9E3779B97F4A7C15) + x)
     return key.view(np.int64).tolist()
 
 
-def _prints(batches: Iterator[pa.RecordBatch], shingle: int, seed: int, streams: int, banded: bool = False) -> Iterator[pa.RecordBatch]:
+def _prints(batches: Iterator[pa.RecordBatch], shingle: int, seed: int, banded: bool = False) -> Iterator[pa.RecordBatch]:
     """Columns other than the text pass through."""
     for b in batches:
-        found = [fingerprint_streams(x, shingle, seed, streams) for x in byte_rows(b.column("text"))]
-        fp = np.array(found, np.uint64).reshape(-1, streams).view(np.int64)
+        fp = np.fromiter((fingerprint(x, shingle, seed) for x in byte_rows(b.column("text"))), np.uint64, b.num_rows)
         ids = [n for n in b.schema.names if n != "text"]
         more = [pa.array([bands(x) for x in byte_rows(b.column("text"))], pa.list_(pa.int64()))] if banded else []
-        yield pa.RecordBatch.from_arrays([*map(b.column, ids), *[pa.array(fp[:, s].copy()) for s in range(streams)], *more], [*ids, *_columns(streams), *["bands"][: len(more)]])
-
+        yield pa.RecordBatch.from_arrays([*map(b.column, ids), pa.array(fp.view(np.int64)), *more], [*ids, "fp", *["bands"][: len(more)]])
 
-def _columns(streams: int) -> list[str]:
-    return ["fp", *[f"fp{s}" for s in range(1, streams)]]
 
-
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, streams: int = 1) -> DataFrame:
-    """``doc_id, fp`` for every row of ``docs``; fp holds the 64 bits as a signed BIGINT. Further streams are in fp1 and so on."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """``doc_id, fp`` for every row of ``docs``; fp holds the 64 bits as a signed BIGINT."""
     prepare(docs, "doc_id", "text")
-    kinds = ", ".join(f"{c} long" for c in ("doc_id", *_columns(streams)))
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(partial(_prints, shingle=shingle, seed=seed, streams=streams), kinds)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(partial(_prints, shingle=shingle, seed=seed), "doc_id long, fp long")
 
 
 def _parts(max_bits: int) -> int:
@@ -168,6 +158,21 @@ def _forest(fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(us), np.concatenate(vs)) if us else (none, none)
 
 
+def _roots(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The least place that each of n places reaches over the links u, v."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[u], root[v])
+        now = root.copy()
+        np.minimum.at(now, u, low)
+        np.minimum.at(now, v, low)
+        np.minimum.at(now, root, now.copy())
+        now = now[now]
+        if (now == root).all():
+            return root
+        root = now
+
+
 _LINKS = pa.schema([("over", pa.int32()), ("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -188,12 +193,15 @@ def _verify(batches: Iterator[pa.RecordBatch], max_bits: int, group: int, last:
         sizes = np.diff(np.r_[starts, len(key)])
         small = sizes <= 64
         group_of = np.repeat(np.arange(len(starts)), sizes)
-        us, vs = [], []
+        ends = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         for d in range(1, int(sizes[small].max(initial=1))):
             i = np.flatnonzero((group_of[d:] == group_of[:-d]) & small[group_of[d:]])
             i = i[np.bitwise_count(fps[i] ^ fps[i + d]) <= max_bits]
-            us.append(fps[i])
-            vs.append(fps[i + d])
+            ends.append((i, i + d))
+        # of all pairs in the small groups, only a star for each component leaves the task
+        root = _roots(len(fps), *map(np.concatenate, zip(*ends, strict=True)))
+        far = np.flatnonzero(root != np.arange(len(fps)))
+        us, vs = [fps[root[far]]], [fps[far]]
         for g in np.flatnonzero(~small):
             at = slice(starts[g], starts[g] + sizes[g])
             if sizes[g] > group and not last:
@@ -202,11 +210,10 @@ def _verify(batches: Iterator[pa.RecordBatch], max_bits: int, group: int, last:
                 a, b = _forest(fps[at], max_bits)
                 us.append(a)
                 vs.append(b)
-        if us:
-            a, b = np.concatenate(us), np.concatenate(vs)
-            if len(a):
-                pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-                yield out(zero(pairs.shape[1]), pairs[0].copy(), pairs[1].copy(), 0)
+        a, b = np.concatenate(us), np.concatenate(vs)
+        if len(a):
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+            yield out(zero(pairs.shape[1]), pairs[0].copy(), pairs[1].copy(), 0)
 
     for batch in batches:
         k, x = (batch.column(j).to_numpy() for j in range(2))
@@ -245,8 +252,9 @@ def hamming_links(prints: DataFrame, max_bits: int = MAX_BITS, group: int = GROU
 
     ``prints`` has distinct fingerprints in ``fp``. Each variant's group is verified in one
     task with memory for ``group`` rows; a larger group is verified by pairs of blocks of it.
-    Of a group only links that span its components are returned, so their number stays below
-    that of the index rows.
+    A group, or pair of blocks, of any size returns only links that span its components, one less
+    than it has rows at most. A link's ends are within ``max_bits`` of each other or joined by
+    others of their group that are.
     """
     deal = lambda d, last: d.repartition("key").sortWithinPartitions("key").mapInArrow(partial(_verify, max_bits=max_bits, group=group, last=last), "over int, key long, a long, b long")
     done, _ = stage(deal(variant_rows(prints, max_bits), False), "links")
@@ -257,24 +265,9 @@ def hamming_links(prints: DataFrame, max_bits: int = MAX_BITS, group: int = GROU
     return links.distinct()
 
 
-def _links(prints: DataFrame, max_bits: int, streams: int) -> DataFrame:
-    """``a, b``: links of the fingerprints in ``prints``, and of nodes that stand for those of further streams."""
-    links = hamming_links(prints.select("fp").distinct(), max_bits)
-    for s in range(1, streams):
-        # links of a further stream join the first one's fingerprints over the documents that have both
-        own = prints.select("fp", F.col(f"fp{s}").alias("other")).distinct()
-        found, _ = stage(hamming_links(own.select(F.col("other").alias("fp")).distinct(), max_bits), "stream-links")
-        joined = found.select("a").union(found.select("b")).union(own.groupBy("other").count().where("count > 1").select("other")).distinct()
-        name = lambda c: F.xxhash64(F.lit(s), F.col(c))  # noqa: B023, E731
-        links = links.union(found.select(name("a"), name("b"))).union(own.join(joined.withColumnRenamed("a", "other"), "other").select("fp", name("other")))
-    return links
-
-
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, max_bits: int = MAX_BITS, streams: int = 1) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, max_bits: int = MAX_BITS) -> DataFrame:
     """``doc_id, fingerprint, component_id``, one row for each row of ``docs``.
 
-    With more than one stream, texts are also linked by fingerprints of further, independent hashes.
-
     fingerprint: 16 lower-case hex digits; component_id: the smallest doc_id reachable over
     links of at most ``max_bits`` differing bits, the document itself included. Null texts
     and texts without words have fingerprint 0 and are linked like any other. Rows with a
@@ -282,9 +275,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, m
     class has no other id. Repeated rows give repeated rows; an empty table gives none.
     Further columns of ``docs`` are ignored.
     """
-    prints, _ = stage(fingerprints(docs, shingle, seed, streams), "prints")
+    prints, _ = stage(fingerprints(docs, shingle, seed), "prints")
     each = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = connected_components(_links(prints, max_bits, streams))
+    roots = connected_components(hamming_links(prints.select("fp").distinct(), max_bits))
     classes = each.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     firsts = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     of = classes.join(firsts, "root").select("fp", "component_id")
@@ -343,68 +336,97 @@ class Kept:
         self.size += len(x) + 1
 
 
-_KEY = ["root", "doc_id", "h0", "h1"]
+_KEY = ["root", "block", "doc_id", "h0", "h1"]
+STAYS, GOES, OPEN = 0, 1, 2
 
 
 def _copies(batches: Iterator[pa.RecordBatch], least: float, held: int) -> Iterator[pa.RecordBatch]:
-    """Members that go, and those that are still open since the class has ``held`` shingles that stay. Rows come sorted by _KEY."""
-    root = last = kept = None
+    """Which members stay, go, or are open since their block has ``held`` shingles that stay. Rows come sorted by _KEY."""
+    block = last = kept = None
     for b in batches:
-        out = []
+        rows, states = [], []
         for at, (text, *key) in enumerate(zip(byte_rows(b.column("text")), *(b.column(c).to_pylist() for c in _KEY), strict=True)):
             if key == last:  # the row is repeated
                 continue
-            if key[0] != root or kept is None:
-                root, kept = key[0], Kept(least)
+            if key[:2] != block or kept is None:
+                block, kept = key[:2], Kept(least)
             last, x = key, np.sort(np.fromiter(shingle_set(text), np.uint64))
-            if kept.near(x):
-                out.append((at, False))
-            elif kept.size < held:
+            state = GOES if kept.near(x) else STAYS if kept.size < held else OPEN
+            if state == STAYS:
                 kept.add(x)
-            else:
-                out.append((at, True))
-        rows = pa.array([at for at, _ in out], pa.int64())
-        yield pa.RecordBatch.from_arrays([*(b.column(c).take(rows) for c in _KEY), pa.array([x for _, x in out], pa.bool_())], [*_KEY, "open"])
-
-
-def keep_firsts(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, max_bits: int = WIDE_BITS, streams: int = STREAMS, least: float = LEAST, held: int = HELD) -> DataFrame:
-    """``docs`` without near copies of a document of a smaller doc_id of their class that stays.
-
-    Classes come from ``streams`` fingerprints within ``max_bits`` bits, and from shared MinHash bands of
-    five-word shingles unless ``least`` is 0, where the fingerprints alone decide. Equal texts leave the one of the
-    smallest doc_id. Then the members of a class are taken by ascending doc_id: one goes if its five-word
-    shingles have a Jaccard similarity of ``least`` or more with those of a member that stays, so no two
-    such members of a class both stay; one that only hangs on by a chain of others stays. Rows that
-    repeat doc_id and text are one document and leave one row; rows of one doc_id and different
-    texts are different documents; rows without a doc_id stay. Other columns pass through unchanged. A task holds about ``held`` shingles that stay; a class that has
-    more takes a further pass over the members that are open.
+            rows.append(at)
+            states.append(state)
+        at = pa.array(rows, pa.int64())
+        yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in _KEY), pa.array(states, pa.int32())], [*_KEY, "state"])
+
+
+def _near_copies(texts: DataFrame, members: DataFrame, least: float, held: int) -> DataFrame:
+    """``doc_id, h0, h1`` of the members (``root, doc_id, h0, h1``) that go; ``texts`` has the columns but root, and text.
+
+    Classes of over BLOCK_TEXTS members are thinned out first: dealt to blocks by a hash of the
+    id, each with a task of its own, as long as such a pass drops a share of WORTH. What then
+    stays of a class is taken in one order, in further passes if it has over ``held`` shingles.
+    """
+    members, _ = stage(members, "near-members")
+    texts, _ = stage(texts.join(members.select("doc_id", "h0", "h1"), ["doc_id", "h0", "h1"], "left_semi"), "near-member-texts")
+    gone, alone = None, False
+    while True:
+        sizes = members.groupBy("root").agg(F.count("*").alias("n")).where("n > 1")
+        blocks = F.lit(1) if alone else F.ceil(F.col("n") / BLOCK_TEXTS)
+        dealt = members.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks).cast("int"))
+        rows = dealt.join(texts, ["doc_id", "h0", "h1"]).select(*_KEY, "text").repartition("root", "block").sortWithinPartitions(*_KEY)
+        done, _ = stage(rows.mapInArrow(partial(_copies, least=least, held=held), "root long, block int, doc_id long, h0 long, h1 long, state int"), "near-copies")
+        found = done.where(F.col("state") == GOES).select("doc_id", "h0", "h1")
+        gone = found if gone is None else gone.union(found)
+        if alone:
+            left = done.where(F.col("state") == OPEN)
+        else:
+            several = done.groupBy("root").agg(F.max("block").alias("most"), F.count("*").alias("n"), F.sum((F.col("state") == GOES).cast("long")).alias("went")).where("most > 0")
+            total = several.agg(F.sum("n").alias("n"), F.sum("went").alias("went")).first()
+            alone = not total["n"] or total["went"] < WORTH * total["n"]
+            # classes of one block are done but for what is open in them
+            left = done.join(several.select("root", "most"), "root", "left").where((F.col("state") == OPEN) | ((F.col("state") == STAYS) & F.col("most").isNotNull()))
+        if not left.limit(1).count():
+            return gone
+        members, _ = stage(left.select("root", "doc_id", "h0", "h1"), "near-members")
+
+
+def keep_firsts(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, max_bits: int = MAX_BITS, least: float = LEAST, held: int = HELD) -> DataFrame:
+    """``docs`` without near copies of a document that stays.
+
+    Equal texts leave the one of the smallest doc_id. Candidate classes come from fingerprints
+    within ``max_bits`` bits, and from shared MinHash bands of five-word shingles unless ``least``
+    is 0, where the fingerprints alone decide. Within a class, texts are taken by ascending
+    doc_id: one goes if its five-word shingles have a Jaccard similarity of ``least`` or more with
+    those of one that stays. A class of over BLOCK_TEXTS texts is first thinned out in blocks by
+    the same rule. So a text only goes by a verified link, or a chain of them, to one that stays,
+    and no two that are so similar both stay in a class. Null texts and texts without words are
+    equal to each other. Rows that repeat doc_id and text are one document and leave one row; rows
+    of one doc_id and different texts are different documents; rows without a doc_id stay. An
+    empty table gives none. Other columns pass through unchanged, whatever their names.
     """
     prepare(docs, "doc_id", "text")
     text = F.col("text").cast("string")
     # 128 bits that stand for the text
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h0"), F.xxhash64(F.lit(1), text).alias("h1"))
+    both = [F.xxhash64(text), F.xxhash64(F.lit(1), text)]
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), both[0].alias("h0"), both[1].alias("h1")).where("doc_id is not null")
     banded = least > 0
-    kinds = ", ".join(f"{c} long" for c in ("doc_id", "h0", "h1", *_columns(streams))) + ", bands array<long>" * banded
-    prints, _ = stage(d.mapInArrow(partial(_prints, shingle=shingle, seed=seed, streams=streams, banded=banded), kinds), "prints")
-    links = _links(prints, max_bits, streams)
+    prints, _ = stage(d.mapInArrow(partial(_prints, shingle=shingle, seed=seed, banded=banded), "doc_id long, h0 long, h1 long, fp long" + ", bands array<long>" * banded), "prints")
+    links = hamming_links(prints.select("fp").distinct(), max_bits)
     roots = connected_components(links.union(_band_links(prints)) if banded else links)
-    named = prints.where("doc_id is not null")
-    texts, _ = stage(named.groupBy("h0", "h1").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp")), "near-texts")
-    equal = named.join(texts.select("h0", "h1", "first"), ["h0", "h1"]).where("doc_id > first").select("doc_id", "h0", "h1")
+    first = prints.groupBy("h0", "h1").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp"))
+    texts, _ = stage(first, "near-texts")
+    equal = prints.join(texts.select("h0", "h1", "first"), ["h0", "h1"]).where("doc_id > first").select("doc_id", "h0", "h1").distinct()
     of = texts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(F.coalesce("root", "fp").alias("root"), F.col("first").alias("doc_id"), "h0", "h1")
     several = of.groupBy("root").count().where("count > 1").select("root")
-    drop, _ = stage(equal.distinct(), "near-drop")
-    members, _ = stage(of.join(several, "root", "left_semi").select(*_KEY), "near-members")
-    while True:
-        rows = d.join(members, ["doc_id", "h0", "h1"]).select(*_KEY, "text").repartition("root").sortWithinPartitions(*_KEY)
-        done, _ = stage(rows.mapInArrow(partial(_copies, least=least, held=held), "root long, doc_id long, h0 long, h1 long, open boolean"), "near-copies")
-        drop = drop.union(done.where("not open").select("doc_id", "h0", "h1"))
-        members = done.where("open").select(*_KEY)
-        if not members.limit(1).count():
-            break
-    drop = drop.toDF("__id", "__h0", "__h1")
-    same = (F.col("doc_id") == F.col("__id")) & (F.xxhash64(text) == F.col("__h0")) & (F.xxhash64(F.lit(1), text) == F.col("__h1"))
-    kept = docs.where("doc_id is not null").join(drop, same, "left_anti")
-    once = Window.partitionBy("doc_id", F.sha2("text", 256)).orderBy(F.lit(1))
-    kept = kept.withColumn("__n", F.row_number().over(once)).where("__n = 1").drop("__n")
-    return kept.unionByName(docs.where("doc_id is null"))
+    drop, _ = stage(equal.union(_near_copies(d, of.join(several, "root", "left_semi"), least, held)), "near-drop")
+    ids = free_names(docs, "id", "h0", "h1", "n")
+    same = [F.col("doc_id").cast("long") == F.col(ids[0]), both[0] == F.col(ids[1]), both[1] == F.col(ids[2])]
+    drop = drop.toDF(*ids[:3])
+    kept = docs.join(drop, same[0] & same[1] & same[2], "left_anti")
+    again = prints.groupBy("doc_id", "h0", "h1").count().where("count > 1").select("doc_id", "h0", "h1").toDF(*ids[:3])
+    if not again.limit(1).count():
+        return kept
+    # only rows that are repeated are dealt out by their text
+    once = kept.join(again, same[0] & same[1] & same[2], "left_semi").withColumn(ids[3], F.row_number().over(Window.partitionBy("doc_id", *both).orderBy(F.lit(1))))
+    return kept.join(again, same[0] & same[1] & same[2], "left_anti").unionByName(once.where(F.col(ids[3]) == 1).drop(ids[3]))

@@ -41,6 +41,18 @@ def word_blocks(data: bytes, size: int = BLOCK) -> Iterator[list[bytes]]:
         at = cut
 
 
+def free_names(docs, *names: str) -> list[str]:
+    """Names like those given that no column of ``docs`` has."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for n in names:
+        n = f"__{n}"
+        while n in taken:
+            n += "_"
+        out.append(n)
+    return out
+
+
 def prepare(docs, *names: str) -> None:
     """Raise if a needed column is missing; and see to it that Arrow batches of texts stay small.
 

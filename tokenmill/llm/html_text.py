@@ -1,10 +1,10 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped into lines, one for each block element. A line's weight is the length of
-its text outside links, or 0 where the markup says that it isn't content (menus, headers,
-footers, forms, adverts, comments and the like). The weights are summed over a sliding
-window of lines; text starts where that distribution surges and ends where it dives, and the
-lines between are the main text.
+its text outside links; it is more where the markup marks the content, less next to that, and
+0 where it says that it isn't content (menus, headers, footers, forms, adverts, comments and
+the like). The weights are summed over a sliding window of lines; on every page, text starts
+where that distribution surges and ends where it dives, and the lines between are the main text.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import html
 import re
 from collections.abc import Iterator
 from functools import partial
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,8 +22,10 @@ from pyspark.sql import functions as F
 from tokenmill.llm.texts import byte_rows, prepare
 
 WINDOW = 3
-#: Weight over a window that makes a surge, where no element marks the content.
+#: Weight over a window that makes a surge.
 SURGE = 80
+#: Weight that a line has besides its length inside marked content, and share of a line's weight next to it.
+MARKED, OUTSIDE = 60, 0.25
 #: Share of a line's text that may be in links.
 MAX_LINKED = 0.5
 
@@ -39,8 +42,10 @@ _BOILER = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|ad
 _HEAD = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-]|\d)", re.I)
 _STATE = re.compile(r"(?:with|without|has|no|show|hide)[-_]", re.I)
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I | re.S)
+_NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+_ATTRIBUTE = re.compile(r"([^\s=>\"'/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
+_GAP = re.compile(r"\s*")
 
 
 class _Line:
@@ -51,15 +56,19 @@ class _Line:
         self.linked, self.off, self.main = 0, off, main
 
     def text(self) -> str:
-        return " ".join(html.unescape("".join(self.parts)).split())
+        text = "".join(self.parts)
+        return " ".join((html.unescape(text) if "&" in text else text).split())
 
 
 def _marks(name: str, attributes: str, inside: bool) -> tuple[bool, bool]:
     """Whether an element isn't content, and whether it is the content, by its attributes; inside: within the content, which may have a header."""
     off = main = False
     for m in _ATTRIBUTE.finditer(attributes):
-        key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+        key = m[1].lower()
+        if key not in ("class", "id", "role", "hidden", "aria-hidden", "style"):
+            continue
+        value = (m[2] or "").strip("\"'")
+        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and _HIDDEN.search(value):
             off = True
         elif key in ("class", "id", "role") and name not in ("html", "body"):
             off |= any(_BOILER.search(x) and not _STATE.match(x) and not (inside and _HEAD.search(x)) for x in value.split())
@@ -67,122 +76,212 @@ def _marks(name: str, attributes: str, inside: bool) -> tuple[bool, bool]:
     return off and not main, main
 
 
-def lines(page: str) -> list[_Line]:
-    """Blocks of a page in order. Inside an element that isn't content, ``off`` is set; inside the marked content, ``main``."""
-    out: list[_Line] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, off, main
-    off = main = skip = False
-    links = 0
-    line = _Line(False, False)
-
-    def close_line() -> None:
-        nonlocal line
-        if line.parts:
-            out.append(line)
-        line = _Line(off, main)
-
-    def pop(to: int) -> None:
-        nonlocal off, main, skip, links
-        for name, *_ in stack[to:]:
-            links -= name == "a"
-        del stack[to:]
-        off = any(x[1] for x in stack)
-        main = any(x[2] for x in stack)
-        skip = any(x[0] in _SKIP for x in stack)
-
-    def put(text: str) -> None:
-        if text and not skip:
-            line.parts.append(text)
-            if links:
-                line.linked += len(text.strip())
-
-    at = 0
-    while at < len(page):
-        m = _TOKEN.search(page, at)
-        if m is None:
-            put(page[at:])
-            break
-        put(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
-            if m[0].startswith("<![CDATA["):
-                put(html.escape(m[0][9:].removesuffix("]]>")))
-            continue
-        name = m[2].lower()
-        if m[1]:
-            if name == "br":
-                put(" ")
-            elif any(x[0] == name for x in stack):
-                to = max(i for i, x in enumerate(stack) if x[0] == name)
-                # an inline end tag doesn't reach out of its block
-                if name in _BLOCK or not any(x[0] in _BLOCK for x in stack[to:]):
-                    if any(x[0] in _BLOCK or x[0] in _SKIP for x in stack[to:]):
-                        close_line()
-                    pop(to)
-                    line.off, line.main = (off, main) if not line.parts else (line.off, line.main)
-            elif name in _BLOCK:
-                close_line()
-            continue
+class _Tags:
+    """Ends of tags in a page. All calls together take time in proportion to the page."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {q: page.rfind(q) for q in "\"'>"}
+        self.quotes = True  # off once a quoted value hides the last ">" of the page
+
+    def end(self, at: int) -> int:
+        """Place of the ">" that ends the tag from ``at``, outside quoted values; -1: there is none."""
+        page, first = self.page, self.page.find(">", at) if at <= self.last[">"] else -1
+        j, k = first, at
+        while j >= 0 and self.quotes:
+            k = page.find("=", k, j)
+            if k < 0:
+                return j
+            k = _GAP.match(page, k + 1).end()
+            quote = page[k : k + 1]
+            if quote in ("'", '"') and k < self.last[quote]:
+                k = page.find(quote, k + 1) + 1
+                if k > j:
+                    j = page.find(">", k)
+        if j < 0 <= first:
+            self.quotes = False
+        return first
+
+
+class _Reader:
+    """Blocks of a page in order; elements that are open are on a stack with what holds inside them."""
+
+    def __init__(self):
+        self.out: list[_Line] = []
+        self.stack: list[tuple[str, bool, bool, bool, int]] = []  # name, off, main, skip, links around
+        self.places: dict[str, list[int]] = {}  # of each open name on the stack
+        self.blocks: list[int] = []  # places of blocks
+        self.solid: list[int] = []  # and of elements without text
+        self.off = self.main = self.skip = False
+        self.links = 0
+        self.line = _Line(False, False)
+
+    def close_line(self) -> None:
+        if self.line.parts:
+            self.out.append(self.line)
+        self.line = _Line(self.off, self.main)
+
+    def _inside(self) -> None:
+        _, self.off, self.main, self.skip, self.links = self.stack[-1] if self.stack else ("", False, False, False, 0)
+
+    def push(self, name: str, off: bool, main: bool) -> None:
+        at = len(self.stack)
+        self.places.setdefault(name, []).append(at)
+        if name in _BLOCK:
+            self.blocks.append(at)
+        if name in _BLOCK or name in _SKIP:
+            self.solid.append(at)
+        self.stack.append((name, off or self.off, main or self.main, self.skip or name in _SKIP, self.links + (name == "a")))
+        self._inside()
+
+    def pop(self, to: int) -> None:
+        while len(self.stack) > to:
+            self.places[self.stack.pop()[0]].pop()
+        for places in (self.blocks, self.solid):
+            while places and places[-1] >= to:
+                places.pop()
+        self._inside()
+
+    def put(self, text: str) -> None:
+        if text and not self.skip:
+            self.line.parts.append(text)
+            if self.links:
+                self.line.linked += len(text.strip())
+
+    def end_tag(self, name: str) -> None:
         if name == "br":
-            put(" ")
-            continue
+            self.put(" ")
+        elif self.places.get(name):
+            to = self.places[name][-1]
+            # an inline end tag doesn't reach out of its block
+            if name in _BLOCK or not self.blocks or self.blocks[-1] < to:
+                if self.solid and self.solid[-1] >= to:
+                    self.close_line()
+                self.pop(to)
+                if not self.line.parts:
+                    self.line.off, self.line.main = self.off, self.main
+        elif name in _BLOCK:
+            self.close_line()
+
+    def start_tag(self, name: str, attributes: str) -> bool:
+        """Whether the element was opened."""
+        if name == "br":
+            self.put(" ")
+        if name == "hr":
+            self.close_line()
         if name in _VOID:
-            if name == "hr":
-                close_line()
-            continue
+            return False
         if name in _BLOCK or name in _SKIP:
-            close_line()
-            last = max((i for i, x in enumerate(stack) if x[0] in _BLOCK), default=-1)
-            inner = stack[last][0] if last >= 0 else ""
+            if self.line.parts:
+                self.close_line()
+            inner = self.stack[self.blocks[-1]][0] if self.blocks else ""
             if (inner == "p" and name in _ENDS_P) or (inner == name and name in ("li", "dd", "dt", "option", "tr", "td", "th")) or {inner, name} == {"dd", "dt"} or {inner, name} == {"td", "th"}:
-                pop(last)
-        off_here, main_here = _marks(name, m[3], main)
+                self.pop(self.blocks[-1])
+        off, main = _marks(name, attributes, self.main) if attributes else (False, False)
         # a heading group inside the article belongs to it
-        if name in _ASIDE and not (name == "header" and main):
-            off_here = True
-        if m[3].endswith("/") and name not in _BLOCK:
-            continue
-        stack.append((name, off_here or off, (main_here or name in _MAIN and not off) or main))
-        links += name == "a"
-        off, main, skip = stack[-1][1], stack[-1][2], skip or name in _SKIP
+        if name in _ASIDE and not (name == "header" and self.main):
+            off = True
+        if attributes.endswith("/") and name not in _BLOCK:
+            return False
+        self.push(name, off, main or name in _MAIN and not self.off)
         if name in _BLOCK or name in _SKIP:
-            line = _Line(off, main)
-        if name in _RAW:
-            end = re.compile(rf"</{name}(?=[\s/>])[^>]*>|\Z", re.I).search(page, at)
-            if not skip:
-                put(page[at : end.start()])
-            at = end.end()
-            close_line()
-            pop(len(stack) - 1)
-            line = _Line(off, main)
-    close_line()
+            self.line.off, self.line.main = self.off, self.main
+        return True
+
+
+def lines(page: str) -> list[_Line]:
+    """Blocks of a page in order. Inside an element that isn't content, ``off`` is set; inside the marked content, ``main``.
+
+    A "<" that starts no tag is text, and so is the rest of a page behind a tag that never ends.
+    """
+    r, tags, at = _Reader(), _Tags(page), 0
+    while (a := page.find("<", at)) >= 0:
+        r.put(page[at:a])
+        if page.startswith("<!--", a):
+            end = page.find("-->", a + 4)
+            at = end + 3 if end >= 0 else len(page)
+        elif page.startswith("<![CDATA[", a):
+            end = page.find("]]>", a)
+            r.put(html.escape(page[a + 9 : end if end >= 0 else len(page)]))
+            at = end + 3 if end >= 0 else len(page)
+        elif m := _NAME.match(page, a + 1):
+            end = tags.end(m.end())
+            if end < 0:
+                at = a
+                break
+            at, name = end + 1, m[0].lower()
+            if name[0] == "/":
+                r.end_tag(name[1:])
+            elif r.start_tag(name, page[m.end() : end]) and name in _RAW:
+                close = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(page, at)
+                if not r.skip:
+                    r.put(page[at : close.start() if close else len(page)])
+                end = page.find(">", close.end()) if close else -1
+                at = end + 1 if end >= 0 else len(page)
+                r.close_line()
+                r.pop(len(r.stack) - 1)
+                r.line = _Line(r.off, r.main)
+        elif page[a + 1 : a + 2] in ("!", "?") and a < tags.last[">"]:
+            at = page.find(">", a) + 1
+        else:
+            r.put("<")
+            at = a + 1
+    r.put(page[at:])
+    r.close_line()
+    return r.out
+
+
+def weights(found: list[tuple[str, _Line]]) -> list[float]:
+    """Of each line: its characters outside links, by MARKED more inside the marked content, where links count like text.
+
+    0 where the markup says that it isn't content, and where over MAX_LINKED of it are links;
+    OUTSIDE of it next to marked content.
+    """
+    marked = any(x.main and not x.off for _, x in found)
+    out = []
+    for t, x in found:
+        if x.off:
+            out.append(0.0)
+        elif x.main:
+            out.append(float(len(t) + MARKED))
+        else:
+            plain = max(0, len(t) - x.linked) if x.linked <= MAX_LINKED * len(t) else 0
+            out.append(plain * (OUTSIDE if marked else 1.0))
+    return out
+
+
+def surges(weight: list[float], inside: list[bool], window: int, surge: float) -> list[bool]:
+    """Which lines stand between a surge and a dive of the weight that a sliding window of lines has.
+
+    Windows end where the marked content starts or ends. Text starts at a line of weight whose
+    window has over ``surge``, and goes on up to a whole window of none.
+    """
+    n = len(weight)
+    total = [0.0, *accumulate(weight)]
+    edge = [n] * n  # where the stretch of a line ends
+    for i in range(n - 2, -1, -1):
+        edge[i] = edge[i + 1] if inside[i] == inside[i + 1] else i + 1
+    mass = [total[min(i + window, edge[i])] - total[i] for i in range(n)]
+    out, on = [], False
+    for i in range(n):
+        new = not i or inside[i] != inside[i - 1]
+        on = mass[i] > 1e-6 if on and not new else weight[i] > 0 and mass[i] > surge
+        out.append(on)
     return out
 
 
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
-    """The main text of a page: its blocks in order, joined by one newline; empty if there is none (null, no text)."""
+    """The main text of a page: its blocks in order, joined by one newline; empty if there is none (null, no text).
+
+    Where nothing surges (a page of a few short lines), all lines of weight are the text.
+    """
     found = [(x.text(), x) for x in lines(page or "")]
-    found = [(t, x) for t, x in found if t]
-    marked = any(x.main and not x.off for _, x in found)
-    ok = [not x.off and (x.main or not marked) and (marked or x.linked <= MAX_LINKED * len(t)) for t, x in found]
-    weight = [len(t) if good else 0 for (t, _), good in zip(found, ok, strict=True)]
-    least = 0 if marked else surge
-    keep: list[str] = []
-    i, n = 0, len(found)
-    while i < n:
-        # surge: a line of content whose window of lines is heavy enough
-        if weight[i] and sum(weight[i : i + window]) > least:
-            end = i
-            # dive: a whole window without weight
-            while end < n and sum(weight[end : end + window]):
-                end += 1
-            keep += [t for (t, _), good in zip(found[i:end], ok[i:end], strict=True) if good]
-            i = end
-        else:
-            i += 1
-    if not keep and any(weight):  # a page of a few short lines: no surge, all of it
-        keep = [t for (t, _), good in zip(found, ok, strict=True) if good]
-    return "\n".join(keep)
+    # what isn't content takes no place in the windows of marked content
+    found = [(t, x) for t, x in found if t and not (x.off and x.main)]
+    weight = weights(found)
+    on = surges(weight, [x.main for _, x in found], window, surge)
+    keep = [t for (t, _), w, x in zip(found, weight, on, strict=True) if w and x]
+    return "\n".join(keep or [t for (t, _), w in zip(found, weight, strict=True) if w])
 
 
 def _extract(batches: Iterator[pa.RecordBatch], window: int, surge: int) -> Iterator[pa.RecordBatch]:
@@ -197,7 +296,7 @@ def extract(pages: DataFrame, window: int = WINDOW, surge: int = SURGE) -> DataF
     Character references are decoded, white space inside a block becomes one space, blocks are
     trimmed and joined in page order by one newline; n_chars counts code points. Null or empty
     html gives an empty text. Nothing is shuffled: repeated rows, null ids and urls pass through,
-    very long pages need memory for themselves only, and further columns are ignored.
+    very long pages need memory for themselves only and time in proportion, and further columns are ignored.
     """
     prepare(pages, "page_id", "url", "html")
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))

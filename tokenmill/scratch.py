@@ -7,10 +7,10 @@ session without that setting gets a temporary folder of its own.
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
-from contextlib import suppress
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,28 +56,64 @@ def drop_all(spark: SparkSession) -> None:
         drop_path(spark, path)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of plans that are no longer referenced.
+#: Shuffle files go as soon as the query that wrote them has ended.
+_FREE = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
-    An event that waits in the listener bus still refers to its plan, so the bus is emptied first.
-    """
-    gc.collect()
-    with suppress(Exception):
-        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
-    spark._jvm.System.gc()
 
+@contextmanager
+def settings(spark: SparkSession, conf: dict[str, str]) -> Iterator[None]:
+    """Session settings that hold for queries planned inside; the caller's come back afterwards."""
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
-def stage(df: DataFrame, label: str, partition_by: str | None = None) -> tuple[DataFrame, str]:
-    """Write a step as Parquet and read it back; returns the table and its path.
 
-    What earlier steps shuffled is freed first: their plans are unreachable by now.
-    """
+def stage(df: DataFrame, label: str, partition_by: str | None = None) -> tuple[DataFrame, str]:
+    """Write a step as Parquet and read it back; returns the table and its path. Its shuffle files are deleted."""
     spark = df.sparkSession
-    free_shuffles(spark)
     path = new_path(spark, label)
     w = df.write.option("compression", "zstd")
     if partition_by:
         w = w.partitionBy(partition_by)
-    w.parquet(path)
+    with settings(spark, _FREE):
+        w.parquet(path)
     schema = df.schema
     return spark.read.schema(schema).parquet(path), path
+
+
+#: How tables of one number of buckets are joined: as they are stored, without a shuffle or a sort.
+MERGE = {
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    "spark.sql.legacy.bucketedTableScan.outputOrdering": "true",
+    "spark.sql.execution.replaceHashWithSortAgg": "true",
+}
+
+
+class Sorted:
+    """A written table in buckets by a hash of its first key, sorted by all keys in each, and partitioned by ``part``."""
+
+    def __init__(self, df: DataFrame, label: str, buckets: int, keys: list[str], part: str):
+        self.spark, self.schema, self.path = df.sparkSession, df.schema, new_path(df.sparkSession, label)
+        self.name = f"tokenmill_{uuid.uuid4().hex}"
+        w = df.write.format("parquet").partitionBy(part).bucketBy(buckets, keys[0]).sortBy(*keys)
+        with settings(self.spark, _FREE | MERGE):
+            w.option("path", self.path).option("compression", "zstd").saveAsTable(self.name)
+
+    def merged(self) -> DataFrame:
+        """To be joined under the MERGE settings."""
+        return self.spark.table(self.name)
+
+    def rows(self) -> DataFrame:
+        """Without regard to the buckets."""
+        return self.spark.read.schema(self.schema).parquet(self.path)
+
+    def forget(self, *parts: str) -> None:
+        """Drop the table and delete the named partitions; the others stay."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        for p in parts:
+            drop_path(self.spark, f"{self.path}/{p}")

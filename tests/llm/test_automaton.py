@@ -60,3 +60,18 @@ def test_items_without_an_id_are_cut(spark):
     d = spark.createDataFrame([(1, f"{long} {rest}"), (2, f"{short} {rest}"), (3, rest)], "doc_id long, text string")
     items = spark.createDataFrame([(None, long), (None, short), (5, "unrelated words")], "item_id long, text string")
     assert {x.doc_id: x.text.strip() for x in decontaminate(d, items, max_coverage=0.9).collect()} == {1: rest, 2: rest, 3: rest}
+
+
+@pytest.mark.parametrize("block", [6, 200_000])
+def test_stage_with_clashing_columns_and_empty_tables(spark, block):
+    schema = "doc_id long, text string, n_words timestamp, `spans` string, __items int, `a.b` int"
+    item = "one two three four five six seven eight nine ten eleven"
+    more = (None, "s", 7, 8)
+    rows = [(1, f"Well, {item}! and then a lot of other words stay here, all of them, as they are", *more), (2, None, *more), (2, "", *more), (2, "", *more), (None, item, *more)]
+    docs, items = spark.createDataFrame(rows, schema), spark.createDataFrame([(1, item), (2, "other things"), (None, None)], "item_id long, text string")
+    got = decontaminate(docs, items, block_words=block)
+    assert got.dtypes == docs.dtypes
+    got = got.collect()
+    assert sorted((str(x.doc_id), x.text, x["spans"], x["a.b"]) for x in got if x.text) == [("1", "Well, ! and then a lot of other words stay here, all of them, as they are", "s", 8)]
+    assert sorted(str(x.text) for x in got if x.doc_id == 2) == ["", "", "None"] and len(got) == 4
+    assert decontaminate(docs.limit(0), items).count() == 0 and decontaminate(docs, items.limit(0)).count() == 5

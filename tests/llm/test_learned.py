@@ -1,7 +1,9 @@
 import random
 
+from pyspark.sql import functions as F
+
 from tokenmill.llm.language import identify, windows
-from tokenmill.llm.toxicity import toxicity
+from tokenmill.llm.toxicity import reject_toxic, toxicity
 
 WORDS = {"aa": ["zhu", "xin", "qua", "lok"], "bb": ["the", "and", "ing", "ed"], "cc": ["é", "ñu", "ça", "où"]}
 
@@ -49,4 +51,9 @@ def test_toxicity(spark):
     assert len(held) > 100 and sum(g.predicted == (g.doc_id % 5 == 1) for g in held) / len(held) > 0.97
     assert {g.predicted for g in got if g.doc_id in (5001, 5002, 5003)} == {0}
     assert toxicity(d.limit(0), y).count() == 0
+    stays = reject_toxic(d.withColumnRenamed("toxicity", "__score").withColumn("score", F.lit("x")).withColumn("a.b", F.lit(1)), y)
+    assert stays.columns == ["doc_id", "text", "__score", "score", "a.b"]
+    kept = [x.doc_id for x in stays.collect()]
+    assert kept.count(5002) == 2 and 5001 in kept and None not in kept and len({i for i in kept if i and i < 1200 and i % 5 == 1}) <= 8
+    assert reject_toxic(d.limit(0), y).count() == 0 and reject_toxic(d, y.limit(0)).count() == len(docs)
     assert {g.score for g in toxicity(d.limit(5), y.limit(0)).collect()} == {0.0}

@@ -3,7 +3,9 @@ import random
 
 import pytest
 
-from tokenmill.llm.runlog import substring_dedup
+from tokenmill.llm.repeats import FIRST, keyed
+from tokenmill.llm.runlog import RunLog, batches_by_id, substring_dedup
+from tokenmill.scratch import MERGE, settings
 
 
 def brute(rows, window=13):
@@ -55,3 +57,39 @@ def test_empty_repeated_and_extra_columns(spark):
     got = substring_dedup(spark.createDataFrame(rows, schema), batches=3, keep=True).collect()
     assert sorted((x.doc_id, x.n_removed) for x in got) == [(3, 0), (3, 0), (3, 0), (4, 20)]
     assert [bytes(x.kept) for x in got if x.doc_id == 4] == [b"zero"]
+
+
+def test_the_log_merges_stored_runs_and_compacts(spark):
+    """Two runs and a new one are joined as they are stored: no shuffle, no sort. Compaction keeps every stretch once."""
+    r = random.Random(8)
+    words = ["".join(r.choices("abcde", k=5)) for _ in range(500)]
+    texts = [" ".join(r.choices(words, k=200)) for _ in range(40)]
+    docs = keyed(spark.createDataFrame([(i, texts[i % 30]) for i in range(40)], "doc_id long, text string"))
+    log = RunLog(spark, max_runs=2)
+    parts = batches_by_id(docs, 4)
+    for part in parts[:3]:
+        log.add(part)
+    assert len(log.runs) == 3 and log.merges == 0
+    with settings(spark, MERGE):
+        newest = log.runs.pop()
+        plan = log._compared(newest[0], FIRST)._jdf.queryExecution().executedPlan().toString()
+        log.runs.append(newest)
+    assert plan.count("SortMergeJoin") == 4 and "Exchange" not in plan and "Sort [" not in plan, plan
+    runs = [x.rows().where(f"kind = {FIRST}").select("h", "digest", "dk").collect() for x, _ in log.runs]
+    found = log.add(parts[3])
+    assert log.merges == 1 and len(log.runs) == 3
+    first = {}
+    for x in (row for run in runs for row in run):
+        first[x.h, x.digest] = min(x.dk, first.get((x.h, x.digest), x.dk))
+    now = [row for x, _ in log.runs[:2] for row in x.rows().where(f"kind = {FIRST}").select("h", "digest", "dk").collect()]
+    assert {(x.h, x.digest): x.dk for x in now} == first and sum(n for _, n in log.runs[:2]) == len(now)
+    assert {x.dk for rows in found for x in rows.where("kind = 0").collect()} == set(range(30, 40))
+    log.close()
+
+
+def test_the_query_indexes_every_batch_and_compacts(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(RunLog, "close", lambda log: seen.append((len(log.runs), log.merges)))
+    rows = [(i, " ".join(f"w{j % 17 + i}" for j in range(40))) for i in range(60)]
+    assert substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).count() == 60
+    assert seen == [(3, 1)]

@@ -1,3 +1,5 @@
+import datetime
+import decimal
 import hashlib
 import random
 
@@ -5,7 +7,8 @@ import numpy as np
 import pytest
 
 from tokenmill.llm import repeats, suffix_dedup
-from tokenmill.llm.suffix_dedup import common_prefixes, suffix_array
+from tokenmill.llm.repeats import runs
+from tokenmill.llm.suffix_dedup import SPEC, common_prefixes, remove_repeats, suffix_array
 
 
 def brute(rows, window=100):
@@ -101,3 +104,44 @@ def test_suffix_array_and_prefixes(seed):
         return n
 
     assert lcp.tolist() == [0] * bool(len(sa)) + [common(a, b) for a, b in zip(sa[:-1], sa[1:])]
+
+
+def test_other_columns_stay_as_they_are(spark):
+    """Types that JSON would bend, names of work columns, repeated and null rows."""
+    schema = "doc_id int, text string, rest timestamp, kind decimal(20,10), dk binary, late map<string,int>, kept array<struct<a:double>>"
+    at, text = datetime.datetime(2024, 1, 2, 3, 4, 5, 123456), "the quick brown fox jumps over it " * 10
+    more = (at, decimal.Decimal("1234567890.0123456789"), bytearray(b"\x00\xff"), {"a": 1}, [(float("nan"),)])
+    rows = [(1, text, *more), (2, "x" + text + "y", *more), (2, "x" + text + "y", *more), (3, None, None, None, None, None, None), (4, "", *more), (None, "short", *more)]
+    got = remove_repeats(spark.createDataFrame(rows, schema))
+    assert got.dtypes == spark.createDataFrame([], schema).dtypes
+    got = got.collect()
+    assert sorted(str(x.doc_id) for x in got) == ["1", "2", "2", "3", "4", "None"]
+    for x in got:
+        if x.doc_id != 3:
+            assert x.rest == at and x.kind == more[1] and bytes(x.dk) == b"\x00\xff" and x.late == {"a": 1} and x["kept"][0].a != x["kept"][0].a
+    assert {x.text for x in got if x.doc_id == 2} == {"xy"} and {x.doc_id: x.text for x in got if x.doc_id in (3, 4)} == {3: None, 4: ""}
+    assert remove_repeats(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_a_window_chooses_the_same_gram_wherever_it_stands():
+    """By all bits of the hash: in long and short texts alike."""
+    r = np.random.default_rng(4)
+    part = r.integers(0, 2**63, 150, np.uint64)
+    long = np.concatenate([r.integers(0, 2**63, 70_000, np.uint64), part, r.integers(0, 2**63, 500, np.uint64)])
+    a = {x for x in zip(*(y.tolist() for y in runs(part, SPEC)[:2]), strict=True)}
+    h, d, first, size = runs(long, SPEC)
+    inside = (first >= 70_000) & (first + size - 1 + SPEC.window <= 70_150)
+    assert len(a & set(zip(h[inside].tolist(), d[inside].tolist(), strict=True))) >= max(1, len(a) - 2)
+    brute = []
+    for j in range(len(part) - SPEC.window + 1):
+        grams = runs_gram(part[j : j + SPEC.window])
+        brute.append(j + min(range(len(grams)), key=lambda k: (grams[k], k)))
+    _, _, first, size = runs(part, SPEC)
+    got = np.repeat(np.arange(len(first)), size)
+    assert [x == y for x, y in zip(brute, brute[1:])] == (got[1:] == got[:-1]).tolist()
+
+
+def runs_gram(u):
+    """Hash of each gram of a window, from a window of one gram."""
+    one = SPEC._replace(window=SPEC.gram)
+    return [int(runs(u[i : i + SPEC.gram], one)[0][0]) for i in range(len(u) - SPEC.gram + 1)]

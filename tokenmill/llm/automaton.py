@@ -15,8 +15,9 @@ from functools import partial
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from tokenmill.llm.texts import byte_rows, prepare, word_blocks
+from tokenmill.llm.texts import byte_rows, free_names, map_rows, prepare, word_blocks
 
 WINDOW = 10
 MAX_COVERAGE = 0.5
@@ -159,7 +160,7 @@ def automata(items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WO
     yield block.finish()
 
 
-def _search(batches: Iterator[pa.RecordBatch], automaton) -> Iterator[pa.RecordBatch]:
+def _search(batches: Iterator[pa.RecordBatch], automaton, names: list[str]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         n, spans, items = [], [], []
         for data in byte_rows(b.column("text")):
@@ -167,7 +168,7 @@ def _search(batches: Iterator[pa.RecordBatch], automaton) -> Iterator[pa.RecordB
             n.append(words)
             spans.append([x for s in found for x in s])
             items.append(sorted(ids))
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.int64()))], [*b.schema.names, "n_words", "spans", "items"])
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.int64()))], [*b.schema.names, *names])
 
 
 def merged(spans: list[int]) -> list[tuple[int, int]]:
@@ -181,19 +182,20 @@ def merged(spans: list[int]) -> list[tuple[int, int]]:
     return out
 
 
-def search(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, unnamed: bool = False) -> DataFrame:
-    """The columns of ``docs`` with ``n_words, spans, items`` for each row; spans (first, end, ...) may touch if there are several automata."""
+def search(docs: DataFrame, items: DataFrame, names: list[str], window: int = WINDOW, block_words: int = BLOCK_WORDS, unnamed: bool = False) -> DataFrame:
+    """The columns of ``docs``, and under ``names``, which it doesn't have, the number of words, the spans and the items of each row; spans (first, end, ...) may touch if there are several automata."""
     sc = docs.sparkSession.sparkContext
-    kinds = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-    now = docs
+    schema = lambda more: StructType([*docs.schema.fields, *[StructField(n, t) for n, t in zip(more, [LongType(), ArrayType(IntegerType()), ArrayType(LongType())] * 2, strict=False)]])
+    now, n, spans, ids = docs, *names
+    work = free_names(docs.select("*", *[F.lit(0).alias(x) for x in names]), "n", "spans", "items")
     for k, automaton in enumerate(automata(items, window, block_words, unnamed)):
-        step = partial(_search, automaton=sc.broadcast(automaton))
+        step = partial(_search, automaton=sc.broadcast(automaton), names=names)
         if not k:
-            now = now.mapInArrow(step, f"{kinds}, n_words long, spans array<int>, items array<long>")
+            now = map_rows(now, step, schema(names))
             continue
-        before = now.withColumnsRenamed({"n_words": "_n", "spans": "_spans", "items": "_items"})
-        both = before.mapInArrow(step, f"{kinds}, _n long, _spans array<int>, _items array<long>, n_words long, spans array<int>, items array<long>")
-        now = both.select(*docs.columns, "n_words", F.concat("_spans", "spans").alias("spans"), F.array_union("_items", "items").alias("items"))
+        both = map_rows(now.withColumnsRenamed(dict(zip(names, work, strict=True))), step, schema([*work, *names]))
+        kept = [F.col(f"`{c}`") for c in docs.columns]
+        now = both.select(*kept, n, F.concat(work[1], spans).alias(spans), F.array_union(work[2], ids).alias(ids))
     return now
 
 
@@ -220,7 +222,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, block
     """
     prepare(docs, "doc_id", "text")
     prepare(items, "item_id", "text")
-    found = search(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), items, window, block_words)
+    found = search(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), items, ["n_words", "spans", "items"], window, block_words)
     return found.drop("text").mapInArrow(_digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
@@ -240,24 +242,26 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def _clean(batches: Iterator[pa.RecordBatch], max_coverage: float, min_words: int) -> Iterator[pa.RecordBatch]:
+def _clean(batches: Iterator[pa.RecordBatch], names: list[str], max_coverage: float, min_words: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts, keep = [], []
-        for data, spans, n in zip(byte_rows(b.column("text")), b.column("spans").to_pylist(), b.column("n_words").to_pylist(), strict=True):
+        for data, n, spans in zip(byte_rows(b.column("text")), *(b.column(c).to_pylist() for c in names[:2]), strict=True):
             found = [s for s in merged(spans) if s[1] - s[0] >= min_words]
             keep.append(sum(e - a for a, e in found) <= max_coverage * n if found else True)
             texts.append(cut(data, found).decode() if found and keep[-1] else data.decode() if data is not None else None)
-        cols = [pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in b.schema.names if c not in ("n_words", "spans", "items")]
-        names = [c for c in b.schema.names if c not in ("n_words", "spans", "items")]
-        yield pa.RecordBatch.from_arrays(cols, names).filter(pa.array(keep))
+        left = [c for c in b.schema.names if c not in names]
+        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in left], left).filter(pa.array(keep))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_words: int = 1, max_coverage: float = MAX_COVERAGE) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_words: int = 1, max_coverage: float = MAX_COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` without the words of hit spans of at least ``min_words`` words; a document goes if they are over ``max_coverage`` of its words.
 
-    Items with a null id count like any other. Documents without such spans stay as they are, null texts included. Columns named n_words,
-    spans or items may not be among those of ``docs``.
+    Items with a null id count like any other. Documents without such spans stay as they are, null and empty texts
+    and repeated rows included; no items or an empty table are fine. Other columns pass through unchanged, whatever
+    their names.
     """
     prepare(docs, "text")
-    kinds = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-    return search(docs, items, window, unnamed=True).mapInArrow(partial(_clean, max_coverage=max_coverage, min_words=min_words), kinds)
+    prepare(items, "item_id", "text")
+    names = free_names(docs, "n_words", "spans", "items")
+    found = search(docs, items, names, window, block_words, unnamed=True)
+    return map_rows(found, partial(_clean, names=names, max_coverage=max_coverage, min_words=min_words), docs.schema)

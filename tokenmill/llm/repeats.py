@@ -24,13 +24,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from tokenmill.llm.texts import byte_rows, word_blocks
-from tokenmill.scratch import free_shuffles
 
 LAST = (1 << 63) - 1
 #: Runs of different digests of one gram that one task compares; more meet window by window.
-SUB = 1 << 14
+SUB = 1 << 11
 _CHUNK = 1 << 18
 #: Bytes of output rows that a Python worker gathers.
 _FLUSH = 2 << 20
@@ -81,15 +81,14 @@ def runs(u: np.ndarray, spec: Spec) -> tuple[np.ndarray, np.ndarray, np.ndarray,
         return np.zeros(0, _U), np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64)
     p, down = _sums(u, _A)
     g = _mix((p[spec.gram :] - p[: -spec.gram]) * down[: len(p) - spec.gram])
-    bits = _U(int(len(g) - 1).bit_length() or 1)
-    m = (g >> bits << bits) | np.arange(len(g), dtype=_U)
+    # least hash of all 64 bits in each window, and its first place
+    m, at = g, np.arange(len(g), dtype=np.int32)
     width = 1
-    while 2 * width <= w:
-        m = np.minimum(m[:-width], m[width:])
-        width *= 2
-    if width < w:
-        m = np.minimum(m[: n], m[w - width : w - width + n])
-    at = (m & ((_U(1) << bits) - _U(1))).astype(np.int64)
+    while width < w:
+        step = min(width, w - width)
+        left = m[:-step] <= m[step:]
+        m, at = np.where(left, m[:-step], m[step:]), np.where(left, at[:-step], at[step:])
+        width += step
     first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
     size = np.diff(np.r_[first, n])
     q, down = _sums(_mix(u), _B)
@@ -123,7 +122,7 @@ _NAMES = ["h", "digest", "dk", "tk", "at", "more"]
 
 
 def _later(h: np.ndarray, digest: np.ndarray, dk: np.ndarray, tk: np.ndarray, at: np.ndarray, strict: bool) -> np.ndarray:
-    """Which runs repeat another one among these that comes earlier (strict: in a smaller dk)."""
+    """Which runs repeat another one among these that comes earlier (strict: in a smaller dk); one that stands at the same place, of a repeated row, doesn't."""
     late = np.zeros(len(h), bool)
     z = h ^ (digest * _U(_B))
     order = np.argsort(z, kind="stable")
@@ -133,7 +132,7 @@ def _later(h: np.ndarray, digest: np.ndarray, dk: np.ndarray, tk: np.ndarray, at
         some = some[np.lexsort((at[some], tk[some], dk[some], digest[some], h[some]))]
         new = np.r_[True, (h[some][1:] != h[some][:-1]) | (digest[some][1:] != digest[some][:-1])]
         first = some[np.maximum.accumulate(np.where(new, np.arange(len(some)), 0))]
-        late[some] = dk[some] > dk[first] if strict else ~new
+        late[some] = dk[some] > dk[first] if strict else (dk[some] > dk[first]) | (tk[some] != tk[first]) | (at[some] != at[first])
     return late
 
 
@@ -177,8 +176,8 @@ def _run_rows(batches: Iterator[pa.RecordBatch], spec: Spec) -> Iterator[pa.Reco
 
 
 def keyed(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
-    """``doc_id, dk, tk, text, rest``; rest has the columns named in ``carry`` as JSON, or is null."""
-    rest = F.to_json(F.struct(*carry)) if carry else F.lit(None).cast("string")
+    """``doc_id, dk, tk, text, rest``; rest is a struct of the columns named in ``carry``, as they are."""
+    rest = F.struct(*[F.col(f"`{c}`") for c in carry or []], F.lit(True).alias("__row"))
     return docs.select(rest.alias("rest"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("dk"), F.hash(F.col("text").cast("string")).alias("tk"), F.col("text").cast("string").alias("text"))
 
 
@@ -186,29 +185,27 @@ def run_rows(docs: DataFrame, spec: Spec) -> DataFrame:
     return docs.select("dk", "tk", "text").mapInArrow(partial(_run_rows, spec=spec), RUNS)
 
 
-#: Bit of ``at`` that marks a row of the index, whose document is settled already; run lengths stay below it.
-SETTLED = 128
 MET = "kind int, h long, digest long, sub int, dk long, tk int, at long, starts array<int>"
-DUP, PIECE, INDEX = 0, 1, 2
+DUP, PIECE, FIRST, MORE = 0, 1, 2, 3
 
 
 def _meet(batches: Iterator[pa.RecordBatch], strict: bool, index: bool) -> Iterator[pa.RecordBatch]:
     """Settle runs that come sorted by gram hash, digest, dk, tk and at; a key of any size needs no more memory than one batch.
 
     DUP rows have windows that an earlier document (or, if not strict, an earlier place) has.
-    PIECE rows are the first run of each digest where a gram has several digests.
-    INDEX rows are the first run of each digest, if it isn't in the index yet.
-    Rows that carry SETTLED only serve as earlier places.
+    PIECE rows are the first run of each digest where a gram has several digests; ``sub`` counts
+    them in parts of SUB. For an index, there are FIRST rows instead, one for the first run of
+    every digest, and MORE rows, for others of its document; their ``sub`` is 1 where the gram has
+    several digests, else 0.
     """
     schema = pa.schema([("kind", pa.int32()), ("h", pa.int64()), ("digest", pa.int64()), ("sub", pa.int32()), ("dk", pa.int64()), ("tk", pa.int32()), ("at", pa.int64()), ("starts", pa.list_(pa.int32()))])
 
-    def out(kind, rows, sub, mask, first=True, more=True):
-        rows, n = rows.filter(pa.array(mask)), int(mask.sum())
+    def out(kind, rows, sub, first=True, more=True):
+        n = rows.num_rows
         lists = rows.column("more")
         sizes = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64) if more else np.zeros(n, np.int64)
         at = rows.column("at").to_numpy()
         counts = sizes + first
-        at = at & ~np.int64(SETTLED)
         values = np.zeros(int(counts.sum()), np.int64)
         heads = np.zeros(len(values), bool)
         if first:
@@ -217,12 +214,21 @@ def _meet(batches: Iterator[pa.RecordBatch], strict: bool, index: bool) -> Itera
         if more:
             values[~heads] = lists.flatten().to_numpy(zero_copy_only=False)
         # what is settled needs no hashes, which don't compress
-        h, digest = (rows.column("h"), rows.column("digest")) if kind != DUP else [pa.array(np.zeros(n, np.int64))] * 2
-        cols = [pa.array(np.full(n, kind, np.int32)), h, digest, pa.array(sub[mask].astype(np.int32)), rows.column("dk"), rows.column("tk"), pa.array(at), _lists(counts, values)]
+        settled = isinstance(kind, int) and kind == DUP
+        h, digest = [pa.array(np.zeros(n, np.int64))] * 2 if settled else (rows.column("h"), rows.column("digest"))
+        cols = [pa.array(np.broadcast_to(np.int32(kind), n)), h, digest, pa.array(sub.astype(np.int32)), rows.column("dk"), rows.column("tk"), pa.array(at), _lists(counts, values)]
         return pa.RecordBatch.from_arrays(cols, schema=schema)
 
+    def release(held, several):
+        """The first runs of a gram whose digests are known to be several, or not."""
+        rows, new = held
+        if index:
+            yield out(np.where(new, FIRST, MORE), rows, np.full(len(new), several))
+        elif several:
+            yield out(PIECE, rows, np.zeros(len(new)), more=strict)
+
     held = None  # first runs of the gram's only digest so far, at the end of what has been read
-    h0 = d0 = dk0 = None
+    h0 = d0 = place0 = None
     seen = 0  # digests of that gram so far
     for b in batches:
         settled = b.column("at").to_numpy() < 0
@@ -230,18 +236,18 @@ def _meet(batches: Iterator[pa.RecordBatch], strict: bool, index: bool) -> Itera
             gone = b.filter(pa.array(settled))
             plain = pa.array(-gone.column("at").to_numpy() - 1)
             gone = pa.RecordBatch.from_arrays([plain if n == "at" else gone.column(n) for n in _NAMES], _NAMES)
-            yield out(DUP, gone, np.zeros(gone.num_rows, np.int64), np.ones(gone.num_rows, bool))
+            yield out(DUP, gone, np.zeros(gone.num_rows))
             b = b.filter(pa.array(~settled))
         if not b.num_rows:
             continue
         h, d, dk = (b.column(i).to_numpy() for i in range(3))
-        fresh = b.column("at").to_numpy() & SETTLED == 0
         new_h = np.r_[h0 is None or h[0] != h0, h[1:] != h[:-1]]
         new_d = new_h | np.r_[d0 is None or d[0] != d0, d[1:] != d[:-1]]
         i = np.arange(len(h))
         start = np.maximum.accumulate(np.where(new_d, i, -1))
-        least = np.where(start >= 0, dk[start], dk0 if dk0 is not None else 0)
-        firsts = (dk == least) if strict else new_d
+        place = [dk, *([] if strict else (b.column(c).to_numpy() for c in ("tk", "at")))]
+        least = [np.where(start >= 0, x[start], y) for x, y in zip(place, place0 or [0] * len(place), strict=True)]
+        firsts = np.logical_and.reduce([x == y for x, y in zip(place, least, strict=True)])
         gram = np.cumsum(new_h)  # 0: goes on from before
         head = np.maximum.accumulate(np.where(new_h, i, -1))
         count = np.cumsum(new_d)
@@ -250,31 +256,33 @@ def _meet(batches: Iterator[pa.RecordBatch], strict: bool, index: bool) -> Itera
         total = np.zeros(gram[-1] + 1, np.int64)
         np.maximum.at(total, gram, ordinal)
         multi = total[gram] > 1
-        dup = ~firsts & fresh
-        if held is not None:
-            if len(total) and gram[0] == 0 and total[0] > 1:
-                yield out(PIECE, held, np.zeros(held.num_rows, np.int64), np.ones(held.num_rows, bool), more=strict)
-                held = None
-            elif gram[-1] > 0:
-                held = None
-        if dup.any():
-            yield out(DUP, b, sub, dup)
+        if held is not None and (gram[-1] > 0 or total[0] > 1):
+            yield from release(held, gram[0] == 0 and total[0] > 1)
+            held = None
+        take = lambda m: b.filter(pa.array(m))  # noqa: B023, E731
+        if (m := ~firsts).any():
+            yield out(DUP, take(m), sub[m])
         if not strict and (m := firsts & b.column("more").is_valid().to_numpy(zero_copy_only=False)).any():
-            yield out(DUP, b, sub, m, first=False)
-        if index and (m := new_d & fresh).any():
-            yield out(INDEX, b, sub, m)
-        if (m := firsts & multi).any():
-            yield out(PIECE, b, sub, m, more=strict)
-        if (m := firsts & ~multi & (gram == gram[-1])).any():
-            rest = [b.filter(pa.array(m))] + ([held] if held is not None else [])
-            held = pa.Table.from_batches(rest).combine_chunks().to_batches()[0]
+            yield out(DUP, take(m), sub[m], first=False)
+        waits = firsts & ~multi & (gram == gram[-1])
+        if index and (m := firsts & ~waits).any():
+            yield out(np.where(new_d[m], FIRST, MORE), take(m), multi[m])
+        if not index and (m := firsts & multi).any():
+            yield out(PIECE, take(m), sub[m], more=strict)
+        if waits.any():
+            rest = [take(waits)] + ([held[0]] if held is not None else [])
+            new = np.r_[new_d[waits], held[1] if held is not None else np.zeros(0, bool)]
+            held = pa.Table.from_batches(rest).combine_chunks().to_batches()[0], new
         if gram[-1] > 0:
             seen = 0
-        h0, d0, dk0, seen = h[-1], d[-1], least[-1], int(ordinal[-1])
+        h0, d0, place0, seen = h[-1], d[-1], [x[-1] for x in least], int(ordinal[-1])
+    if held is not None:
+        yield from release(held, False)
 
 
-def meet(rows: DataFrame, strict: bool, index: bool = False) -> DataFrame:
-    return rows.repartition("h").sortWithinPartitions("h", "digest", "dk", "tk", "at").mapInArrow(partial(_meet, strict=strict, index=index), MET)
+def meet(rows: DataFrame, strict: bool, index: bool = False, parts: int | None = None) -> DataFrame:
+    dealt = rows.repartition(parts, "h") if parts else rows.repartition("h")
+    return dealt.sortWithinPartitions("h", "digest", "dk", "tk", "at").mapInArrow(partial(_meet, strict=strict, index=index), MET)
 
 
 def units(data: bytes, spec: Spec):
@@ -301,19 +309,27 @@ def digest_of(data: bytes, windows: list[tuple[int, int]], spec: Spec, keep: boo
     return len(x), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), rest
 
 
-_SPLIT = "kind int, doc_id long, dk long, tk int, text string, rest string, known array<int>, h long, sub int, starts array<int>, size int, body binary, n long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+_SPLIT = "kind int, doc_id long, dk long, tk int, text string, known array<int>, h long, sub int, starts array<int>, size int, body binary, n long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+_KINDS = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
+
+
+def _with_rest(kinds: str, docs: DataFrame) -> StructType:
+    return StructType([*StructType.fromDDL(kinds).fields, StructField("rest", docs.schema["rest"].dataType)])
 
 
 def _split(batches: Iterator[pa.RecordBatch], spec: Spec, keep: bool) -> Iterator[pa.RecordBatch]:
     """Per document: its result if its runs are settled, else the document with what is known, and its pieces."""
-    fields = [x.rsplit(" ", 1) for x in _SPLIT.split(", ")]
-    kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
-    schema = pa.schema([(n, kinds[t]) for n, t in fields])
+    schema = pa.schema([(n, _KINDS[t]) for n, t in (x.rsplit(" ", 1) for x in _SPLIT.split(", "))])
+
+    def flush(rows, at, rest):
+        b = pa.RecordBatch.from_pylist(rows, schema=schema)
+        return pa.RecordBatch.from_arrays([*b.columns, rest.take(pa.array(at, pa.int64()))], [*schema.names, "rest"])
+
     for b in batches:
-        rows, size = [], 0
-        found = b.column("found")
+        rows, at, size = [], [], 0
+        found, rests = b.column("found"), b.column("rest")
         for i, data in enumerate(byte_rows(b.column("text"))):
-            doc_id, dk, tk, rest = (b.column(c)[i].as_py() for c in ("doc_id", "dk", "tk", "rest"))
+            doc_id, dk, tk = (b.column(c)[i].as_py() for c in ("doc_id", "dk", "tk"))
             known, pieces = [], []
             for f in found[i].as_py() or []:
                 if f["kind"] == DUP:
@@ -322,7 +338,8 @@ def _split(batches: Iterator[pa.RecordBatch], spec: Spec, keep: bool) -> Iterato
                     pieces.append(f)
             if not pieces:
                 n, gone, spans, sha, kept = digest_of(data or b"", known, spec, keep and data is not None)
-                rows.append({"kind": 0, "doc_id": doc_id, "rest": rest, "n": n, "n_removed": gone, "n_spans": spans, "kept_sha256": sha, "kept": kept})
+                rows.append({"kind": 0, "doc_id": doc_id, "n": n, "n_removed": gone, "n_spans": spans, "kept_sha256": sha, "kept": kept})
+                at.append(i)
                 size += 100 + len(kept or b"")
             else:
                 x = units(data, spec) if spec.words else data
@@ -330,19 +347,21 @@ def _split(batches: Iterator[pa.RecordBatch], spec: Spec, keep: bool) -> Iterato
                     k = f["at"] & 255
                     part = x[f["at"] >> 8 : (f["at"] >> 8) + k - 1 + spec.window]
                     rows.append({"kind": 1, "dk": dk, "tk": tk, "h": f["h"], "sub": f["sub"], "starts": f["starts"], "size": k, "body": b" ".join(part) if spec.words else part})
-                rows.append({"kind": 2, "doc_id": doc_id, "dk": dk, "tk": tk, "text": data.decode(), "rest": rest, "known": [y for w in known for y in w]})
+                    at.append(None)
+                rows.append({"kind": 2, "doc_id": doc_id, "dk": dk, "tk": tk, "text": data.decode(), "known": [y for w in known for y in w]})
+                at.append(i)
                 size += len(data) + 300 * len(pieces)
             if size > _FLUSH:
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
-                rows, size = [], 0
+                yield flush(rows, at, rests)
+                rows, at, size = [], [], 0
         if rows:
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+            yield flush(rows, at, rests)
 
 
 def split(docs: DataFrame, met: DataFrame, spec: Spec, keep: bool) -> DataFrame:
     """Join settled and open runs to their documents; kind 0: results, 1: pieces, 2: documents that wait for pieces."""
-    found = met.where(F.col("kind") != INDEX).groupBy("dk", "tk").agg(F.collect_set(F.struct("kind", "h", "sub", "at", "starts")).alias("found"))
-    return docs.join(found, ["dk", "tk"], "left").select("doc_id", "dk", "tk", "text", "rest", "found").mapInArrow(partial(_split, spec=spec, keep=keep), _SPLIT)
+    found = met.groupBy("dk", "tk").agg(F.collect_set(F.struct("kind", "h", "sub", "at", "starts")).alias("found"))
+    return docs.join(found, ["dk", "tk"], "left").select("doc_id", "dk", "tk", "text", "rest", "found").mapInArrow(partial(_split, spec=spec, keep=keep), _with_rest(_SPLIT, docs))
 
 
 def _piece_windows(batches: Iterator[pa.RecordBatch], spec: Spec) -> Iterator[pa.RecordBatch]:
@@ -358,40 +377,38 @@ def _piece_windows(batches: Iterator[pa.RecordBatch], spec: Spec) -> Iterator[pa
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32())), strict=True)], _NAMES)
 
 
-def hot_windows(pieces: DataFrame, spec: Spec) -> DataFrame | None:
-    """``dk, tk, starts, size`` from grams of more than SUB digests, whose windows meet one by one by a 128-bit digest; None if there is no such gram."""
-    hot = pieces.where("sub > 0").select("h").distinct()
+def hot_windows(pieces: DataFrame, hot: DataFrame, spec: Spec) -> DataFrame | None:
+    """``dk, tk, starts, size`` from grams (``hot``) of more than SUB digests, whose windows meet one by one by a 128-bit digest; None if there is no such gram."""
     if not hot.limit(1).count():
         return None
     rows = pieces.join(hot, "h", "left_semi").select("h", "dk", "tk", "starts", "size", "body").mapInArrow(partial(_piece_windows, spec=spec), RUNS)
     return meet(rows, spec.strict).where(F.col("kind") == DUP).select("dk", "tk", "starts", F.lit(1).alias("size"))
 
 
+RESULT = "doc_id long, n long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+RESULT_NAMES = ["doc_id", "n", "n_removed", "n_spans", "kept_sha256", "kept", "rest"]
+
+
 def _finish(batches: Iterator[pa.RecordBatch], spec: Spec, keep: bool) -> Iterator[pa.RecordBatch]:
-    names = RESULT_NAMES
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-    flush = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+
+    def flush(rows, rest):
+        cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+        return pa.RecordBatch.from_arrays([*cols, rest], RESULT_NAMES)
+
     for b in batches:
-        rows, size = [], 0
+        rows, size, first, rests = [], 0, 0, b.column("rest")
         for i, data in enumerate(byte_rows(b.column("text"))):
             known, late = b.column("known")[i].as_py(), b.column("late")[i].as_py() or []
             windows = list(zip(known[::2], known[1::2], strict=True)) + [(s, f["size"]) for f in late for s in f["starts"]]
-            rows.append((b.column("doc_id")[i].as_py(), b.column("rest")[i].as_py(), *digest_of(data, windows, spec, keep)))
+            rows.append((b.column("doc_id")[i].as_py(), *digest_of(data, windows, spec, keep)))
             size += len(data) if keep else 200
-            if size > _FLUSH:
-                yield flush(rows)
-                rows, size = [], 0
-        if rows:
-            yield flush(rows)
-
-
-RESULT_NAMES = ["doc_id", "rest", "n", "n_removed", "n_spans", "kept_sha256", "kept"]
-RESULT = "doc_id long, rest string, n long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+            if size > _FLUSH or i + 1 == b.num_rows:
+                yield flush(rows, rests.slice(first, len(rows)))
+                rows, size, first = [], 0, i + 1
 
 
 def finish(waiting: DataFrame, late: DataFrame, spec: Spec, keep: bool) -> DataFrame:
     """Results of documents that waited, with the windows (``dk, tk, starts, size``) that their pieces lose."""
     late = late.groupBy("dk", "tk").agg(F.collect_list(F.struct("starts", "size")).alias("late"))
-    free_shuffles(waiting.sparkSession)
-    return waiting.join(late, ["dk", "tk"], "left").select("doc_id", "rest", "text", "known", "late").mapInArrow(partial(_finish, spec=spec, keep=keep), RESULT)
-
+    return waiting.join(late, ["dk", "tk"], "left").select("doc_id", "rest", "text", "known", "late").mapInArrow(partial(_finish, spec=spec, keep=keep), _with_rest(RESULT, waiting))

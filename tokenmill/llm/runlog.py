@@ -1,12 +1,13 @@
 """Incremental substring dedup over a log-structured fingerprint index.
 
-The index is a list of immutable runs. A run has, for each different stretch of windows of
-one batch of documents that no earlier run has, the hash of its gram, a digest and the first
-document with it, sorted by hash. A new batch is merge-joined with all runs on the hash:
-both sides are sorted by it, and one pass over each hash's rows settles equal stretches.
-Stretches that share a gram but differ are verified window by window on their words. The
-batch's own new rows become the next run; once there are more than ``max_runs``, the runs
-are merged into one that keeps the first document of each stretch.
+The index is a list of immutable runs, one for each batch of documents. A run has, for every
+different stretch of windows of its batch, the hash of its gram, a digest and the first document
+with it; it is stored sorted by hash, in buckets of it. A new batch is shuffled and sorted once,
+to become the next run. That run is merge-joined with each earlier one, as they are stored:
+neither side is shuffled or sorted again. Stretches that an earlier run has are settled;
+stretches that share a gram but differ are verified window by window on their words. Before a
+batch comes, neighbouring runs are compacted until there are at most ``max_runs``: two runs are
+merged into one that keeps the first document of each stretch.
 """
 
 from __future__ import annotations
@@ -17,13 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenmill.llm.repeats import INDEX, RESULT_NAMES, SETTLED, Spec, finish, hot_windows, keyed, meet, run_rows, split
+from tokenmill.llm.repeats import DUP, FIRST, MORE, PIECE, RESULT_NAMES, SUB, Spec, finish, hot_windows, keyed, meet, run_rows, split
 from tokenmill.llm.texts import prepare
-from tokenmill.scratch import drop_path, stage
+from tokenmill.scratch import MERGE, Sorted, drop_path, settings, stage
 
 SPEC = Spec(window=13, gram=4, words=True, strict=True)
-MAX_RUNS = 4
-BATCHES = 2
+MAX_RUNS = 2
+BATCHES = 4
+_KEYS = ["h", "digest"]
+_FOUND = ["kind", "h", "dk", "tk", "at", "starts"]
 
 
 class RunLog:
@@ -31,51 +34,74 @@ class RunLog:
 
     def __init__(self, spark: SparkSession, spec: Spec = SPEC, max_runs: int = MAX_RUNS):
         self.spark, self.spec, self.max_runs = spark, spec, max_runs
-        self.runs: list[tuple[DataFrame, str]] = []
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.runs: list[tuple[Sorted, int]] = []  # with their rows, oldest first
+        self.merges = 0
 
-    def add(self, batch: DataFrame, index: bool = True) -> tuple[DataFrame, str]:
-        """Merge-join a batch (see ``repeats.keyed``) with the runs.
+    def add(self, batch: DataFrame) -> list[DataFrame]:
+        """Make a run of a batch (see ``repeats.keyed``) and merge-join it with the earlier runs.
 
-        Returns its settled rows and open pieces and where they are written. Unless ``index``
-        is off, the batch's new stretches become the next run, sorted as the join leaves them.
+        Returns settled rows (DUP) and open pieces (PIECE), of the batch and of earlier documents
+        that it must be compared with.
         """
-        rows = run_rows(batch, self.spec)
-        for run, _ in self.runs:
-            rows = rows.union(run.select("h", "digest", "dk", "tk", F.col("at").bitwiseOR(F.lit(SETTLED).cast("long")).alias("at"), F.col("more")))
-        met, path = stage(meet(rows, self.spec.strict, index), "log-met", "kind")
-        if index:
-            run = met.where(F.col("kind") == INDEX).select("h", "digest", "dk", "tk", "at", F.when(F.size("starts") > 1, F.slice("starts", 2, 1 << 30)).alias("more"))
-            self.runs.append((run, f"{path}/kind={INDEX}"))
-            if len(self.runs) > self.max_runs:
-                self.compact()
-        return met.where(F.col("kind") != INDEX), path
-
-    def close(self) -> None:
-        """Delete all runs."""
-        for _, path in self.runs:
-            drop_path(self.spark, path)
-        self.runs = []
+        while len(self.runs) > self.max_runs:
+            self.compact()
+        met = meet(run_rows(batch, self.spec), self.spec.strict, True, self.buckets)
+        run = Sorted(met, "log-run", self.buckets, _KEYS, "kind")
+        with settings(self.spark, MERGE):
+            new, _ = stage(self._compared(run, FIRST).union(self._compared(run, MORE)), "log-met")
+            # grams of the batch's open stretches that earlier runs have as well
+            open_grams = new.where((F.col("kind") == PIECE) & F.col("shared")).select("h").distinct()
+            old = []
+            for one, _ in self.runs:
+                rows = one.merged().where(F.col("kind") == FIRST).join(open_grams, "h", "left_semi")
+                old.append(stage(rows.select(F.lit(PIECE).alias("kind"), *_FOUND[1:]), "log-old")[0])
+        self.runs.append((run, run.rows().where(F.col("kind") == FIRST).count()))
+        return [run.rows().where(F.col("kind") == DUP).select(*_FOUND), new.select(*_FOUND), *old]
+
+    def _compared(self, run: Sorted, kind: int) -> DataFrame:
+        """Rows of a new run that earlier ones settle, or that share their gram with different ones; ``shared``: with such of earlier runs."""
+        rows, known, shared = run.merged().where(F.col("kind") == kind).drop("kind"), F.lit(False), F.lit(False)
+        olds = [one.merged().where(F.col("kind") == FIRST).select(*_KEYS) for one, _ in self.runs]
+        for k, old in enumerate(olds):
+            rows = rows.join(old.withColumn(f"same{k}", F.lit(True)).hint("merge"), _KEYS, "left")
+            known = known | F.col(f"same{k}").isNotNull()
+        for k, old in enumerate(olds):
+            rows = rows.join(old.select("h").distinct().withColumn(f"gram{k}", F.lit(True)).hint("merge"), "h", "left")
+            shared = shared | F.col(f"gram{k}").isNotNull()
+        rows = rows.withColumns({"known": known, "shared": shared & ~known}).where(F.col("known") | F.col("shared") | (F.col("sub") > 0))
+        no_hash = F.when(F.col("known"), F.lit(0).cast("long")).otherwise(F.col("h")).alias("h")
+        return rows.select(F.when(F.col("known"), DUP).otherwise(PIECE).alias("kind"), no_hash, "dk", "tk", "at", "starts", "shared")
 
     def compact(self) -> None:
-        """Merge all runs into one with the first document of each stretch."""
-        rows = None
+        """Merge the two neighbouring runs of the fewest rows into one, with the first document of each stretch."""
+        k = min(range(len(self.runs) - 1), key=lambda i: self.runs[i][1] + self.runs[i + 1][1])
+        (a, _), (b, _) = self.runs[k : k + 2]
+        rest = ["sub", "dk", "tk", "at", "starts"]
+        with settings(self.spark, MERGE):
+            old, new = (x.merged().where(F.col("kind") == FIRST).select(*_KEYS, F.struct(*rest).alias(n)) for x, n in ((a, "old"), (b, "new")))
+            both = old.hint("merge").join(new, _KEYS, "full").select(*_KEYS, F.coalesce("old", "new").alias("r"))
+            merged = Sorted(both.select(*_KEYS, "r.*", F.lit(FIRST).alias("kind")), "log-run", self.buckets, _KEYS, "kind")
+        for x in (a, b):
+            x.forget(f"kind={FIRST}", f"kind={MORE}")
+        self.runs[k : k + 2] = [(merged, merged.rows().count())]
+        self.merges += 1
+
+    def close(self) -> None:
+        """Delete all runs; settled rows stay."""
         for run, _ in self.runs:
-            rows = run if rows is None else rows.union(run)
-        first = F.min(F.struct("dk", "tk", "at", "more")).alias("r")
-        merged = rows.groupBy("h", "digest").agg(first).select("h", "digest", "r.*").repartition("h").sortWithinPartitions("h", "digest", "dk")
-        done = stage(merged, "log-run")
-        self.close()
-        self.runs = [done]
+            run.forget(f"kind={FIRST}", f"kind={MORE}")
+        self.runs = []
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows of pieces whose words an earlier document's piece of the same gram has. Pieces come sorted by gram, sub, dk and tk."""
+    """Windows of pieces whose words an earlier document's piece of the same gram has. Pieces come sorted by gram, dk and tk."""
     window, group, first = SPEC.window, None, {}
     for b in batches:
         dks, tks, lists, sizes = [], [], [], []
-        for h, sub, dk, tk, starts, size, body in zip(*(b.column(c).to_pylist() for c in ("h", "sub", "dk", "tk", "starts", "size", "body")), strict=True):
-            if (h, sub) != group:
-                group, first = (h, sub), {}
+        for h, dk, tk, starts, size, body in zip(*(b.column(c).to_pylist() for c in ("h", "dk", "tk", "starts", "size", "body")), strict=True):
+            if h != group:
+                group, first = h, {}
             words = body.split(b" ")
             run = 0
             for j in range(size + 1):
@@ -117,22 +143,19 @@ def substring_dedup(docs: DataFrame, batches: int = BATCHES, max_runs: int = MAX
     """
     prepare(docs, "doc_id", "text")
     docs = keyed(docs)
-    # nothing arrives after the last batch here: it needs no run, and the log goes before the texts are read again
-    log, met, written = RunLog(docs.sparkSession, SPEC, max_runs), None, []
-    arriving = batches_by_id(docs, batches)
-    for k, batch in enumerate(arriving):
-        rows, path = log.add(batch, index=k + 1 < len(arriving))
-        written.append(path)
-        met = rows if met is None else met.union(rows)
+    log, met = RunLog(docs.sparkSession, SPEC, max_runs), None
+    for batch in batches_by_id(docs, batches):
+        for rows in log.add(batch):
+            met = rows if met is None else met.union(rows)
     log.close()
-    parts, _ = stage(split(docs, met, SPEC, keep), "log-split", "kind")
-    for path in written:
-        drop_path(docs.sparkSession, path)
-    pieces = parts.where("kind = 1").select("h", "sub", "dk", "tk", "starts", "size", "body")
-    late = pieces.repartition("h", "sub").sortWithinPartitions("h", "sub", "dk", "tk").mapInArrow(_verify, "dk long, tk int, starts array<int>, size int")
-    hot = hot_windows(pieces, SPEC)
-    late = late if hot is None else late.union(hot)
+    parts, _ = stage(split(docs, met.withColumn("sub", F.lit(0)), SPEC, keep), "log-split", "kind")
+    pieces = parts.where("kind = 1").select("h", "dk", "tk", "starts", "size", "body")
+    # one row for each gram of many pieces; these meet window by window
+    hot, _ = stage(pieces.groupBy("h").count().where(F.col("count") > SUB).select("h"), "log-hot")
+    cold = pieces.join(hot, "h", "left_anti")
+    late = cold.repartition("h").sortWithinPartitions("h", "dk", "tk").mapInArrow(_verify, "dk long, tk int, starts array<int>, size int")
+    many = hot_windows(pieces, hot, SPEC)
+    late = late if many is None else late.union(many)
     done = parts.where("kind = 0").select(*RESULT_NAMES)
     all_rows = done.union(finish(parts.where("kind = 2").select("doc_id", "dk", "tk", "text", "rest", "known"), late, SPEC, keep))
     return all_rows.select("doc_id", "n", "n_removed", "kept_sha256", "kept")
-

@@ -160,10 +160,18 @@ class Shard:
 
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Windows of pieces that an earlier piece of the same gram has. Pieces come sorted by gram, sub, dk, tk and place; SHARD_ROWS of them are a shard."""
-    depth, carried, last = SPEC.window, [], None
+    depth, carried, last, before = SPEC.window, [], None, None
     for b in (whole.slice(a, SHARD_ROWS) for whole in batches for a in range(0, whole.num_rows, SHARD_ROWS)):
-        h, sub, dk, tk, size = (b.column(c).to_numpy() for c in ("h", "sub", "dk", "tk", "size"))
-        start = b.column("start").to_numpy()
+        names = ["h", "sub", "dk", "tk", "start"]
+        place = [b.column(c).to_numpy() for c in names]
+        again = np.logical_and.reduce([np.r_[before is not None and x[0] == before[i], x[1:] == x[:-1]] for i, x in enumerate(place)])
+        before = [x[-1] for x in place]
+        if again.any():  # the piece of a repeated row is the same piece
+            b = b.filter(pa.array(~again))
+            if not b.num_rows:
+                continue
+        h, sub, dk, tk, start = (b.column(c).to_numpy() for c in names)
+        size = b.column("size").to_numpy()
         body = b.column("body")
         offsets = np.frombuffer(body.buffers()[1], np.int32)[body.offset : body.offset + len(body) + 1].astype(np.int64)
         text = np.frombuffer(body.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
@@ -206,7 +214,7 @@ def suffix_dedup(docs: DataFrame, keep: bool = False, carry: list[str] | None =
     the input. ``kept`` has the remaining bytes if ``keep`` is set (null for a null text; a character that is cut
     in part goes whole), else null. Rows with a null doc_id come after all others; rows that share a doc_id are ordered by
     a hash of their text, and rows that repeat both are one document and get one result each.
-    Empty and short texts lose nothing, an empty table gives no rows, and further columns are ignored, but for those named in ``carry``: ``rest`` has them as JSON.
+    Empty and short texts lose nothing, an empty table gives no rows. ``rest`` is a struct of the columns named in ``carry``, as they are; others are ignored.
     """
     prepare(docs, "doc_id", "text")
     docs = keyed(docs, carry)
@@ -216,7 +224,7 @@ def suffix_dedup(docs: DataFrame, keep: bool = False, carry: list[str] | None =
     pieces = parts.where("kind = 1").select("h", "sub", "dk", "tk", "starts", "size", "body")
     sorted_pieces = pieces.select("h", "sub", "dk", "tk", F.col("starts")[0].alias("start"), "size", "body").repartition("h", "sub").sortWithinPartitions("h", "sub", "dk", "tk", "start")
     late = sorted_pieces.mapInArrow(_resolve, "dk long, tk int, starts array<int>, size int")
-    hot = hot_windows(pieces, SPEC)
+    hot = hot_windows(pieces, pieces.where("sub > 0").select("h").distinct(), SPEC)
     late = late if hot is None else late.union(hot)
     done = parts.where("kind = 0").select(*RESULT_NAMES)
     return done.union(finish(parts.where("kind = 2").select("doc_id", "dk", "tk", "text", "rest", "known"), late, SPEC, keep))
@@ -225,12 +233,12 @@ def suffix_dedup(docs: DataFrame, keep: bool = False, carry: list[str] | None =
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated bytes cut from their texts; a character that is cut in part goes whole.
 
-    A text that loses bytes and has no word left goes with its row. Other columns pass through.
+    A text that loses bytes and has no word left goes with its row; null and empty texts stay.
+    Repeated rows of a doc_id and text are one document and stay as they are cut; see suffix_dedup
+    for null doc_ids. An empty table gives none. Other columns pass through unchanged, whatever their names.
     """
-    carry = [c for c in docs.columns if c not in ("doc_id", "text")]
-    kinds = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes if n in carry)
-    found = suffix_dedup(docs, keep=True, carry=carry or None).withColumn("text", F.col("kept").cast("string"))
+    carry = [c for c in docs.columns if c.lower() not in ("doc_id", "text")]
+    found = suffix_dedup(docs, keep=True, carry=carry).withColumn("text", F.col("kept").cast("string"))
     found = found.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    if carry:
-        found = found.withColumn("rest", F.from_json("rest", kinds))
-    return found.select(*[F.col(c) if c in ("doc_id", "text") else F.col("rest")[c].alias(c) for c in docs.columns])
+    of = lambda c: F.col("rest")[c] if c in carry else F.col(c).cast(docs.schema[c].dataType)
+    return found.select(*[of(c).alias(c) for c in docs.columns])

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
+from pyspark.sql.types import StructField, StructType
 
 #: Bytes of a text that are split into words at a time.
 BLOCK = 1 << 20
@@ -65,3 +67,16 @@ def prepare(docs, *names: str) -> None:
     missing = [n for n in names if n not in docs.columns]
     if missing:
         raise ValueError(f"columns are missing: {', '.join(missing)}")
+
+
+def _named(batches: Iterator[pa.RecordBatch], step, names: list[str], given: list[str]) -> Iterator[pa.RecordBatch]:
+    for b in step(pa.RecordBatch.from_arrays(x.columns, names) for x in batches):
+        yield pa.RecordBatch.from_arrays(b.columns, given)
+
+
+def map_rows(docs, step, schema: StructType):
+    """``docs.mapInArrow(step, schema)``, for columns of any name: those with dots aren't found otherwise."""
+    given = [f"c{i}" for i in range(len(schema))]
+    kinds = StructType([StructField(n, f.dataType) for n, f in zip(given, schema.fields, strict=True)])
+    safe = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return safe.mapInArrow(partial(_named, step=step, names=docs.columns, given=given), kinds).toDF(*schema.names)

@@ -20,8 +20,9 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tokenmill.llm.texts import byte_rows, prepare, word_blocks
+from tokenmill.llm.texts import byte_rows, free_names, map_rows, prepare, word_blocks
 
 #: Bounds of the labelled sample: documents of each label, and characters of each document.
 FIT_TOXIC, FIT_ORDINARY, FIT_CHARS = 1_500, 4_500, 12_000
@@ -33,8 +34,6 @@ TOXIC_WORDS = 2_000
 MIN_CONTEXTS, MIN_RATIO, MIN_ODDS = 4, 25.0, 2.0
 WINDOW = 8
 LEVEL = 12
-#: Name of the score's column, unlike any that documents have.
-SCORE = "__toxicity"
 
 
 def _words(text: bytes) -> list[bytes]:
@@ -172,18 +171,17 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     return fit(*labelled(docs, labels, fold() != 0))
 
 
-def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], model, name: str) -> Iterator[pa.RecordBatch]:
     for b in batches:
         s = [model.value.score(model.value.features(x)) for x in byte_rows(b.column("text"))]
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], [*b.schema.names, SCORE])
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], [*b.schema.names, name])
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with a column SCORE from 0 to 1; texts are scored whole, one in memory at a time."""
+def scored(docs: DataFrame, model: Model, name: str) -> DataFrame:
+    """``docs`` with a column ``name`` from 0 to 1; texts are scored whole, one in memory at a time."""
     prepare(docs, "text")
-    kinds = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(partial(_score, model=shared), f"{kinds}, {SCORE} double")
+    return map_rows(docs, partial(_score, model=shared, name=name), StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -197,10 +195,18 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     prepare(docs, "doc_id", "text")
     prepare(labels, "doc_id", "toxic")
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    s = scored(d, train(docs, labels)).drop("text")
-    return s.select("doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), F.col(SCORE).alias("score"), (F.col(SCORE) >= 0.5).cast("int").alias("predicted"))
+    s = scored(d, train(docs, labels), "score").drop("text")
+    return s.select("doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """``docs`` without the rows whose score reaches the threshold; the model is trained on ``docs`` and ``labels``."""
-    return scored(docs, train(docs, labels)).where(F.col(SCORE) < threshold).drop(SCORE)
+    """``docs`` without the rows whose score reaches the threshold; the model is trained on ``docs`` and ``labels``.
+
+    Null and empty texts score like texts without gains and stay, as do all rows where nothing could be
+    learned; rows of a null doc_id are judged by their text. Repeated rows are judged alike, an empty table
+    gives none, and other columns pass through unchanged, whatever their names.
+    """
+    prepare(docs, "doc_id", "text")
+    prepare(labels, "doc_id", "toxic")
+    (name,) = free_names(docs, "score")
+    return scored(docs, train(docs, labels), name).where(F.col(name) < threshold).drop(name)

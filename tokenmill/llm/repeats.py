@@ -30,7 +30,7 @@ from tokenmill.llm.texts import byte_rows, word_blocks
 
 LAST = (1 << 63) - 1
 #: Runs of different digests of one gram that one task compares; more meet window by window.
-SUB = 1 << 11
+SUB = 1 << 14
 _CHUNK = 1 << 18
 #: Bytes of output rows that a Python worker gathers.
 _FLUSH = 2 << 20

@@ -18,13 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenmill.llm.repeats import DUP, FIRST, MORE, PIECE, RESULT_NAMES, SUB, Spec, finish, hot_windows, keyed, meet, run_rows, split
+from tokenmill.llm.repeats import DUP, FIRST, MORE, PIECE, RESULT_NAMES, Spec, finish, hot_windows, keyed, meet, run_rows, split
 from tokenmill.llm.texts import prepare
 from tokenmill.scratch import MERGE, Sorted, drop_path, settings, stage
 
 SPEC = Spec(window=13, gram=4, words=True, strict=True)
 MAX_RUNS = 2
 BATCHES = 4
+#: Pieces of one gram that one task compares; more meet window by window.
+HOT = 1 << 11
 _KEYS = ["h", "digest"]
 _FOUND = ["kind", "h", "dk", "tk", "at", "starts"]
 
@@ -151,7 +153,7 @@ def substring_dedup(docs: DataFrame, batches: int = BATCHES, max_runs: int = MAX
     parts, _ = stage(split(docs, met.withColumn("sub", F.lit(0)), SPEC, keep), "log-split", "kind")
     pieces = parts.where("kind = 1").select("h", "dk", "tk", "starts", "size", "body")
     # one row for each gram of many pieces; these meet window by window
-    hot, _ = stage(pieces.groupBy("h").count().where(F.col("count") > SUB).select("h"), "log-hot")
+    hot, _ = stage(pieces.groupBy("h").count().where(F.col("count") > HOT).select("h"), "log-hot")
     cold = pieces.join(hot, "h", "left_anti")
     late = cold.repartition("h").sortWithinPartitions("h", "dk", "tk").mapInArrow(_verify, "dk long, tk int, starts array<int>, size int")
     many = hot_windows(pieces, hot, SPEC)

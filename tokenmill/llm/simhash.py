@@ -368,7 +368,7 @@ def _near_copies(texts: DataFrame, members: DataFrame, least: float, held: int)
     stays of a class is taken in one order, in further passes if it has over ``held`` shingles.
     """
     members, _ = stage(members, "near-members")
-    texts, _ = stage(texts.join(members.select("doc_id", "h0", "h1"), ["doc_id", "h0", "h1"], "left_semi"), "near-member-texts")
+    texts, _ = stage(texts.join(members.select("doc_id", "h0", "h1").hint("merge"), ["doc_id", "h0", "h1"], "left_semi"), "near-member-texts")
     gone, alone = None, False
     while True:
         sizes = members.groupBy("root").agg(F.count("*").alias("n")).where("n > 1")
@@ -422,7 +422,8 @@ def keep_firsts(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, max_b
     drop, _ = stage(equal.union(_near_copies(d, of.join(several, "root", "left_semi"), least, held)), "near-drop")
     ids = free_names(docs, "id", "h0", "h1", "n")
     same = [F.col("doc_id").cast("long") == F.col(ids[0]), both[0] == F.col(ids[1]), both[1] == F.col(ids[2])]
-    drop = drop.toDF(*ids[:3])
+    # both sides grow with the corpus: one plan at every size
+    drop = drop.toDF(*ids[:3]).hint("merge")
     kept = docs.join(drop, same[0] & same[1] & same[2], "left_anti")
     again = prints.groupBy("doc_id", "h0", "h1").count().where("count > 1").select("doc_id", "h0", "h1").toDF(*ids[:3])
     if not again.limit(1).count():

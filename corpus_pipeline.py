@@ -1,7 +1,9 @@
 """A training-data pipeline over the documents table, one operator for each stage.
 
 Every stage gets all rows that the stage before it kept, as a Parquet table, and returns the
-columns of documents; the last one returns the mix.
+columns of documents; the last one returns the mix. Null and empty texts and rows without a
+doc_id pass the first four stages; repeated rows of a doc_id and text leave one row. Empty tables
+give empty stages, and columns of any name and type pass through.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of the smallest doc_id of each SimHash class."""
+    """Of texts that are equal or of a verified five-word similarity of 0.8, keep one, that of the smallest doc_id."""
     return keep_firsts(docs).select(*docs.columns)
 
 

@@ -5,7 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tokenmill.functions import numeric, schedules
-from tokenmill.operators import choice, logs, trainstats
+from tokenmill.operators import choice, logs, pack, trainstats
+from tokenmill.operators.corpus import corpus_prefix
+from tokenmill.operators.prefix import running_sum
 from tokenmill.sources import binfmt, readers
 from tokenmill.streaming.monitor import score_stream
 
@@ -142,3 +144,35 @@ def test_stream(spark, tmp_path):
     got = {r.step: (r.z, r.ema) for r in spark.table("scored").collect()}
     z = {r.step: r.z for r in trainstats.zscores(d, ["stream"], "step", "value").collect()}
     assert len(got) == 200 and got[127][0] is None and got[199][0] == pytest.approx(z[199])
+
+
+def test_both_trainers_lines(spark):
+    lines = ["step    1/10 | loss 7.25 (+1.00z)| norm 1.0", "val loss 5.5", "step 2/10 | train loss 6.5 | norm 2", "step 3/10 | val loss 9.0", "loss 4"]
+    rows = logs.parsed(spark.createDataFrame([("r", i, x) for i, x in enumerate(lines)], "run string, line_no long, line string"))
+    assert [(r.step, r.train_loss, r.val_loss) for r in rows.orderBy("line_no").collect()] == [(1, 7.25, None), (None, None, 5.5), (2, 6.5, None), (None, None, 9.0)]
+
+
+def test_profile_of_several_files(spark, tmp_path):
+    """Headings of every file go; each number is in its column."""
+    for k in range(2):
+        head = [",".join(f"h{i}" for i in range(18)), ",".join("u" for _ in range(18)), ""]
+        rows = [",".join("k" if i == 4 else str(i + 100 * j) for i in range(18)) for j in range(3)]
+        (tmp_path / f"p{k}.csv").write_text("\n".join(head + rows))
+    got = readers.profile(spark, str(tmp_path / "*.csv")).collect()
+    want = {"read_gb": 11, "write_gb": 12, "time_ms": 13, "l2_read": 14, "l2_write": 15, "tensor_pct": 16, "instructions": 17}
+    assert len(got) == 6 and {x.kernel for x in got} == {"k"}
+    assert sorted(x.asDict()["tensor_pct"] for x in got) == [16, 16, 116, 116, 216, 216] and all(x[n] % 100 == i for x in got for n, i in want.items())
+
+
+def test_running_sums_of_repeated_null_and_sparse_keys(spark):
+    keys = [5, 5, None, -(2**62), 2**62, 7, None, 0]
+    d = spark.createDataFrame([(k, 10) for k in keys], "k long, v long")
+    got = [(r.k, r.before) for r in running_sum(d, "k", "v", block=2).collect()]
+    assert sorted(b for _, b in got) == [10 * i for i in range(8)]
+    assert dict((k, b) for k, b in got if k not in (5, None)) == {-(2**62): 0, 0: 10, 7: 40, 2**62: 50} and {b for k, b in got if k is None} == {60, 70}
+    assert running_sum(d.limit(0), "k", "v").count() == 0
+    docs = spark.createDataFrame([(1, "abc"), (1, "de"), (None, "fgh"), (2, "i")], "doc_id long, text string")
+    got = sorted((bytes(r.data) for r in corpus_prefix(docs, 8).collect()), key=len)
+    assert sorted(got) == [b"abc", b"de", b"fg", b"i"]
+    packed = pack.pack(spark.createDataFrame([(1, [1, 2, 3]), (1, [4]), (None, [5, 6])], "doc_id long, tokens array<int>"), 4)
+    assert sorted((x.shard, x.first, len(x.tokens)) for x in packed.collect())[-1] == (1, 0, 2) and sum(len(x.tokens) for x in packed.collect()) == 6

@@ -12,10 +12,9 @@ MARKER = "<|endoftext|>"
 
 
 def corpus_prefix(docs: DataFrame, max_bytes: int, text: str = "text") -> DataFrame:
-    """``doc_id, before, data``: documents in the order of their ids up to a budget of bytes; the one that straddles it is cut."""
+    """``doc_id, before, data``: documents in the order of their ids up to a budget of bytes; the one that straddles it is cut. Repeated ids keep a row each, null ids come last."""
     d = docs.where(F.col(text).isNotNull()).select("doc_id", to_bytes(text).alias("data")).withColumn("size", F.octet_length("data").cast("long"))
-    at = running_sum(d.select("doc_id", "size"), "doc_id", "size").where(F.col("before") < max_bytes).select("doc_id", "before")
-    return d.join(at, "doc_id").select("doc_id", "before", F.substring("data", F.lit(1), F.least(F.col("size"), max_bytes - F.col("before")).cast("int")).alias("data"))
+    return running_sum(d, "doc_id", "size").where(F.col("before") < max_bytes).select("doc_id", "before", F.substring("data", F.lit(1), F.least(F.col("size"), max_bytes - F.col("before")).cast("int")).alias("data"))
 
 
 def split_documents(df: DataFrame, text: str = "text", marker: str = MARKER) -> DataFrame:

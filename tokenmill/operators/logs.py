@@ -11,8 +11,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-TRAIN = r"step\s+(\d+).*(?:train )?loss\s+([\d.]+)"
-TRAIN_STRICT = r"step\s+(\d+).*train loss\s+([\d.]+)"
+# The formats of the trainers' lines; one trainer writes "| train loss", another "| loss".
+TRAIN = r"step\s+(\d+).*(?:train|\|) loss\s+([\d.]+)"
 VAL = r"val loss\s+([\d.]+)"
 METRIC = r"^s:(\d+) (.*)$"
 
@@ -26,7 +26,7 @@ def read_log(spark, path: str) -> DataFrame:
 def parsed(lines: DataFrame) -> DataFrame:
     """``run, line_no, step, train_loss, val_loss`` of the lines that have either."""
     group = lambda p, i: F.nullif(F.regexp_extract("line", p, i), F.lit(""))
-    d = lines.select("run", "line_no", group(TRAIN_STRICT, 1).cast("long").alias("step"), group(TRAIN_STRICT, 2).cast("double").alias("train_loss"), group(VAL, 1).cast("double").alias("val_loss"))
+    d = lines.select("run", "line_no", group(TRAIN, 1).cast("long").alias("step"), group(TRAIN, 2).cast("double").alias("train_loss"), group(VAL, 1).cast("double").alias("val_loss"))
     return d.where("step is not null or val_loss is not null")
 
 

@@ -17,11 +17,10 @@ def pack(encoded: DataFrame, shard_size: int, key: str = "doc_id") -> DataFrame:
     """``key, shard, split, first, tokens, next_token``: each document's tokens cut at shard borders, in the order of keys.
 
     ``first`` is the place of the piece in its shard, next_token the document's token behind the piece (null at its end). Shard 0 is for validation. A document
-    may straddle any number of shards; an empty last shard doesn't occur.
+    may straddle any number of shards; an empty last shard doesn't occur. Rows of a repeated key are packed one by one, those of a null key last.
     """
     d = encoded.select(key, "tokens", F.size("tokens").cast("long").alias("__n")).where("__n > 0")
-    at = running_sum(d.select(key, "__n"), key, "__n").select(key, "before")
-    d = d.join(at, key)
+    d = running_sum(d, key, "__n")
     last = F.floor((F.col("before") + F.col("__n") - 1) / shard_size)
     d = d.withColumn("shard", F.explode(F.sequence(F.floor(F.col("before") / shard_size), last)))
     begin = F.greatest(F.col("shard") * shard_size - F.col("before"), F.lit(0))

@@ -9,15 +9,21 @@ BLOCK = 1 << 14
 
 
 def running_sum(df: DataFrame, key: str, value: str, out: str = "before", block: int = BLOCK) -> DataFrame:
-    """``df`` with the sum of ``value`` over all rows of a smaller ``key`` (a BIGINT, unique).
+    """``df`` with the sum of ``value`` over all rows that stand before in the order of ``key`` (a BIGINT).
 
-    Rows are cut into ranges of ``block`` keys. A window sums within each range; a second one
-    over the ranges' totals, one row for each range, adds what stands before it.
+    Keys are cut into ranges of one width, so many that a range has about ``block`` rows where
+    keys are spread evenly, dense or sparse. A window sums within each range; a second one over
+    the ranges' totals, one row for each range, adds what stands before it. Rows of one key stand
+    in any order among themselves, those without a key behind all others; none is lost or doubled.
     """
-    d = df.withColumn("__block", F.floor(F.col(key) / block))
-    inside = Window.partitionBy("__block").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    span = df.agg(F.min(key).alias("low"), F.max(key).alias("high"), F.count("*").alias("n")).first()
+    low, high = float(span["low"] or 0), float(span["high"] or 0)
+    width = max(1.0, (high - low) / max(1.0, span["n"] / block))
+    d = df.withColumn("__block", F.floor((F.col(key).cast("double") - low) / width))
+    inside = Window.partitionBy("__block").orderBy(F.asc_nulls_last(key)).rowsBetween(Window.unboundedPreceding, -1)
+    below = Window.orderBy(F.asc_nulls_last("__of")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = d.groupBy(F.col("__block").alias("__of")).agg(F.sum(value).alias("__total"))
+    totals = totals.select("__of", F.coalesce(F.sum("__total").over(below), F.lit(0)).alias("__below"))
     d = d.withColumn("__inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    below = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    totals = df.groupBy(F.floor(F.col(key) / block).alias("__block")).agg(F.sum(value).alias("__total"))
-    totals = totals.select("__block", F.coalesce(F.sum("__total").over(below), F.lit(0)).alias("__below"))
-    return d.join(totals, "__block").withColumn(out, (F.col("__below") + F.col("__inside")).cast("long")).drop("__block", "__inside", "__below")
+    d = d.join(totals, F.col("__block").eqNullSafe(F.col("__of")))
+    return d.withColumn(out, (F.col("__below") + F.col("__inside")).cast("long")).drop("__block", "__of", "__inside", "__below")

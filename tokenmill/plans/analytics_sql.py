@@ -95,7 +95,7 @@ SELECT event_id, round(s / (1 - pow(0.95, k)), 4) AS ema FROM e""",
         "fixed_columns": """WITH f AS (SELECT user_id, min(event_id) AS m FROM events WHERE event_type LIKE '%click%' GROUP BY user_id)
 SELECT events.user_id::VARCHAR AS run, event_id - m AS idx, printf('%.4f', value)::DOUBLE AS value FROM events JOIN f ON events.user_id = f.user_id WHERE event_id >= m AND event_id < m + 400""",
         "done_markers": "SELECT max(event_id) AS max_step FROM events WHERE event_id % 2 = 0",
-        "checkpoint_retention": "SELECT event_id, event_id > 900 - 150 OR event_id % 200 = 0 AS kept FROM events WHERE event_id <= 900 AND event_id % 50 = 0",
+        "checkpoint_retention": "SELECT event_id, event_id > (SELECT max(event_id) FROM events) - 150 OR event_id % 200 = 0 AS kept FROM events",
         "harness_rollup": "WITH t AS (SELECT event_type AS task, avg(value / 500) * 100 AS score FROM events GROUP BY 1) SELECT task, round(score, 6) AS score FROM t UNION ALL SELECT 'average', round(avg(score), 6) FROM t",
         "kernel_rollup": """WITH k AS (SELECT o_orderpriority AS phase, o_orderstatus AS kernel, o_totalprice / 1000 AS time_ms, (o_orderkey % 7)::DOUBLE AS read_gb, (o_custkey % 5)::DOUBLE AS write_gb, (o_orderkey % 100)::DOUBLE AS tensor_pct FROM orders)
 SELECT phase, kernel, count(*) AS calls, round(sum(time_ms), 2) AS time_ms, round(sum(read_gb), 2) AS read_gb, round(sum(write_gb), 2) AS write_gb, round(sum(tensor_pct * time_ms) / sum(time_ms), 2) AS tensor_pct, round(max((read_gb + write_gb) / time_ms * 1000), 2) AS max_bandwidth, round(sum(time_ms) / (SELECT sum(time_ms) FROM k), 2) AS share

@@ -11,7 +11,7 @@ HELLASWAG = "ind int, activity_label string, ctx_a string, ctx_b string, ctx str
 MMLU = "question string, a string, b string, c string, d string, answer string"
 WEB = "text string, id string, dump string, url string, date string, file_path string, language string, language_score double, token_count int"
 #: Columns of a kernel profile, by their place.
-PROFILE = {4: "kernel", 11: "read_gb", 12: "write_gb", 13: "time_ms", 15: "tensor_pct"}
+PROFILE = {4: "kernel", 11: "read_gb", 12: "write_gb", 13: "time_ms", 14: "l2_read", 15: "l2_write", 16: "tensor_pct", 17: "instructions"}
 
 
 def text_shards(spark: SparkSession, glob: str, marker: str = MARKER) -> DataFrame:
@@ -41,12 +41,12 @@ def mmlu(spark: SparkSession, glob: str) -> DataFrame:
     return spark.read.schema(MMLU).csv(glob).withColumn("label", F.instr(F.lit("ABCD"), F.col("answer")) - 1)
 
 
-def profile(spark: SparkSession, path: str, headings: int = 3) -> DataFrame:
-    """Kernel rows of a profiler's CSV behind its heading rows."""
-    width = max(PROFILE) + 1
-    schema = ", ".join(f"c{i} string" for i in range(width + 4))
-    d = spark.read.schema(schema).csv(path).withColumn("__line", F.monotonically_increasing_id()).where(F.col("__line") >= headings)
-    return d.select(*[F.col(f"c{i}") if n == "kernel" else F.col(f"c{i}").cast("double").alias(n) for i, n in PROFILE.items() if n != "kernel"], F.col(f"c{4}").alias("kernel"))
+def profile(spark: SparkSession, path: str) -> DataFrame:
+    """Kernel rows of a profiler's CSV files: those with a number in each column of numbers. Heading rows have none, in whichever file and part they stand."""
+    schema = ", ".join(f"c{i} string" for i in range(max(PROFILE) + 1))
+    d = spark.read.schema(schema).csv(path)
+    numbers = {n: F.expr(f"try_cast(replace(c{i}, ',', '') AS double)") for i, n in PROFILE.items() if n != "kernel"}
+    return d.select(*[x.alias(n) for n, x in numbers.items()], F.col("c4").alias("kernel")).dropna(subset=list(numbers))
 
 
 def harness(spark: SparkSession, glob: str, metric: str) -> DataFrame:

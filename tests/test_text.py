@@ -57,6 +57,46 @@ def test_greedy_takes_the_longest(spark):
     assert t.encode("abcd") == [257, ord("d")] and t.encode("abab") == [256, 256] and t.decode([256, 9999, 299, 65]) == b"abA"
 
 
+def test_decoding_of_arrays(spark):
+    t = codec.load_tokenizer(vocab.layout(spark, [b"ab", "é".encode()], 300))
+    rows = [(0, [256, 9999, 299, 65, -1]), (1, []), (2, None), (3, [257]), (4, [256, 256]), (4, [66]), (None, [67])]
+    d = spark.createDataFrame(rows, "id long, tokens array<int>")
+    got = sorted(((r.id, r.data if r.data is None else bytes(r.data)) for r in codec.decode(d, t).collect()), key=repr)
+    assert got == sorted([(i, None if x is None else t.decode(x)) for i, x in rows], key=repr)
+    assert codec.decode(d.limit(0), t).count() == 0
+    plan = codec.decode(d, t)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_small_batches_of_decoded_rows(spark, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(codec, "_DECODED", 5)
+
+    class Shared:
+        value = [b"abc", b"d", b""]
+
+    lists = pa.array([[0, 0, 0], [], [1], None, [0, 1], [7]], pa.list_(pa.int32()))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), lists], ["id", "tokens"])
+    for b in (batch, batch.slice(1, 4)):
+        out = pa.Table.from_batches(list(codec._decode(iter([b]), Shared)))
+        want = [b"abcabcabc", b"", b"d", None, b"abcd", b""]
+        assert out.column("data").to_pylist() == [want[i] for i in b.column("id").to_pylist()] and out.num_rows == b.num_rows
+
+
+def test_epochs(spark):
+    s = spark.createDataFrame([(0, 3), (1, 0), (2, 5), (3, 4)], "shard long, samples long")
+    plain = pack.epoch_order(s, 2).orderBy("step").collect()
+    one = [(k, i) for k, n in ((0, 3), (2, 5), (3, 4)) for i in range(n)]
+    assert [(r.epoch, r.shard, r.sample) for r in plain] == [(e, *x) for e in (0, 1) for x in one]
+    assert [r.step for r in plain] == list(range(24))
+    mixed = [(r.shard, r.sample) for r in pack.epoch_order(s, 2, 42).orderBy("step").collect()]
+    assert mixed == [(r.shard, r.sample) for r in pack.epoch_order(s, 2, 42).orderBy("step").collect()]
+    assert sorted(mixed[:12]) == one == sorted(mixed[12:]) and len({tuple(one), tuple(mixed[:12]), tuple(mixed[12:])}) == 3
+    # a shard's samples stay together
+    assert [sum(a[0] != b[0] for a, b in zip(x, x[1:])) for x in (mixed[:12], mixed[12:])] == [2, 2]
+
+
 def test_surprise_and_segments(spark):
     import math
 

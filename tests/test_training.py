@@ -67,6 +67,31 @@ def test_means(spark):
     assert m[0] == pytest.approx((0 + 0 + 0 + 1 + 2) / 5) and m[15] == pytest.approx(15.0) and m[29] == pytest.approx((27 + 28 + 29 * 3) / 5)
 
 
+def test_exact_exponential_means(spark):
+    r = random.Random(2)
+    # the first value is so large that its rest is seen for thousands of rows
+    rows = [(p, i, 1e60 if i == 0 else r.uniform(-1, 1) if i % 7 else None) for p, n in (("a", 3_000), ("b", 1), (None, 700)) for i in range(n)]
+    d = spark.createDataFrame(rows, "s string, i long, v double")
+    for decay in (0.95, 0.5, 0.01):
+        got = {(x.s, x.i): x.e for x in trainstats.ema(d, ["s"], "i", "v", decay, "e").collect()}
+        assert len(got) == len(rows)
+        state = {}
+        for p, i, v in rows:
+            state[p] = state.get(p, 0.0) * decay + (1 - decay) * (v or 0.0)
+            assert got[p, i] == pytest.approx(state[p] / (1 - decay ** (i + 1)), rel=1e-9, abs=1e-12)
+
+
+def test_kernel_passes(spark):
+    names = ["encoder_forward(int)", "void layernorm_forward<float>(x)", "ampere_bf16_s16816gemm_128", "layernorm", "matmul", "fused_classifier_kernel5(a)", "gemm_a", "gemm_b", "layernorm_backward", "void attention_backward(b)", "encoder_backward", "cast", "adamw_kernel3", "global_norm"]
+    d = spark.createDataFrame([(i, n, 2.0, 3.0) for i, n in enumerate(names)], "i int, kernel string, time_ms double, read_gb double")
+    got = trainstats.kernel_passes(d, "i", 12).orderBy("i").collect()
+    assert [r.phase for r in got] == ["enc", "fwd", "fwd", "cls", "cls", "cls", "cls", "cls", "cls", "bwd", "enc", "init", "opt", "opt"]
+    assert [r.times for r in got] == [1, 12, 12, 1, 1, 1, 1, 1, 1, 12, 1, 0, 1, 1]
+    assert [r.time_ms for r in got] == [2.0, 24.0, 24.0, *[2.0] * 6, 24.0, *[2.0] * 4]
+    assert [r.name for r in got][:3] == ["encoder_forward", "layernorm_forward", "ampere_bf16"] and got[9].name == "attention_backward"
+    assert {r.phase for r in trainstats.kernel_passes(d.where("i < 3"), "i").collect()} == {"enc", "fwd"}
+
+
 def test_choices(spark):
     ex = spark.createDataFrame([(0, 1, [1, 2], [[3], [4, 5], [6], [7]]), (1, 0, [9], [[1], [1], [2], [2]])], "example_id long, label int, context array<int>, endings array<array<int>>")
     r = choice.render(ex)
@@ -94,6 +119,8 @@ def test_generators(spark):
     state, value = numeric.xorshift_star(F.col("id") + 1)
     r = spark.range(1).select(state.alias("s"), value.alias("v")).first()
     assert r.s & 2**64 - 1 == s and r.v == (s * 0x2545F4914F6CDD1D & 2**64 - 1) >> 32
+    coin = spark.range(1).select(numeric.unit_float(value).alias("c")).first().c
+    assert coin == (r.v >> 8) / 2**24 and 0 <= coin < 1
 
 
 def test_schedules(spark):

@@ -96,6 +96,11 @@ def xorshift_star(state: Column) -> tuple[Column, Column]:
     return s, high.cast("long")
 
 
+def unit_float(bits: Column) -> Column:
+    """A float in [0, 1) from the upper 24 of 32 random bits."""
+    return F.shiftright(bits, 8) / F.lit(float(1 << 24))
+
+
 class MersenneTwister:
     """The 32-bit generator of Matsumoto and Nishimura, and shuffles drawn from it."""
 

@@ -6,7 +6,9 @@ from collections.abc import Iterator
 from functools import partial
 from typing import Protocol, runtime_checkable
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -103,12 +105,45 @@ def token_rows(encoded: DataFrame, key: str) -> DataFrame:
 
 
 def decode_rows(rows: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
-    """``key, data``: bytes of each key's tokens in order. Ids out of range and special tokens give nothing; the vocabulary is broadcast (its size is a parameter)."""
+    """``key, data``: bytes of each key's tokens in order, from one row for each token. Ids out of range and special tokens give nothing; the vocabulary is broadcast (its size is a parameter)."""
     v = F.broadcast(vocab.where(F.col("kind").isin("byte", "token")).select("token_id", F.hex("token").alias("hexed")))
     parts = rows.join(v, "token_id").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "hexed"))).alias("parts"))
     return parts.select(key, F.unhex(F.array_join(F.transform("parts", lambda p: p["hexed"]), "")).alias("data"))
 
 
+_DECODED = 1 << 28  # bytes of a batch of decoded rows
+
+
+def _decode(batches: Iterator[pa.RecordBatch], tokens) -> Iterator[pa.RecordBatch]:
+    """The last column, lists of ids, as their bytes: the tokens of all rows are taken at once, and a row is a stretch of their buffer."""
+    table = pa.array(tokens.value, pa.large_binary())  # ends with an empty token for unknown ids
+    sizes = np.diff(np.frombuffer(table.buffers()[1], np.int64, len(table) + 1))
+    for b in batches:
+        lists = b.column(b.num_columns - 1)
+        ids = np.asarray(lists.flatten().fill_null(-1), np.int64)
+        ids[(ids < 0) | (ids >= len(table))] = len(table) - 1
+        ends = np.r_[0, np.cumsum(np.asarray(pc.list_value_length(lists).fill_null(0), np.int64))]
+        at = np.r_[0, np.cumsum(sizes[ids])][ends]
+        first = 0
+        while first < b.num_rows:
+            last = max(first + 1, int(np.searchsorted(at, at[first] + _DECODED, "right")) - 1)
+            taken = table.take(pa.array(ids[ends[first] : ends[last]]))
+            offsets = pa.py_buffer((at[first : last + 1] - at[first]).astype(np.int32))
+            data = pa.Array.from_buffers(pa.binary(), last - first, [None, offsets, taken.buffers()[2]])
+            data = pc.if_else(lists.slice(first, last - first).is_valid(), data, None)
+            yield pa.RecordBatch.from_arrays([*(c.slice(first, last - first) for c in b.columns[:-1]), data], [*b.schema.names[:-1], "data"])
+            first = last
+
+
+def decode(encoded: DataFrame, tokenizer: GreedyTokenizer) -> DataFrame:
+    """``encoded`` without its ``tokens``, with ``data``, their bytes; one pass and no shuffle. Ids out of range and special tokens give nothing, null tokens null."""
+    rest = [c for c in encoded.columns if c != "tokens"]
+    kinds = "".join(f"`{n}` {k}, " for n, k in encoded.dtypes if n in rest)
+    plain = [t if kind in ("byte", "token") else b"" for t, kind in (tokenizer.tokens.get(i, (b"", "")) for i in range(max(tokenizer.tokens, default=-1) + 1))]
+    shared = encoded.sparkSession.sparkContext.broadcast([*plain, b""])
+    return encoded.select(*rest, "tokens").mapInArrow(partial(_decode, tokens=shared), f"{kinds}data binary")
+
+
 def with_shortest_cost(df: DataFrame, tokenizer: GreedyTokenizer, text: str = "text") -> DataFrame:
     """``df`` without its text, with ``cost``, the fewest tokens that give it (dynamic programming per text)."""
     from tokenmill.operators.vocab import shortest_costs

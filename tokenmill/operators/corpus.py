@@ -17,6 +17,12 @@ def corpus_prefix(docs: DataFrame, max_bytes: int, text: str = "text") -> DataFr
     return running_sum(d, "doc_id", "size").where(F.col("before") < max_bytes).select("doc_id", "before", F.substring("data", F.lit(1), F.least(F.col("size"), max_bytes - F.col("before")).cast("int")).alias("data"))
 
 
+def character_prefix(docs: DataFrame, max_chars: int) -> DataFrame:
+    """``doc_id, before, text``: the same up to a budget of characters."""
+    d = docs.where("text is not null").select("doc_id", "text").withColumn("size", F.length("text").cast("long"))
+    return running_sum(d, "doc_id", "size").where(F.col("before") < max_chars).select("doc_id", "before", F.substring("text", F.lit(1), F.least(F.col("size"), max_chars - F.col("before")).cast("int")).alias("text"))
+
+
 def split_documents(df: DataFrame, text: str = "text", marker: str = MARKER) -> DataFrame:
     """One row for each part between markers, trimmed, blank ones dropped; ``part`` counts from 0 as they stand."""
     parts = F.split(F.col(text), "\\Q" + marker + "\\E", -1)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokenmill.operators.prefix import running_sum
@@ -81,9 +81,27 @@ def resume(rows: DataFrame, shard: int, sample: int) -> DataFrame:
     return rows.where((F.col("shard") > shard) | ((F.col("shard") == shard) & (F.col("sample") >= sample)))
 
 
-def permuted(rows: DataFrame, seed: int, by: list[str]) -> DataFrame:
-    """``rows`` with ``order_key``, a seeded pseudo-random key of the named columns, to sort shards or samples by."""
-    return rows.withColumn("order_key", F.xxhash64(F.lit(seed), *by))
+def totals(checked: DataFrame) -> DataFrame:
+    """``split, shards, n_tokens, samples``: sums over the shards of a split."""
+    return checked.groupBy("split").agg(F.count("*").alias("shards"), F.sum("n_tokens").alias("n_tokens"), F.sum("samples").alias("samples"))
+
+
+def epoch_order(checked: DataFrame, epochs: int, seed: int | None = None) -> DataFrame:
+    """``epoch, step, shard, sample``: the global batches of some epochs in the order in which they are read.
+
+    All samples of a shard come before those of the next. With a seed, every epoch has its own
+    order of shards, and every shard of it its own order of samples; without one both stand as
+    they are. ``checked`` has one row for each shard (see ``check_manifest``).
+    """
+    d = checked.where("samples > 0").select("shard", "samples", F.explode(F.array(*map(F.lit, range(epochs)))).alias("epoch"))
+    draw = lambda *by: F.xxhash64(F.lit(seed), *by) if seed is not None else F.lit(0)
+    # one row for each shard and epoch: how many samples stand before
+    shards = Window.partitionBy("epoch").orderBy(draw("epoch", "shard"), "shard")
+    d = d.withColumn("__before", F.coalesce(F.sum("samples").over(shards.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    d = d.withColumn("__all", F.sum("samples").over(Window.partitionBy("epoch")))
+    d = d.withColumn("sample", F.explode(F.sequence(F.lit(0).cast("long"), F.col("samples") - 1)))
+    inside = F.row_number().over(Window.partitionBy("epoch", "shard").orderBy(draw("epoch", "shard", "sample"), "sample")) - 1
+    return d.select("epoch", (F.col("epoch") * F.col("__all") + F.col("__before") + inside).cast("long").alias("step"), "shard", "sample")
 
 
 def eval_split(n: Column, ranks: int, batch: int) -> tuple[Column, Column]:

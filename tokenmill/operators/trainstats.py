@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,18 +38,29 @@ def moving_average(df: DataFrame, partition: list[str], order: str, value: str,
     return df.withColumn(out, total / (2 * half + 1))
 
 
-def ema(df: DataFrame, partition: list[str], order: str, value: str, decay: float = 0.95, out: str = "ema", size: int = 256) -> DataFrame:
-    """``df`` with the bias-corrected exponential mean of a value.
+def ema(df: DataFrame, partition: list[str], order: str, value: str, decay: float = 0.95, out: str = "ema") -> DataFrame:
+    """``df`` with the bias-corrected exponential mean of a value; 0 < ``decay`` < 1.
 
-    After k rows it is (1 - d) * sum of d^(k-i) x_i over 1 - d^k. Rows beyond the last ``size``
-    weigh less than d^size and are left out: 2e-6 of the result at the defaults.
+    After k rows it is (1 - d) * sum of d^(k-i) x_i over 1 - d^k; a null value counts as 0. Rows
+    are cut into blocks in which d^-i stays small: a running sum of x_i d^-i gives the part of a
+    row's own block, and the parts of earlier blocks come from the blocks' sums, as far back as
+    their weight isn't zero in double precision. So no row is left out that could count.
     """
-    w = Window.partitionBy(*partition).orderBy(order)
-    last = F.collect_list(F.col(value).cast("double")).over(w.rowsBetween(-(size - 1), 0))
-    k = F.row_number().over(w)
-    s = F.aggregate("__last", F.lit(0.0), lambda acc, x: acc * decay + x * (1 - decay))
-    d = df.withColumn("__last", last).withColumn("__k", k)
-    return d.withColumn(out, s / (1 - F.pow(F.lit(decay), F.col("__k")))).drop("__last", "__k")
+    size = max(1, int(math.log(1e6) / -math.log(decay)))
+    reach = math.ceil(math.log(5e-324) / (size * math.log(decay))) + 1
+    x = F.coalesce(F.col(value).cast("double"), F.lit(0.0)) * (1 - decay)
+    d = df.withColumn("__k", F.row_number().over(Window.partitionBy(*partition).orderBy(order)))
+    d = d.withColumn("__block", F.floor((F.col("__k") - 1) / size)).withColumn("__j", (F.col("__k") - 1) % size)
+    inside = Window.partitionBy(*partition, "__block").orderBy("__j").rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("__own", F.sum(x * F.pow(F.lit(decay), -F.col("__j"))).over(inside) * F.pow(F.lit(decay), F.col("__j")))
+    ends = d.groupBy(*[F.col(c).alias(f"__p{i}") for i, c in enumerate(partition)], F.col("__block").alias("__of")).agg(F.max_by("__own", "__j").alias("__end"))
+    names = [f"__p{i}" for i in range(len(partition))]
+    before = F.collect_list("__end").over(Window.partitionBy(*names).orderBy("__of").rowsBetween(-reach, -1))
+    ends = ends.withColumn("__before", before).select(*names, "__of", F.aggregate("__before", F.lit(0.0), lambda acc, e: acc * decay**size + e).alias("__carry"))
+    same = [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(partition, names, strict=True)]
+    joined = d.join(ends, reduce(lambda a, b: a & b, [*same, F.col("__block") == F.col("__of")]))
+    total = F.col("__own") + F.col("__carry") * F.pow(F.lit(decay), F.col("__j") + 1)
+    return joined.withColumn(out, total / (1 - F.pow(F.lit(decay), F.col("__k")))).drop("__k", "__block", "__j", "__own", "__of", "__carry", *names)
 
 
 def keep_checkpoint(step: Column, now: Column, keep: int, every: int, major: int) -> Column:
@@ -61,6 +75,39 @@ def harness_summary(results: DataFrame) -> DataFrame:
     return tasks.unionByName(tasks.agg(F.lit("average").alias("task"), F.avg("score").alias("score")).select("task", "score"))
 
 
+def kernel_passes(kernels: DataFrame, order: str, layers: int = 12, head: int = 6) -> DataFrame:
+    """Kernels of one profiled step with ``phase``, ``times`` and ``name``; times and amounts are scaled by ``times``.
+
+    Phases: ``enc`` for encoder kernels; ``cls`` for the ``head`` kernels from the second before
+    the last fused classifier on; ``opt`` for optimiser kernels; ``init`` (which counts 0 times)
+    for others behind the encoder's backward kernels; else ``fwd`` or, behind the head, ``bwd``,
+    which stand for ``layers`` layers. ``name`` is the function without its type, template and
+    arguments, matmul kernels in one group. A step without a classifier has no head. A profile
+    has some hundred kernels, so one window over them is bounded.
+    """
+    w = Window.orderBy(order)
+    has = lambda s: F.col("kernel").contains(s)
+    d = kernels.withColumn("__i", F.row_number().over(w))
+    whole = Window.orderBy("__i").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    d = d.withColumn("__cls", F.max(F.when(has("fused_classifier"), F.col("__i"))).over(whole) - 2)
+    in_head = F.coalesce((F.col("__i") >= F.col("__cls")) & (F.col("__i") < F.col("__cls") + head), F.lit(False)) & ~has("encoder")
+    so_far = Window.orderBy("__i").rowsBetween(Window.unboundedPreceding, 0)
+    # the head sets the phase to backward; an encoder kernel behind it ends the layers
+    d = d.withColumn("__head", in_head)
+    d = d.withColumn("__behind", F.max(F.col("__head")).over(so_far)).withColumn("__ended", F.max(F.col("__behind") & has("encoder")).over(so_far))
+    optimiser = has("adamw") | has("global_norm") | has("copy_and_cast")
+    phase = F.when(has("encoder"), "enc").when(F.col("__head"), "cls").when(optimiser, "opt").when(F.col("__ended"), "init").when(F.col("__behind"), "bwd").otherwise("fwd")
+    d = d.withColumn("phase", phase).withColumn("times", F.when(F.col("phase").isin("fwd", "bwd"), layers).when(F.col("phase") == "init", 0).otherwise(1))
+    # "init" rows keep their own figures; they only count no time
+    scale = F.when(F.col("times") > 1, F.col("times")).otherwise(1)
+    words = F.split(F.substring_index("kernel", "(", 1), " ")
+    name = F.substring_index(F.when(F.size(words) > 1, F.get(words, F.lit(1))).otherwise(F.get(words, F.lit(0))), "<", 1)
+    for group in ("ampere_bf16", "cudnn_generated_fort_native_sdpa"):
+        name = F.when(name.startswith(group), group).otherwise(name)
+    amounts = [c for c in ("time_ms", "read_gb", "write_gb", "l2_read", "l2_write", "instructions") if c in kernels.columns]
+    return d.withColumns({c: F.col(c) * scale for c in amounts} | {"name": name}).drop("__i", "__cls", "__head", "__behind", "__ended")
+
+
 def kernel_summary(kernels: DataFrame) -> DataFrame:
     """Rows by kernel and pass: calls, time, bytes, share of the time, time-weighted utilisation, most bandwidth; and totals by pass and overall."""
     d = kernels.withColumn("bandwidth", (F.col("read_gb") + F.col("write_gb")) / F.col("time_ms") * 1000)
@@ -69,6 +116,11 @@ def kernel_summary(kernels: DataFrame) -> DataFrame:
     return s.join(total, F.lit(True)).withColumn("share", F.col("time_ms") / F.col("__all")).drop("__all")
 
 
+def by_time(summary: DataFrame) -> DataFrame:
+    """Rows of a kernel summary, those of the most time first."""
+    return summary.orderBy(F.desc("time_ms"), "phase", "kernel")
+
+
 def mean_of_last(df: DataFrame, order: str, value: str, n: int = 20) -> DataFrame:
     return df.orderBy(F.desc(order)).limit(n).agg(F.avg(value).alias("mean_last"))
 

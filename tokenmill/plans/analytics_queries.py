@@ -182,10 +182,12 @@ def accumulation(spark, sf):
 
 
 def utilisation(spark, sf):
-    d = devs.devices(spark)
-    peak = numeric.promised_tflops(F.col("tflops_32"), F.col("cores"), F.col("base_cores"), F.col("clock"), F.col("base_clock"))
+    """Of every device in each precision that it has."""
+    each = F.explode(F.array(*[F.struct(F.lit(p).alias("precision"), F.col(p).alias("base")) for p in devs.PRECISIONS]))
+    d = devs.devices(spark).select("*", each.alias("r")).where("r.base is not null")
+    peak = numeric.promised_tflops(F.col("r.base"), F.col("cores"), F.col("base_cores"), F.col("clock"), F.col("base_clock"))
     use = numeric.utilisation(F.lit(124_475_904.0), F.lit(12.0), F.lit(768.0), F.lit(1024.0), F.lit(524_288.0), F.lit(3.0), F.col("peak"))
-    return d.withColumn("peak", peak).select("device", F.round("peak", 2).alias("peak"), F.round(use, 6).alias("mfu"))
+    return d.withColumn("peak", peak).select("device", "r.precision", F.round("peak", 2).alias("peak"), F.round(use, 6).alias("mfu"))
 
 
 def _examples(spark, sf):
@@ -280,7 +282,7 @@ def cdf_sample(spark, sf):
 
 def xorshift(spark, sf):
     s, x = numeric.xorshift_star(F.col("vec_id") + 1)
-    return _vectors(spark, sf).select("vec_id", s.alias("state"), x.alias("value"))
+    return _vectors(spark, sf).select("vec_id", s.alias("state"), x.alias("value"), numeric.unit_float(x).alias("coin"))
 
 
 def prefix_bytes(spark, sf):

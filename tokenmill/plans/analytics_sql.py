@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tokenmill.functions.devices import DEVICES, FAMILIES
+from tokenmill.functions.devices import DEVICES, FAMILIES, PRECISIONS
 from tokenmill.plans.analytics_queries import FINAL, PEAK, STEPS, TARGET, TOTAL_BATCH, WARMUP
 
 #: Lines as the queries make them, parsed; run is an expression over events.
@@ -55,10 +55,10 @@ UNION ALL SELECT 'wsd', step, round(CASE {warm} WHEN step < {point} THEN {PEAK}:
 
 def device_sql() -> str:
     d = ", ".join(f"('{n}', '{f}', {c}::DOUBLE, {k}::DOUBLE)" for n, f, c, k in DEVICES)
-    f = ", ".join(f"('{n}', {a}::DOUBLE, {c}::DOUBLE, {k}::DOUBLE)" for n, a, _, c, k in FAMILIES)
-    return f"""WITH d(device, family, cores, clock) AS (VALUES {d}), f(family, t, base_clock, base_cores) AS (VALUES {f}),
-p AS (SELECT device, t * (cores / base_cores) * (clock / base_clock) AS peak FROM d JOIN f USING (family))
-SELECT device, round(peak, 2) AS peak, round((6 * 124475904.0::DOUBLE + 6 * 12.0::DOUBLE * 768.0 * 1024.0) * 524288.0 / 3.0 / (peak * 1e12), 6) AS mfu FROM p"""
+    f = ", ".join(f"('{n}', '{p}', {v}::DOUBLE, {c}::DOUBLE, {k}::DOUBLE)" for n, *rates, c, k in FAMILIES for p, v in zip(PRECISIONS, rates, strict=True) if v > 0)
+    return f"""WITH d(device, family, cores, clock) AS (VALUES {d}), f(family, precision, t, base_clock, base_cores) AS (VALUES {f}),
+p AS (SELECT device, precision, t * (cores / base_cores) * (clock / base_clock) AS peak FROM d JOIN f USING (family))
+SELECT device, precision, round(peak, 2) AS peak, round((6 * 124475904.0::DOUBLE + 6 * 12.0::DOUBLE * 768.0 * 1024.0) * 524288.0 / 3.0 / (peak * 1e12), 6) AS mfu FROM p"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -128,6 +128,6 @@ SELECT example_id, n_ints::BIGINT AS n_ints, (n_ints * 2)::INT AS n_bytes, (6553
 b AS (SELECT vec_id, xor(s, s >> 12) AS s FROM a), c AS (SELECT vec_id, xor(s, ((s::HUGEINT * 33554432::HUGEINT) % 18446744073709551616::HUGEINT)::UBIGINT) AS s FROM b), d AS (SELECT vec_id, xor(s, s >> 27) AS s FROM c),
 e AS (SELECT vec_id, s, (s & 4294967295::UBIGINT)::HUGEINT AS lo, (s >> 32)::HUGEINT AS hi FROM d)
 SELECT vec_id, (CASE WHEN s >= 9223372036854775808::UBIGINT THEN s::HUGEINT - 18446744073709551616::HUGEINT ELSE s::HUGEINT END)::BIGINT AS state,
-  ((lo * 625341585::HUGEINT + ((hi * 1332534557::HUGEINT) % 4294967296::HUGEINT) + (lo * 1332534557::HUGEINT) // 4294967296::HUGEINT) % 4294967296::HUGEINT)::BIGINT AS value FROM e""",
+  ((lo * 625341585::HUGEINT + ((hi * 1332534557::HUGEINT) % 4294967296::HUGEINT) + (lo * 1332534557::HUGEINT) // 4294967296::HUGEINT) % 4294967296::HUGEINT)::BIGINT AS value, ((value >> 8) / 16777216.0)::DOUBLE AS coin FROM e""",
         "prefix_bytes": "WITH o AS (SELECT lang, n, (sum(n) OVER (ORDER BY doc_id) - n)::BIGINT AS before FROM (SELECT doc_id, lang, octet_length(encode(text)) AS n FROM documents WHERE text IS NOT NULL)) SELECT lang, count(*) AS n_docs, sum(least(n, 300000 - before))::BIGINT AS n_bytes FROM o WHERE before < 300000 GROUP BY lang",
     }

@@ -196,12 +196,18 @@ def encode_with_eot(spark, sf):
 
 
 def decode_roundtrip(spark, sf):
-    """Documents encoded and decoded by joins; the bytes must be those of the text."""
+    """Documents encoded and decoded: the digest of the decoded bytes must be that of the text."""
     d = _docs(spark, sf)
-    v = vocab.frequency_vocab(d, VOCAB_SIZE)
-    rows = codec.token_rows(codec.encode(d.select("doc_id", "text"), codec.load_tokenizer(v)), "doc_id")
-    back = codec.decode_rows(rows, v, "doc_id")
-    return d.select("doc_id", "text").join(back, "doc_id", "left").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), (F.coalesce("data", F.unhex(F.lit(""))) == to_bytes("text")).alias("same"))
+    t = codec.load_tokenizer(vocab.frequency_vocab(d, VOCAB_SIZE))
+    back = codec.decode(codec.encode(d.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "text"), t), t)
+    return back.select("doc_id", "n_bytes", F.md5("data").alias("digest"))
+
+
+def decode_join(spark, sf):
+    """Tokens of benchmark items as rows, decoded by a join with the vocabulary."""
+    b, v, t = _bench_tokenizer(spark, sf)
+    back = codec.decode_rows(codec.token_rows(codec.encode(b.select("item_id", "text"), t), "item_id"), v, "item_id")
+    return back.select("item_id", F.md5("data").alias("digest"))
 
 
 def tokenizer_metrics_by_lang(spark, sf):
@@ -320,6 +326,29 @@ def document_shards(spark, sf):
     return pack.manifest(pack.pack(d, 100_000))
 
 
+def encoded_shards(spark, sf):
+    """Benchmark items encoded, packed with the end-of-text token before each, and summed by shard."""
+    b, _, t = _bench_tokenizer(spark, sf)
+    p = pack.pack(codec.encode(b.select("item_id", "text"), t, eot=True), SHARD, "item_id")
+    rows = p.select("shard", "split", "first", F.posexplode("tokens").alias("i", "token"))
+    return rows.groupBy("shard", "split").agg(F.count("*").alias("n_tokens"), F.sum(F.col("token").cast("long")).alias("tokens"), F.sum(F.col("token") * (F.col("first") + F.col("i"))).alias("weighted"))
+
+
+def epoch_order(spark, sf):
+    """Batches of two epochs, shards and samples as they stand."""
+    return pack.epoch_order(pack.check_manifest(pack.manifest(_byte_stream(spark, sf)), RANKS, BATCH, LENGTH), 2)
+
+
+def character_prefix(spark, sf):
+    p = corpus.character_prefix(_docs(spark, sf), 1_000_000)
+    return p.select("doc_id", "before", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("digest"))
+
+
+def loader_totals(spark, sf):
+    """Samples and tokens of all shards of a split."""
+    return pack.totals(pack.check_manifest(pack.manifest(_byte_stream(spark, sf)), RANKS, BATCH, LENGTH))
+
+
 def loader_manifest(spark, sf):
     return pack.check_manifest(pack.manifest(_byte_stream(spark, sf)), RANKS, BATCH, LENGTH)
 
@@ -370,8 +399,9 @@ def queries() -> dict:
     found = (
         ngram_counts_n2, ngram_counts_sql_n3, ngram_totals, ngram_topk_per_n, freq_vocab, vocab_lengths, byte_lm_counts, byte_lm_contexts, bigram_model, bigram_entropy_by_lang, surprise_stats,
         segments_topk, segment_pairs_topk, token_pmi, entropy_vocab, cluster_vocab, independent_vocab, gain_vocab, minhash_signatures, lsh_buckets, lsh_pairs, lsh_components, lsh_representatives,
-        jaccard_pairs, match_positions, first_round_gain, encode_greedy, encode_with_eot, decode_roundtrip, tokenizer_metrics_by_lang, benchmark_metrics, tokenizer_comparison, word_fertility,
+        jaccard_pairs, match_positions, first_round_gain, encode_greedy, encode_with_eot, decode_roundtrip, decode_join, tokenizer_metrics_by_lang, benchmark_metrics, tokenizer_comparison, word_fertility,
         shortest_cost, token_density, bits_per_byte, packed_grams, gram_features, printable_tokens, corpus_prefix, doc_split_marker, section_split, run_slices, text_shards, shard_pack, document_shards,
+        encoded_shards, epoch_order, character_prefix, loader_totals,
         loader_manifest, batch_layout, batch_resume, val_prefix_split, token_range_check, token_shard_files, eval_split,
     )
     return {f.__name__: f for f in found}

@@ -154,7 +154,13 @@ SELECT lang, sum(freq)::BIGINT AS pairs, round(sum(-freq * log2(freq / n)) / sum
         "first_round_gain": with_(hexed("benchmark", "item_id"), counts(SIZES), top(300)) + "SELECT cand_id, gram AS token, (freq * (n - 1))::BIGINT AS gain FROM top",
         "encode_greedy": with_(*ENCODED) + "SELECT id AS item_id, k::INT AS pos, token_id FROM t",
         "encode_with_eot": with_(*ENCODED) + f"SELECT id AS item_id, count(*) + 1 AS n_tokens, {VOCAB_SIZE - 1} AS first FROM t GROUP BY id",
-        "decode_roundtrip": "SELECT doc_id, octet_length(encode(text))::BIGINT AS n_bytes, true AS same FROM documents",
+        "decode_roundtrip": "SELECT doc_id, octet_length(encode(text))::BIGINT AS n_bytes, md5(text) AS digest FROM documents",
+        "decode_join": "SELECT item_id, md5(text) AS digest FROM benchmark WHERE text != ''",
+        "encoded_shards": with_(*ENCODED, f"a AS (SELECT id, -1 AS k, {VOCAB_SIZE - 1} AS token_id FROM d UNION ALL SELECT id, k, token_id FROM t)", "o AS (SELECT token_id, row_number() OVER (ORDER BY id, k) - 1 AS g FROM a)", f"p AS (SELECT g // {SHARD} AS shard, g % {SHARD} AS place, token_id FROM o)")
+        + f"SELECT shard, {SPLIT}, count(*) AS n_tokens, sum(token_id)::BIGINT AS tokens, sum(token_id * place)::BIGINT AS weighted FROM p GROUP BY shard",
+        "epoch_order": with_(*STREAM[:5], "x AS (SELECT shard, unnest(range(0, samples)) AS sample FROM mf)") + "SELECT e.epoch, (e.epoch * (SELECT count(*) FROM x) + row_number() OVER (PARTITION BY e.epoch ORDER BY shard, sample) - 1)::BIGINT AS step, shard, sample FROM x, (SELECT unnest([0, 1]) AS epoch) e",
+        "character_prefix": "WITH o AS (SELECT doc_id, text, (sum(length(text)) OVER (ORDER BY doc_id) - length(text))::BIGINT AS before FROM documents WHERE text IS NOT NULL) SELECT doc_id, before, least(length(text), 1000000 - before)::BIGINT AS n_chars, md5(substr(text, 1, (1000000 - before)::BIGINT)) AS digest FROM o WHERE before < 1000000",
+        "loader_totals": with_(*STREAM[:5]) + f"SELECT {SPLIT}, count(*) AS shards, sum(n_tokens)::BIGINT AS n_tokens, sum(samples)::BIGINT AS samples FROM mf GROUP BY 1",
         "benchmark_metrics": with_(*ENCODED, TEXT_SUMS, "y AS (SELECT count(*) AS n_tokens, sum((token_id > 255)::INT) AS m FROM t)") + "SELECT n_bytes, n_words, n_tokens, round(n_bytes / n_tokens, 6) AS compression, round(m / n_tokens, 6) AS coverage, round(n_tokens / n_words, 6) AS tokens_per_word FROM x, y",
         "tokenizer_comparison": with_(*ENCODED, TEXT_SUMS, "y AS (SELECT count(*) AS n_tokens FROM t)")
         + "SELECT 'bytes' AS name, n_bytes AS n_tokens, 1.0::DOUBLE AS compression_ratio, 1.0::DOUBLE AS tokens_per_word_ratio FROM x UNION ALL SELECT 'grams', n_tokens, round(n_bytes / n_tokens, 6), round(n_tokens / n_bytes, 6) FROM x, y",

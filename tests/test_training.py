@@ -203,3 +203,38 @@ def test_running_sums_of_repeated_null_and_sparse_keys(spark):
     assert sorted(got) == [b"abc", b"de", b"fg", b"i"]
     packed = pack.pack(spark.createDataFrame([(1, [1, 2, 3]), (1, [4]), (None, [5, 6])], "doc_id long, tokens array<int>"), 4)
     assert sorted((x.shard, x.first, len(x.tokens)) for x in packed.collect())[-1] == (1, 0, 2) and sum(len(x.tokens) for x in packed.collect()) == 6
+
+
+def test_metric_lines_and_logs(spark, tmp_path):
+    rows = [(2, 3.5, 0.1, 1.25, None, None), (1, 4.25, 0.0002, 9.999, 5.0, None), (3, None, None, None, None, 0.25), (4, None, None, None, None, None)]
+    d = spark.createDataFrame(rows, "step int, train_loss double, lr double, norm double, val_loss double, eval double")
+    want = [(1, "s:1 tel:5.0000"), (1, "s:1 trl:4.2500 lr:0.000200 norm:10.00"), (2, "s:2 trl:3.5000 lr:0.100000 norm:1.25"), (3, "s:3 eval:0.2500")]
+    assert sorted(tuple(r) for r in logs.metric_lines(d).collect()) == want
+    path = str(tmp_path / "log")
+    logs.append_metrics(d.where("step < 3"), path)
+    logs.append_metrics(d.where("step = 3"), path)
+    read = lambda: sorted(r.value for r in spark.read.text(path).collect())
+    assert read() == [x for _, x in want]
+    logs.append_metrics(d.where("step = 3"), path, fresh=True)
+    assert read() == ["s:3 eval:0.2500"]
+
+
+def test_questions_with_quotes_and_line_ends(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('"Say ""a, b"".\nThen?",x,"y ""z""",u,v,C\nplain,1,2,3,4,A\n')
+    got = sorted((r.question, r.b, r.answer, r.label) for r in readers.mmlu(spark, str(tmp_path / "q.csv")).collect())
+    assert got == [('Say "a, b".\nThen?', 'y "z"', "C", 2), ("plain", "2", "A", 0)]
+
+
+def test_json_results(spark, tmp_path):
+    path = str(tmp_path / "results")
+    readers.write_json(spark.createDataFrame([({"t": {"acc": 0.5}, "u": {"other": 1.0}},)], "results map<string, map<string, double>>"), path)
+    assert [tuple(r) for r in readers.harness(spark, path, "acc", lines=True).collect()] == [("t", 0.5)]
+
+
+def test_pieces_of_a_shard_are_written_in_order(spark, tmp_path):
+    d = spark.createDataFrame([(1, "train", 3, [7, 8]), (1, "train", 0, [70_000, 5, 6]), (0, "val", 0, [1])], "shard long, split string, first long, tokens array<int>")
+    n = {r.shard: r.n_tokens for r in binfmt.write_shards(d, str(tmp_path), 100_000).collect()}
+    assert n == {0: 1, 1: 5}
+    assert binfmt.shard_tokens((tmp_path / "tokens_train_000001.bin").read_bytes()).tolist() == [70_000, 5, 6, 7, 8]
+    s = [(r.ordinal, r.path[-20:], r.before) for r in binfmt.sorted_shards(spark, str(tmp_path / "*.bin")).orderBy("ordinal").collect()]
+    assert [x[0] for x in s] == [0, 1] and [x[2] for x in s] == [0, 5] and s[0][1].endswith("train_000001.bin")

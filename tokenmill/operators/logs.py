@@ -107,6 +107,25 @@ def stream_values(lines: DataFrame) -> DataFrame:
     return d.groupBy("run", "stream", "step").agg(F.max_by("value", "line_no").alias("value"))
 
 
+def metric_lines(points: DataFrame) -> DataFrame:
+    """``step, line``: lines of a metric log for rows ``step`` and any of ``eval``, ``val_loss`` and ``train_loss, lr, norm``; a null value gives no line."""
+    has = set(points.columns)
+    line = lambda name, *parts: F.when(F.col(name).isNotNull(), F.concat(F.format_string("s:%d", "step"), *[F.format_string(f" {p}", c) for p, c in parts]))
+    # Names and decimals of the streams.
+    kinds = [
+        line("eval", ("eval:%.4f", "eval")) if "eval" in has else None,
+        line("val_loss", ("tel:%.4f", "val_loss")) if "val_loss" in has else None,
+        line("train_loss", ("trl:%.4f", "train_loss"), ("lr:%.6f", "lr"), ("norm:%.2f", "norm")) if "train_loss" in has else None,
+    ]
+    return points.select("step", F.explode(F.array_compact(F.array(*[k for k in kinds if k is not None]))).alias("line"))
+
+
+def append_metrics(points: DataFrame, folder: str, fresh: bool = False) -> None:
+    """Append the lines of some steps, in the order of steps, to a log, a folder of text files; ``fresh`` begins a new one."""
+    lines = metric_lines(points).sort("step").select(F.col("line").alias("value"))
+    lines.write.mode("overwrite" if fresh else "append").text(folder)
+
+
 def stream_ranges(values: DataFrame) -> DataFrame:
     return values.groupBy("stream").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.count("*").alias("n"))
 

@@ -13,8 +13,9 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Magic numbers, versions and the header's length, by format.
@@ -125,9 +126,9 @@ def write_file(uri: str, data: bytes) -> None:
 
 
 def _write(table: pa.Table, folder: str, name: str, vocab_size: int) -> pa.Table:
-    rows = sorted(zip(table.column("first").to_pylist(), table.column("tokens").to_pylist(), strict=True), key=lambda r: r[0])
+    table = table.sort_by("first").combine_chunks()
     shard, split = table.column("shard")[0].as_py(), table.column("split")[0].as_py()
-    tokens = np.concatenate([np.array(t, np.int64) for _, t in rows]) if rows else np.zeros(0, np.int64)
+    tokens = pc.list_flatten(table.column("tokens").combine_chunks()).to_numpy(zero_copy_only=False)
     path = f"{folder}/{name}_{split}_{shard:06d}.bin"
     write_file(path, shard_bytes(tokens, vocab_size))
     return pa.table({"path": [path], "shard": [shard], "n_tokens": pa.array([len(tokens)], pa.int64())})
@@ -168,6 +169,13 @@ def peek_shards(spark: SparkSession, glob: str) -> DataFrame:
     return spark.read.format("binaryFile").load(glob).select("path").mapInArrow(_peek, "path string, magic int, version int, n_tokens long")
 
 
+def sorted_shards(spark: SparkSession, glob: str) -> DataFrame:
+    """``ordinal, path, n_tokens, before``: shard files in the order of their paths, with the tokens of those that stand before. One row for each file, no contents."""
+    w = Window.orderBy("path")
+    heads = peek_shards(spark, glob)
+    return heads.select((F.row_number().over(w) - 1).cast("long").alias("ordinal"), "path", "n_tokens", F.coalesce(F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long").alias("before"))
+
+
 def missing(wanted: DataFrame, written: DataFrame, key: str) -> DataFrame:
     """Rows of ``wanted`` whose key isn't written yet: what a repeated run has still to do."""
     return wanted.join(written.select(key), key, "left_anti")

@@ -37,8 +37,8 @@ def hellaswag(spark: SparkSession, path: str) -> DataFrame:
 
 
 def mmlu(spark: SparkSession, glob: str) -> DataFrame:
-    """Questions of headerless CSV files, with the answer's place as ``label``."""
-    return spark.read.schema(MMLU).csv(glob).withColumn("label", F.instr(F.lit("ABCD"), F.col("answer")) - 1)
+    """Questions of headerless CSV files, with the answer's place as ``label``. Quotes in a field are doubled; a quoted field may have line ends."""
+    return spark.read.schema(MMLU).csv(glob, escape='"', multiLine=True).withColumn("label", F.instr(F.lit("ABCD"), F.col("answer")) - 1)
 
 
 def profile(spark: SparkSession, path: str) -> DataFrame:
@@ -49,7 +49,12 @@ def profile(spark: SparkSession, path: str) -> DataFrame:
     return d.select(*[x.alias(n) for n, x in numbers.items()], F.col("c4").alias("kernel")).dropna(subset=list(numbers))
 
 
-def harness(spark: SparkSession, glob: str, metric: str) -> DataFrame:
-    """``task, value`` of harness results: a JSON object of tasks under ``results``, each with its metrics."""
-    d = spark.read.schema("results map<string, map<string, double>>").json(glob, multiLine=True)
+def harness(spark: SparkSession, glob: str, metric: str, lines: bool = False) -> DataFrame:
+    """``task, value`` of harness results: a JSON object of tasks under ``results``, each with its metrics; ``lines``: files have such an object on each line."""
+    d = spark.read.schema("results map<string, map<string, double>>").json(glob, multiLine=not lines)
     return d.select(F.explode("results").alias("task", "m")).select("task", F.element_at("m", metric).alias("value")).where("value is not null")
+
+
+def write_json(results: DataFrame, folder: str) -> None:
+    """Results as JSON objects, one a line; a folder that is there stays as it is."""
+    results.write.mode("ignore").json(folder)

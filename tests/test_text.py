@@ -1,3 +1,6 @@
+import itertools
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -205,3 +208,101 @@ def test_run_slices(spark):
     assert list(run_slices("", 2, 100)) == [] and list(run_slices("abc", 9, 2)) == ["ab", "c"]
     d = spark.createDataFrame([("x" * 7,), (None,)], "t string").select(split_runs(F.col("t"), 3, 100).alias("s")).collect()
     assert [r.s for r in d] == [["xxx", "xxx", "x"], None]
+
+
+def test_relaxed_sets_against_all_half_integral_points():
+    r = random.Random(3)
+    for _ in range(25):
+        n = r.randint(2, 7)
+        weights = [float(r.randint(-2, 9)) for _ in range(n)]
+        edges = [(a, b) for a, b in itertools.combinations(range(n), 2) if r.random() < 0.4]
+        allowed = lambda y: all(y[a] + y[b] <= 1 for a, b in edges)  # noqa: E731, B023
+        worth = lambda y: sum(w * v for w, v in zip(weights, y, strict=True))  # noqa: E731, B023
+        y = vocab.relaxed_independent_set(weights, edges)
+        # vertices of the relaxation are half-integral, so the best of these points is the optimum
+        assert allowed(y) and worth(y) == pytest.approx(max(worth(p) for p in itertools.product((0.0, 0.5, 1.0), repeat=n) if allowed(p)))
+
+
+def test_selected_sets_are_independent_and_maximal():
+    r = random.Random(4)
+    for _ in range(25):
+        n = r.randint(2, 9)
+        freqs = sorted((r.randint(1, 30) for _ in range(n)), reverse=True)
+        edges = [(a, b) for a, b in itertools.combinations(range(n), 2) if r.random() < 0.3]
+        for most in (1, 3, n):
+            got = vocab.select_independent(freqs, edges, most)
+            assert len(got) <= most and not any(a in got and b in got for a, b in edges)
+            if len(got) < most:  # every other candidate has a neighbour among the chosen
+                assert all(i in got or any(i in e and (e[0] in got or e[1] in got) for e in edges) for i in range(n))
+
+
+def all_costs(data, tokens):
+    """Fewest pieces of any way to cut data into single bytes and tokens, by trying all."""
+    if not data:
+        return 0
+    return 1 + min(all_costs(data[k:], tokens) for k in range(1, len(data) + 1) if k == 1 or data[:k] in tokens)
+
+
+def test_costs_against_all_cuts(spark):
+    r = random.Random(5)
+    for _ in range(30):
+        data = bytes(r.choices(b"abc", k=r.randint(0, 11)))
+        tokens = {bytes(r.choices(b"abc", k=r.randint(2, 4))) for _ in range(6)}
+        got = vocab.shortest_costs(data, tokens, 4)
+        assert got.tolist() == [all_costs(data[:i], tokens) for i in range(len(data) + 1)]
+    t = codec.load_tokenizer(vocab.layout(spark, [b"ab", b"abc", b"bcd"], 300))
+    d = spark.createDataFrame([(0, "abcd"), (1, "abab"), (2, ""), (3, "xbcdabc")], "doc_id long, text string")
+    assert {x.doc_id: x.cost for x in codec.with_shortest_cost(d, t).collect()} == {i: all_costs(x.encode(), {b"ab", b"abc", b"bcd"}) for i, x in ((0, "abcd"), (1, "abab"), (2, ""), (3, "xbcdabc"))}
+
+
+def plain_gain(data, tokens, most):
+    """The same choice without a heap: the list is searched and every place compared."""
+    at = {t: [i for i in range(len(data)) if data.startswith(t, i)] for t in tokens}
+    dp, chosen = list(range(len(data) + 1)), []
+    saving = lambda t: sum(max(0, dp[i + len(t)] - dp[i] - 1) for i in at[t])
+    known = {t: (-saving(t), 0, t) for t in tokens if at[t]}
+    while known and len(chosen) < most:
+        worst, stamp, t = min(known.values())
+        del known[t]
+        if stamp < len(chosen):
+            if saving(t) > 0:
+                known[t] = (-saving(t), len(chosen), t)
+        elif worst == 0:
+            break
+        else:
+            chosen.append(t)
+            now = [(i + len(t), dp[i] + 1) for i in at[t]]
+            for end, cost in now:
+                dp[end] = min(dp[end], cost)
+    return chosen
+
+
+def test_gain_against_a_plain_search():
+    r = random.Random(6)
+    for _ in range(20):
+        data = bytes(r.choices(b"abcd", k=r.randint(1, 120)))
+        tokens = sorted({bytes(r.choices(b"abcd", k=r.randint(2, 4))) for _ in range(15)})
+        assert vocab.greedy_gain(data, tokens, 6) == plain_gain(data, tokens, 6)
+    # where tokens never meet, the choice is that of the most bytes saved
+    data = b"abc." * 3 + b"xy." * 4 + b"pqrs." * 5
+    assert vocab.greedy_gain(data, [b"abc", b"xy", b"pqrs", b"zz"], 3) == [b"pqrs", b"abc", b"xy"]
+
+
+def test_metrics_by_language_against_plain_sums(spark):
+    r = random.Random(7)
+    rows = [(i, None if i == 3 else " ".join(r.choices(["ab", "abc", "é", "x"], k=i % 5)), ["en", "de", None][i % 3]) for i in range(30)]
+    t = codec.load_tokenizer(vocab.layout(spark, [b"ab", b"abc", "é".encode()], 300))
+    got = {x.lang: x for x in metrics.evaluate(spark.createDataFrame(rows, "doc_id long, text string, lang string"), t, ["lang"]).collect()}
+    assert set(got) == {"en", "de", None}
+    for lang, x in got.items():
+        texts = [y for _, y, z in rows if z == lang and y is not None]
+        ids = [k for y in texts for k in t.encode(y)]
+        n = (sum(len(y.encode()) for y in texts), sum(len(y.split()) for y in texts), len(ids))
+        assert (x.n_bytes, x.n_words, x.n_tokens) == n
+        assert (x.compression, x.coverage, x.tokens_per_word) == pytest.approx((n[0] / n[2], sum(k > 255 for k in ids) / n[2], n[2] / n[1]))
+
+
+def test_shuffled_documents(spark):
+    d = spark.range(200).select(F.col("id").alias("doc_id"))
+    order = lambda seed: [x.doc_id for x in corpus.shuffled(d.repartition(3), seed).collect()]
+    assert order(1) == order(1) != order(2) and sorted(order(1)) == list(range(200)) != order(1)

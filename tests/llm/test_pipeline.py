@@ -41,3 +41,32 @@ def test_stages(spark, tmp_path):
     assert 512 in seen[3] and seen[3][512] is None
     mixed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {x.doc_id for x in mixed} == set(seen[3]) and all(0 <= x.taken <= 2 * x.size for x in mixed)
+
+
+def test_stages_of_repeated_rows_clashing_names_and_empty_tables(spark, tmp_path):
+    """Columns named like the operators' own work columns pass through; repeated rows leave one; empty tables give empty stages."""
+    r = random.Random(5)
+    words = ["".join(r.choices("abcdefghij", k=r.randint(3, 8))) for _ in range(500)]
+    names = ["spans", "items", "n_words", "fp", "bands", "root", "block", "h0", "h1", "state", "score", "letters", "before", "shard", "h", "sub", "size", "key", "first", "toxic"]
+    docs = [(i, " ".join(r.choices(words, k=60)), "en", "s", 0, *[f"{n}{i}" for n in names]) for i in range(40)]
+    docs += [docs[3], docs[3], (50, None, None, None, None, *[None] * len(names)), (50, None, None, None, None, *[None] * len(names)), (51, "", "en", "s", 0, *[""] * len(names)), (52, "word " * 30_000, "en", "s", 0, *["x"] * len(names))]
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    for folder, rows in (("some", docs), ("none", [])):
+        path = str(tmp_path / folder)
+        spark.createDataFrame(rows, kinds).write.parquet(f"{path}/documents.parquet")
+        spark.createDataFrame([(i, 1, i % 2) for i in range(40)] if rows else [], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+        spark.createDataFrame([(1, " ".join(docs[7][1].split()[:20])), (None, None)] if rows else [], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+        now = spark.read.parquet(f"{path}/documents.parquet")
+        for k, (name, f) in enumerate(corpus_pipeline.STAGES[1:-1]):
+            out = f(spark, now, path)
+            assert out.dtypes == now.dtypes, name
+            out.write.parquet(f"{path}/stage{k}")
+            now = spark.read.parquet(f"{path}/stage{k}")
+        left = {x.doc_id: x for x in now.collect()}
+        assert now.count() == len(left)
+        if rows:
+            assert set(range(40)) <= set(left) and len({50, 51} & set(left)) == 1
+            assert all(left[i][n] == f"{n}{i}" for i in range(40) for n in names)
+            assert len(left[7].text.split()) == 40 and left[3].text == docs[3][1]
+        else:
+            assert not left and corpus_pipeline.run(spark, path).count() == 0

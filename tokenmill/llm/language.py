@@ -20,6 +20,7 @@ from tokenmill.llm.texts import byte_rows, prepare
 
 #: Bounds of the labelled sample: documents of each language, languages, and characters of each document.
 FIT_DOCS, FIT_LANGS, FIT_CHARS = 1_200, 400, 4_000
+FIT_TOTAL = 100_000_000  # characters of the whole sample, which the driver holds
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 8
@@ -123,15 +124,20 @@ def fold(doc_id: str = "doc_id", parts: int = 4) -> Column:
 
 
 def labelled(docs: DataFrame, learn: Column) -> list[tuple[str, bytes]]:
-    """A bounded sample of labelled texts, about alike for every language, chosen by a hash of the ids."""
+    """A sample of labelled texts, about alike for every language, chosen by a hash of the ids.
+
+    At most FIT_CHARS characters of each text and FIT_DOCS texts of each language, or as many as
+    give FIT_TOTAL characters for all of them; the FIT_LANGS most frequent languages are learned.
+    """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     d = d.where(learn & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     counts = d.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(FIT_LANGS).collect()
     if not counts:
         return []
-    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, 1.2 * FIT_DOCS / r["count"]))])
+    each = max(1, min(FIT_DOCS, FIT_TOTAL // (FIT_CHARS * len(counts))))
+    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, 1.2 * each / r["count"]))])
     chosen = d.where((F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003.0) < F.element_at(share, F.col("lang")))
-    rows = chosen.select("lang", F.substring("text", 1, FIT_CHARS).alias("text"), F.xxhash64("doc_id").alias("k"), "doc_id").orderBy("k", "doc_id", "lang", "text").limit(FIT_DOCS * len(counts)).collect()
+    rows = chosen.select("lang", F.substring("text", 1, FIT_CHARS).alias("text"), F.xxhash64("doc_id").alias("k"), "doc_id").orderBy("k", "doc_id", "lang", "text").limit(each * len(counts)).collect()
     return [(r.lang, r.text.encode()) for r in rows]
 
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tokenmill.functions import numeric, schedules
-from tokenmill.operators import choice, logs, pack, trainstats
+from tokenmill.operators import choice, logs, pack, prefix, trainstats
 from tokenmill.operators.corpus import corpus_prefix
 from tokenmill.operators.prefix import running_sum
 from tokenmill.sources import binfmt, readers
@@ -67,6 +67,29 @@ def test_means(spark):
     assert m[0] == pytest.approx((0 + 0 + 0 + 1 + 2) / 5) and m[15] == pytest.approx(15.0) and m[29] == pytest.approx((27 + 28 + 29 * 3) / 5)
 
 
+def test_overlapping_blocks_change_nothing(spark, monkeypatch):
+    """Blocks far smaller than a partition, sparse and negative keys, null partitions."""
+    r = random.Random(8)
+    keys = r.sample(range(-(10**12), 10**12), 500)
+    rows = [(None if i % 3 == 0 else "a", k, r.uniform(-1, 1)) for i, k in enumerate(keys)]
+    d = spark.createDataFrame(rows, "s string, i long, v double")
+    for f in ("numbered", "overlapping"):
+        whole = getattr(prefix, f)
+        monkeypatch.setattr(trainstats, f, lambda *a, whole=whole: whole(*a, block=16))
+    z = {x.i: x.z for x in trainstats.zscores(d, ["s"], "i", "v", 5).collect()}
+    m = {x.i: x.smooth for x in trainstats.moving_average(d, ["s"], "i", "v", 3).collect()}
+    assert len(z) == len(m) == 500
+    for s in (None, "a"):
+        part = sorted((k, v) for p, k, v in rows if p == s)
+        v = [x for _, x in part]
+        edged = [v[0]] * 3 + v + [v[-1]] * 3
+        for n, (k, x) in enumerate(part):
+            assert m[k] == pytest.approx(sum(edged[n : n + 7]) / 7)
+            last = v[max(0, n - 4) : n + 1]
+            assert z[k] is None if n < 5 else z[k] == pytest.approx((x - statistics.fmean(last)) / statistics.pstdev(last))
+    assert trainstats.zscores(d.limit(0), ["s"], "i", "v").count() == 0
+
+
 def test_exact_exponential_means(spark):
     r = random.Random(2)
     # the first value is so large that its rest is seen for thousands of rows

@@ -3,21 +3,25 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tokenmill.operators.prefix import numbered, overlapping, same
+
 WINDOW = 128
 
 
 def zscores(df: DataFrame, partition: list[str], order: str, value: str, window: int = WINDOW, out: str = "z") -> DataFrame:
-    """``df`` with the z-score of a value among the last ``window`` rows, itself included; null for the first ``window`` rows, 0 without deviation."""
-    w = Window.partitionBy(*partition).orderBy(order)
-    f = w.rowsBetween(-(window - 1), 0)
+    """``df`` with the z-score of a value among the last ``window`` rows, itself included; null for the first ``window`` rows, 0 without deviation.
+
+    A partition is dealt to blocks of rows that overlap by a window, so one of any size is many tasks.
+    """
+    d = overlapping(numbered(df, partition, order, "__k"), "__k", window - 1, 0)
+    f = Window.partitionBy(*partition, "__block").orderBy("__k").rowsBetween(-(window - 1), 0)
     sd = F.stddev_pop(value).over(f)
     z = F.when(sd == 0, 0.0).otherwise((F.col(value) - F.avg(value).over(f)) / sd)
-    return df.withColumn(out, F.when(F.row_number().over(w) > window, z))
+    return d.withColumn(out, F.when(F.col("__k") > window, z)).where("__home").drop("__k", "__block", "__home")
 
 
 def skip_update(z_loss: Column, z_grad: Column, loss_limit: float, grad_limit: float) -> Column:
@@ -27,15 +31,16 @@ def skip_update(z_loss: Column, z_grad: Column, loss_limit: float, grad_limit: f
 
 
 def moving_average(df: DataFrame, partition: list[str], order: str, value: str, half: int, out: str = "smooth") -> DataFrame:
-    """``df`` with the centred mean over 2 half + 1 rows; beyond the ends the edge values repeat."""
-    w = Window.partitionBy(*partition).orderBy(order)
-    p = Window.partitionBy(*partition).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    f = w.rowsBetween(-half, half)
-    n, k = F.count("*").over(p), F.row_number().over(w)
-    left = F.greatest(F.lit(0), half + 1 - k)
-    right = F.greatest(F.lit(0), k + half - n)
-    total = F.sum(value).over(f) + left * F.first(value).over(p) + right * F.last(value).over(p)
-    return df.withColumn(out, total / (2 * half + 1))
+    """``df`` with the centred mean over 2 half + 1 rows; beyond the ends the edge values repeat. Partitions are dealt to blocks that overlap by ``half`` rows on either side."""
+    numbers, names = numbered(df, partition, order, "__k"), [f"__p{i}" for i in range(len(partition))]
+    ends = numbers.groupBy(*[F.col(c).alias(n) for c, n in zip(partition, names, strict=True)]).agg(F.count("*").alias("__n"), F.min_by(value, "__k").alias("__first"), F.max_by(value, "__k").alias("__last"))
+    d = overlapping(numbers, "__k", half, half)
+    f = Window.partitionBy(*partition, "__block").orderBy("__k").rowsBetween(-half, half)
+    d = d.withColumn("__sum", F.sum(value).over(f)).where("__home").join(ends, same(list(zip(partition, names, strict=True))))
+    left = F.greatest(F.lit(0), half + 1 - F.col("__k"))
+    right = F.greatest(F.lit(0), F.col("__k") + half - F.col("__n"))
+    total = F.col("__sum") + left * F.col("__first") + right * F.col("__last")
+    return d.withColumn(out, total / (2 * half + 1)).drop("__k", "__block", "__home", "__sum", "__n", "__first", "__last", *names)
 
 
 def ema(df: DataFrame, partition: list[str], order: str, value: str, decay: float = 0.95, out: str = "ema") -> DataFrame:
@@ -49,7 +54,7 @@ def ema(df: DataFrame, partition: list[str], order: str, value: str, decay: floa
     size = max(1, int(math.log(1e6) / -math.log(decay)))
     reach = math.ceil(math.log(5e-324) / (size * math.log(decay))) + 1
     x = F.coalesce(F.col(value).cast("double"), F.lit(0.0)) * (1 - decay)
-    d = df.withColumn("__k", F.row_number().over(Window.partitionBy(*partition).orderBy(order)))
+    d = numbered(df, partition, order, "__k")
     d = d.withColumn("__block", F.floor((F.col("__k") - 1) / size)).withColumn("__j", (F.col("__k") - 1) % size)
     inside = Window.partitionBy(*partition, "__block").orderBy("__j").rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("__own", F.sum(x * F.pow(F.lit(decay), -F.col("__j"))).over(inside) * F.pow(F.lit(decay), F.col("__j")))
@@ -57,8 +62,7 @@ def ema(df: DataFrame, partition: list[str], order: str, value: str, decay: floa
     names = [f"__p{i}" for i in range(len(partition))]
     before = F.collect_list("__end").over(Window.partitionBy(*names).orderBy("__of").rowsBetween(-reach, -1))
     ends = ends.withColumn("__before", before).select(*names, "__of", F.aggregate("__before", F.lit(0.0), lambda acc, e: acc * decay**size + e).alias("__carry"))
-    same = [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(partition, names, strict=True)]
-    joined = d.join(ends, reduce(lambda a, b: a & b, [*same, F.col("__block") == F.col("__of")]))
+    joined = d.join(ends, same([*zip(partition, names, strict=True), ("__block", "__of")]))
     total = F.col("__own") + F.col("__carry") * F.pow(F.lit(decay), F.col("__j") + 1)
     return joined.withColumn(out, total / (1 - F.pow(F.lit(decay), F.col("__k")))).drop("__k", "__block", "__j", "__own", "__of", "__carry", *names)
 

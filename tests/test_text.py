@@ -302,6 +302,18 @@ def test_metrics_by_language_against_plain_sums(spark):
         assert (x.compression, x.coverage, x.tokens_per_word) == pytest.approx((n[0] / n[2], sum(k > 255 for k in ids) / n[2], n[2] / n[1]))
 
 
+def test_occurrences_and_large_conflict_graphs():
+    r = random.Random(9)
+    data = bytes(r.choices(b"ab\xc3\x00", k=400))
+    tokens = [b"a", b"ab", b"aba", b"\xc3\x00", b"\x00\x00", b"zz", b"", b"ab"]
+    want = {t: [i for i in range(len(data)) if data.startswith(t, i)] for t in tokens if t}
+    assert {t: p.tolist() for t, p in vocab.occurrences(data, tokens).items()} == {t: p for t, p in want.items() if p}
+    assert vocab.occurrences(b"", [b"a"]) == {} == vocab.occurrences(b"abc", [])
+    # ten thousand candidates in small parts: each pair keeps its better half
+    freqs = [20_000 - i for i in range(10_000)]
+    assert vocab.select_independent(freqs, [(i, i + 1) for i in range(0, 10_000, 2)], 10_000) == list(range(0, 10_000, 2))
+
+
 def test_shuffled_documents(spark):
     d = spark.range(200).select(F.col("id").alias("doc_id"))
     order = lambda seed: [x.doc_id for x in corpus.shuffled(d.repartition(3), seed).collect()]

@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import heapq
 from collections import deque
+from itertools import chain
 
+import ahocorasick
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -125,11 +127,8 @@ class _Flow:
         return level
 
 
-def relaxed_independent_set(weights: list[float], edges: list[tuple[int, int]]) -> list[float]:
-    """An optimal y for max sum w y with y_a + y_b <= 1 on edges and 0 <= y <= 1; each y is 0, 1/2 or 1.
-
-    The least weighted cover of the bipartite double graph is a minimum cut.
-    """
+def _cover(weights: list[float], edges: list[tuple[int, int]]) -> list[float]:
+    """The same of a connected part: the least weighted cover of the bipartite double graph is a minimum cut."""
     n = len(weights)
     flow = _Flow(2 * n + 2)
     s, t = 2 * n, 2 * n + 1
@@ -143,6 +142,39 @@ def relaxed_independent_set(weights: list[float], edges: list[tuple[int, int]])
     return [0.0 if w <= 0 else 1 - ((level[i] < 0) + (level[n + i] >= 0)) / 2 for i, w in enumerate(weights)]
 
 
+def _connected(edges: list[tuple[int, int]]) -> list[tuple[list[int], list[tuple[int, int]]]]:
+    """Nodes and edges, by their place among the nodes, of each connected part with an edge."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for a, b in edges:
+        root[find(a)] = find(b)
+    nodes: dict[int, list[int]] = {}
+    for x in sorted(root):
+        nodes.setdefault(find(x), []).append(x)
+    place = {x: i for part in nodes.values() for i, x in enumerate(part)}
+    inside: dict[int, list[tuple[int, int]]] = {}
+    for a, b in edges:
+        inside.setdefault(find(a), []).append((place[a], place[b]))
+    return [(part, inside[r]) for r, part in nodes.items()]
+
+
+def relaxed_independent_set(weights: list[float], edges: list[tuple[int, int]], parts: list | None = None) -> list[float]:
+    """An optimal y for max sum w y with y_a + y_b <= 1 on edges and 0 <= y <= 1; each y is 0, 1/2 or 1.
+
+    Connected parts (``parts``, if known) don't bear on each other and are solved one by one.
+    """
+    y = [float(w > 0) for w in weights]
+    for nodes, inside in _connected(edges) if parts is None else parts:
+        for i, v in zip(nodes, _cover([weights[i] for i in nodes], inside), strict=True):
+            y[i] = v
+    return y
+
+
 def select_independent(freqs: list[int], edges: list[tuple[int, int]], most: int) -> list[int]:
     """Up to ``most`` candidates without conflicts, by rounding the relaxed problem in the order of y f.
 
@@ -151,13 +183,14 @@ def select_independent(freqs: list[int], edges: list[tuple[int, int]], most: int
     if not edges:
         return list(range(min(most, len(freqs))))
     low, high = 0.0, float(max(freqs))
-    y = relaxed_independent_set([float(f) for f in freqs], edges)
+    parts = _connected(edges)
+    y = relaxed_independent_set([float(f) for f in freqs], edges, parts)
     if sum(y) > most:
         for _ in range(30):
             price = (low + high) / 2
-            y = relaxed_independent_set([f - price for f in freqs], edges)
+            y = relaxed_independent_set([f - price for f in freqs], edges, parts)
             low, high = (price, high) if sum(y) > most else (low, price)
-        y = relaxed_independent_set([f - high for f in freqs], edges)
+        y = relaxed_independent_set([f - high for f in freqs], edges, parts)
     near: dict[int, list[int]] = {}
     for a, b in edges:
         near.setdefault(a, []).append(b)
@@ -217,13 +250,19 @@ def shortest_costs(data: bytes, vocab: set[bytes], max_len: int) -> np.ndarray:
     return dp
 
 
-def occurrences(data: bytes, token: bytes) -> np.ndarray:
-    """All places where a token starts, overlaps included."""
-    out, at = [], data.find(token)
-    while at >= 0:
-        out.append(at)
-        at = data.find(token, at + 1)
-    return np.array(out, np.int64)
+def occurrences(data: bytes, tokens: list[bytes]) -> dict[bytes, np.ndarray]:
+    """All places where each token starts, overlaps included, from one pass over the data; tokens without any are left out."""
+    tokens = [t for t in dict.fromkeys(tokens) if t]
+    if not tokens:
+        return {}
+    a = ahocorasick.Automaton()
+    for k, t in enumerate(tokens):
+        a.add_word(t.decode("latin-1"), k)  # a character for each byte
+    a.make_automaton()
+    hits = np.fromiter(chain.from_iterable(a.iter(data.decode("latin-1"))), np.int64).reshape(-1, 2)
+    by = hits[np.argsort(hits[:, 1], kind="stable")]
+    cuts = np.searchsorted(by[:, 1], np.arange(len(tokens) + 1))
+    return {t: by[x:y, 0] - len(t) + 1 for t, x, y in zip(tokens, cuts, cuts[1:], strict=False) if y > x}
 
 
 def greedy_gain(data: bytes, tokens: list[bytes], most: int, max_len: int = 16, every: int = 500) -> list[bytes]:
@@ -233,7 +272,7 @@ def greedy_gain(data: bytes, tokens: list[bytes], most: int, max_len: int = 16,
     token relaxes dp at its places; after ``every`` choices dp is computed anew. A heap holds the
     last known savings, staler first among equals, then smaller bytes.
     """
-    places = {t: p for t in tokens if len(p := occurrences(data, t))}
+    places = occurrences(data, tokens)
     dp, chosen, vocab = np.arange(len(data) + 1), [], set()
     gain = lambda t: int(np.maximum(0, dp[places[t] + len(t)] - dp[places[t]] - 1).sum())
     heap = [(-gain(t), 0, t) for t in places]

@@ -109,15 +109,15 @@ def entropy_vocab(spark, sf):
 
 
 def cluster_vocab(spark, sf):
-    return _hexed(vocab.cluster_vocab(_docs(spark, sf), VOCAB_SIZE, 4))
+    return _hexed(vocab.cluster_vocab(_docs(spark, sf), VOCAB_SIZE))
 
 
 def independent_vocab(spark, sf):
-    return _hexed(vocab.independent_vocab(_docs(spark, sf), VOCAB_SIZE, 4))
+    return _hexed(vocab.independent_vocab(_docs(spark, sf), VOCAB_SIZE))
 
 
 def gain_vocab(spark, sf):
-    return _hexed(vocab.gain_vocab(_docs(spark, sf), VOCAB_SIZE, 500_000))
+    return _hexed(vocab.gain_vocab(_docs(spark, sf), VOCAB_SIZE))
 
 
 def _candidates(spark, sf):

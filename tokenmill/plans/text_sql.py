@@ -142,7 +142,7 @@ SELECT lang, sum(freq)::BIGINT AS pairs, round(sum(-freq * log2(freq / n)) / sum
         "token_pmi": with_(*MODEL, counts((3, 5), "d", "c35"), "tok AS (SELECT gram AS token, freq FROM (SELECT *, row_number() OVER (PARTITION BY n ORDER BY freq DESC, gram) AS r FROM c35) WHERE r <= 100)", PMI)
         + "SELECT token, freq, round(pmi, 5) AS pmi FROM tok JOIN pmi USING (token)",
         "entropy_vocab": with_(*CHOPPED, "tok AS (SELECT token, freq FROM sc WHERE len(token) > 2 AND freq >= 10)", PMI, f"best AS (SELECT token AS gram, freq, round(pmi, 9) AS pmi FROM tok JOIN pmi USING (token) WHERE round(pmi, 9) >= 0 ORDER BY freq DESC, 3 DESC, token LIMIT {VOCAB_SIZE - 257})", vocab("best", "freq DESC, pmi DESC, gram")) + "SELECT * FROM v",
-        "cluster_vocab": with_(*(x if i != 2 else top((VOCAB_SIZE - 256) * 4) for i, x in enumerate(COMPONENTS)), f"best AS (SELECT cand_id, gram FROM top LEFT JOIN comp ON cand_id = node WHERE coalesce(root, cand_id) = cand_id ORDER BY cand_id LIMIT {VOCAB_SIZE - 257})", vocab("best")) + "SELECT * FROM v",
+        "cluster_vocab": with_(*(x if i != 2 else top((VOCAB_SIZE - 256) * 10) for i, x in enumerate(COMPONENTS)), f"best AS (SELECT cand_id, gram FROM top LEFT JOIN comp ON cand_id = node WHERE coalesce(root, cand_id) = cand_id ORDER BY cand_id LIMIT {VOCAB_SIZE - 257})", vocab("best")) + "SELECT * FROM v",
         "minhash_signatures": with_(*SIGS) + "SELECT cand_id, gram AS token, k::INT AS k, value FROM sig",
         "lsh_buckets": with_(*BANDS) + "SELECT * FROM bucket",
         "lsh_pairs": with_(*BANDS) + "SELECT DISTINCT x.cand_id AS a, y.cand_id AS b FROM band x JOIN band y ON x.band = y.band AND x.key = y.key AND x.cand_id < y.cand_id",

@@ -31,3 +31,38 @@ def test_run_slices_of_odd_texts(spark, tmp_path):
     d = d.union(d.where("doc_id = 9"))
     want = by_sql("run_slices", documents=d)
     assert by_spark(spark, tmp_path, "run_slices", documents=d) == want and len(want) == len(ODD) - 2
+
+
+def test_batches_of_encoded_and_decoded_rows_are_bounded(monkeypatch):
+    import pyarrow as pa
+    from types import SimpleNamespace as Shared
+
+    from tokenmill.operators import codec
+
+    t = codec.GreedyTokenizer([*[(i, bytes([i]), "byte") for i in range(256)], (256, b"ab", "token"), (257, b"", "eot")])
+    monkeypatch.setattr(codec, "_ENCODED", 50)
+    texts = [b"abc" * 20, None, b"", b"x", b"ab" * 200, b"y" * 49, None]
+    whole = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts, pa.binary())], ["id", "b"])
+    parts = list(codec._encode(iter([whole]), Shared(value=t), True))
+    assert len(parts) > 2 and max(len(p.column(2).flatten()) - len(p.column(2)[-1]) for p in parts) < 50
+    assert [x for p in parts for x in p.column(0).to_pylist()] == list(range(7))
+    assert [x for p in parts for x in p.column(2).to_pylist()] == [[257, *t.walk(x or b"")] for x in texts]
+    table = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+    back = list(codec._decode(iter([table.select(["id", "tokens"])]), Shared(value=[*[bytes([i]) for i in range(256)], b"ab", b""])))
+    assert len(back) > 2 and [x for p in back for x in p.column(1).to_pylist()] == [x or b"" for x in texts]
+
+
+def test_pattern_takes_the_longest_match():
+    import pickle
+    import random
+
+    from tokenmill.operators.codec import GreedyTokenizer
+
+    r = random.Random(1)
+    for case in range(60):
+        alphabet = b"ab\n" if case % 2 else b"a.*[^\x00\xff|"
+        word = lambda: bytes(r.choice(alphabet) for _ in range(r.randint(2, 9)))  # noqa: E731, B023
+        rows = [(256 + i, t, "token") for i, t in enumerate({word() for _ in range(r.randint(0, 20))})]
+        t = pickle.loads(pickle.dumps(GreedyTokenizer([*[(i, bytes([i]), "byte") for i in range(256)], *rows, (999, b"", "eot")])))
+        data = b"".join(word() for _ in range(40))
+        assert t.encode_bytes(data) == t.walk(data) and t.decode(t.encode_bytes(data)) == data

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from array import array
+from collections.abc import Iterable, Iterator
 from functools import partial
 from typing import Protocol, runtime_checkable
 
@@ -27,6 +29,28 @@ class TokenizerLike(Protocol):
     def decode(self, ids: list[int]) -> bytes: ...
 
 
+_TRIE = 4_096
+
+
+def _pattern(tokens: Iterable[bytes]) -> bytes:
+    """A pattern that matches the longest of the tokens, or one byte: a trie, in which the branches of a node come before its own end."""
+    root: dict = {}
+    for t in tokens:
+        at = root
+        for x in t:
+            at = at.setdefault(x, {})
+        at[None] = True
+
+    def of(node: dict) -> bytes:
+        branches = [re.escape(bytes([x])) + of(below) for x, below in sorted((x, n) for x, n in node.items() if x is not None)]
+        if not branches:
+            return b""
+        return b"(?:" + b"|".join(branches) + b")" + (b"?" if None in node else b"")
+
+    found = of(root)
+    return found + b"|." if found else b"."
+
+
 class GreedyTokenizer:
     """Longest match from left to right over UTF-8 bytes. Special tokens never match, so decoding always gives the text back."""
 
@@ -41,7 +65,22 @@ class GreedyTokenizer:
         #: Lengths to try, longest first, for each pair of first bytes.
         self.lengths = {k: sorted(v, reverse=True) for k, v in longest.items()}
 
+        #: Patterns of the longest match, for vocabularies that compile to a short program.
+        self._trie = _pattern(self.ids) if len(self.ids) <= _TRIE and max(map(len, self.ids), default=0) <= 64 else None
+        self._find = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_find": None}
+
     def encode_bytes(self, data: bytes) -> list[int]:
+        if self._trie is not None:
+            if self._find is None:
+                self._find, self._id = re.compile(self._trie, re.DOTALL).findall, {bytes([i]): i for i in range(256)} | self.ids
+            return list(map(self._id.__getitem__, self._find(data)))
+        return self.walk(data)
+
+    def walk(self, data: bytes) -> list[int]:
+        """The same, place by place, for vocabularies of any size."""
         out, i, n = [], 0, len(data)
         ids, lengths = self.ids, self.lengths
         while i < n:
@@ -74,20 +113,27 @@ def load_tokenizer(vocab: DataFrame) -> GreedyTokenizer:
     return GreedyTokenizer([(r["token_id"], bytes(r["token"]), r["kind"]) for r in vocab.select("token_id", "token", "kind").orderBy("token_id").collect()])
 
 
+_ENCODED = 1 << 20  # tokens of a batch of encoded or decoded rows, but for a row that has more
+
+
 def _encode(batches: Iterator[pa.RecordBatch], tokenizer, eot: bool) -> Iterator[pa.RecordBatch]:
     t = tokenizer.value
-    first = [t.eot_token] if eot else []
+    head = array("i", [t.eot_token] if eot else [])
     plain = isinstance(t, GreedyTokenizer)
     for b in batches:
-        # as numpy arrays of one batch: a row is a slice of the flat token list
-        ids, offsets = [], [0]
-        for x in b.column(b.num_columns - 1):
-            data = x.as_py() or b""
-            ids += first
-            ids += t.encode_bytes(data) if plain else t.encode(data.decode("utf-8", "replace"))
+        # as flat buffers of a stretch of rows: a row is a slice of one
+        texts, first = b.column(b.num_columns - 1), 0
+        ids, offsets = array("i"), [0]
+        for k in range(b.num_rows):
+            data = texts[k].as_py() or b""
+            ids += head
+            ids.extend(t.encode_bytes(data) if plain else t.encode(data.decode("utf-8", "replace")))
             offsets.append(len(ids))
-        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
-        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([x.is_valid for x in b.column(b.num_columns - 1)]), lists], [*b.schema.names[:-1], "__ok", "tokens"])
+            if len(ids) >= _ENCODED or k == b.num_rows - 1:
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(ids, np.int32)))
+                part = b.slice(first, k + 1 - first)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], part.column(b.num_columns - 1).is_valid(), lists], [*b.schema.names[:-1], "__ok", "tokens"])
+                first, ids, offsets = k + 1, array("i"), [0]
 
 
 def encode(df: DataFrame, tokenizer: TokenizerLike, text: str = "text", eot: bool = False) -> DataFrame:
@@ -111,28 +157,33 @@ def decode_rows(rows: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
     return parts.select(key, F.unhex(F.array_join(F.transform("parts", lambda p: p["hexed"]), "")).alias("data"))
 
 
-_DECODED = 1 << 28  # bytes of a batch of decoded rows
+_DECODED = 1 << 26  # bytes of a batch of decoded rows
 
 
 def _decode(batches: Iterator[pa.RecordBatch], tokens) -> Iterator[pa.RecordBatch]:
-    """The last column, lists of ids, as their bytes: the tokens of all rows are taken at once, and a row is a stretch of their buffer."""
+    """The last column, lists of ids, as their bytes: the tokens of a stretch of rows are taken at once, and a row is a stretch of their buffer."""
     table = pa.array(tokens.value, pa.large_binary())  # ends with an empty token for unknown ids
     sizes = np.diff(np.frombuffer(table.buffers()[1], np.int64, len(table) + 1))
-    for b in batches:
-        lists = b.column(b.num_columns - 1)
-        ids = np.asarray(lists.flatten().fill_null(-1), np.int64)
-        ids[(ids < 0) | (ids >= len(table))] = len(table) - 1
-        ends = np.r_[0, np.cumsum(np.asarray(pc.list_value_length(lists).fill_null(0), np.int64))]
-        at = np.r_[0, np.cumsum(sizes[ids])][ends]
-        first = 0
-        while first < b.num_rows:
-            last = max(first + 1, int(np.searchsorted(at, at[first] + _DECODED, "right")) - 1)
-            taken = table.take(pa.array(ids[ends[first] : ends[last]]))
-            offsets = pa.py_buffer((at[first : last + 1] - at[first]).astype(np.int32))
-            data = pa.Array.from_buffers(pa.binary(), last - first, [None, offsets, taken.buffers()[2]])
-            data = pc.if_else(lists.slice(first, last - first).is_valid(), data, None)
-            yield pa.RecordBatch.from_arrays([*(c.slice(first, last - first) for c in b.columns[:-1]), data], [*b.schema.names[:-1], "data"])
-            first = last
+    for whole in batches:
+        rows = np.r_[0, np.cumsum(np.asarray(pc.list_value_length(whole.column(whole.num_columns - 1)).fill_null(0), np.int64))]
+        begin = 0
+        while begin < whole.num_rows:
+            end = max(begin + 1, int(np.searchsorted(rows, rows[begin] + _ENCODED, "right")) - 1)
+            b, ends = whole.slice(begin, end - begin), rows[begin : end + 1] - rows[begin]
+            begin = end
+            lists = b.column(b.num_columns - 1)
+            ids = np.array(lists.flatten().fill_null(-1), np.int32)
+            ids[(ids < 0) | (ids >= len(table))] = len(table) - 1
+            at = np.r_[0, np.cumsum(sizes[ids])][ends]
+            first = 0
+            while first < b.num_rows:
+                last = max(first + 1, int(np.searchsorted(at, at[first] + _DECODED, "right")) - 1)
+                taken = table.take(pa.array(ids[ends[first] : ends[last]]))
+                offsets = pa.py_buffer((at[first : last + 1] - at[first]).astype(np.int32))
+                data = pa.Array.from_buffers(pa.binary(), last - first, [None, offsets, taken.buffers()[2]])
+                data = pc.if_else(lists.slice(first, last - first).is_valid(), data, None)
+                yield pa.RecordBatch.from_arrays([*(c.slice(first, last - first) for c in b.columns[:-1]), data], [*b.schema.names[:-1], "data"])
+                first = last
 
 
 def decode(encoded: DataFrame, tokenizer: GreedyTokenizer) -> DataFrame:

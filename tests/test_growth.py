@@ -66,3 +66,48 @@ def test_pattern_takes_the_longest_match():
         t = pickle.loads(pickle.dumps(GreedyTokenizer([*[(i, bytes([i]), "byte") for i in range(256)], *rows, (999, b"", "eot")])))
         data = b"".join(word() for _ in range(40))
         assert t.encode_bytes(data) == t.walk(data) and t.decode(t.encode_bytes(data)) == data
+
+
+def test_grams_of_every_size_from_one_sort(spark, monkeypatch):
+    import random
+    from collections import Counter
+
+    import pyarrow as pa
+
+    from tokenmill.operators import ngrams
+
+    r = random.Random(2)
+    texts = [None, "", "a", "ab\x00", "\x00" * 9, "é" * 3, *("".join(r.choice("ab\x00é ") for _ in range(r.randint(0, 40))) for _ in range(150)), None]
+    brute = lambda n: Counter((n, b[i : i + n].hex().upper()) for b in ((t or "").encode() for t in texts) for i in range(len(b) - n + 1))
+    d = documents(spark, texts).repartition(3)
+    for sizes in ((1,), (2, 3), (3, 5), (2, 5, 8), (8,), (7, 4), (1, 2, 3, 4, 5, 6, 7, 8)):
+        got = ngrams.ngram_counts(d, sizes).collect()
+        assert len({(x.n, x.gram) for x in got}) == len(got)
+        assert {(x.n, x.gram): x.freq for x in got} == sum((brute(n) for n in sizes), Counter())
+    # blocks of some bytes, merged and passed on in between
+    monkeypatch.setattr(ngrams, "_BLOCK", 64), monkeypatch.setattr(ngrams, "_HELD", 40), monkeypatch.setattr(ngrams, "_OUT", 7)
+    monkeypatch.setattr(ngrams.flat, "__defaults__", (64,))
+    batch = pa.RecordBatch.from_arrays([pa.array([t and t.encode() for t in texts], pa.binary()).slice(2)], ["b"])
+    parts = list(ngrams._windows(iter([batch]), (2, 3, 5, 8), 4))
+    assert len(parts) > 50
+    got = Counter()
+    for p in ngrams._derived(iter(parts), (2, 3, 5, 8), 4):
+        for n, x, f in zip(*(c.to_pylist() for c in p.columns), strict=True):
+            key = (n, (x % (1 << 64)).to_bytes(8, "big")[8 - n :].hex().upper())
+            assert key not in got
+            got[key] = f
+    assert got == sum((brute(n) for n in (2, 3, 5, 8)), Counter())
+
+
+def test_rows_of_grams_that_are_shuffled():
+    """A task passes on one row for each different window of the largest size, not one for each size and block."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tokenmill.operators import ngrams
+
+    data = np.random.default_rng(3).integers(97, 105, 1 << 16).astype(np.uint8).tobytes()
+    batch = pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["b"])
+    step = ngrams._windows if hasattr(ngrams, "_windows") else None
+    rows = sum(p.num_rows for p in (step(iter([batch] * 8), (4, 5, 6, 7, 8), 4)))
+    assert rows <= len({data[i : i + 8] for i in range(len(data) - 7)}) + 7

@@ -111,3 +111,21 @@ def test_rows_of_grams_that_are_shuffled():
     step = ngrams._windows if hasattr(ngrams, "_windows") else None
     rows = sum(p.num_rows for p in (step(iter([batch] * 8), (4, 5, 6, 7, 8), 4)))
     assert rows <= len({data[i : i + 8] for i in range(len(data) - 7)}) + 7
+
+
+@pytest.mark.parametrize("step", ["records", "steps_once", "val_curve"])
+def test_a_log_run_of_any_size_is_many_tasks(spark, monkeypatch, step):
+    from functools import partial
+
+    from tokenmill.operators import logs
+
+    lines = [(run, i * 3, f"step {i}/9 | train loss {i}.5" if i % 5 in (1, 2) else f"val loss {i}.25" if i % 5 != 4 else f"step {i} val loss {i}.75 train loss 1") for run in ("a", "b", None) for i in range(60)]
+    d = spark.createDataFrame(lines, "run string, line_no long, line string").repartition(4)
+    rows = d if step == "steps_once" else logs.parsed(d)
+    want = getattr(logs, step)(rows)  # one range
+    if hasattr(logs, "ranges"):
+        monkeypatch.setattr(logs, "ranges", partial(logs.ranges, block=7))
+    got = getattr(logs, step)(rows)
+    plan = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [" in x]
+    assert plan and all("__range" in x or "__run" in x for x in plan)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and want.count() > 60

@@ -1,7 +1,7 @@
 """Training logs: parsing, convergence and head-to-head comparison.
 
-Lines are rows ``run, line_no, line``; a run's lines are ordered by number, and every window
-is partitioned by run.
+Lines are rows ``run, line_no, line``; a run's lines are ordered by number. A run of any size is
+many tasks: windows are partitioned by run and by ranges of line numbers.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tokenmill.operators.prefix import ranges, same
+
 # The formats of the trainers' lines; one trainer writes "| train loss", another "| loss".
 TRAIN = r"step\s+(\d+).*(?:train|\|) loss\s+([\d.]+)"
 VAL = r"val loss\s+([\d.]+)"
@@ -32,8 +34,12 @@ def parsed(lines: DataFrame) -> DataFrame:
 
 def val_curve(rows: DataFrame) -> DataFrame:
     """``run, line_no, step, val_loss``: every val line takes the latest train step before it; those before any are dropped."""
-    w = Window.partitionBy("run").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    d = rows.withColumn("at", F.last("step", ignorenulls=True).over(w))
+    d = ranges(rows, "line_no", "__range")
+    latest = d.groupBy(F.col("run").alias("__run"), F.col("__range").alias("__of")).agg(F.max_by("step", F.when(F.col("step").isNotNull(), F.col("line_no"))).alias("__step"))
+    latest = latest.withColumn("__before", F.last("__step", ignorenulls=True).over(Window.partitionBy("__run").orderBy("__of").rowsBetween(Window.unboundedPreceding, -1)))
+    d = d.join(latest, same([("run", "__run"), ("__range", "__of")]))
+    w = Window.partitionBy("run", "__range").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("at", F.coalesce(F.last("step", ignorenulls=True).over(w), "__before"))
     return d.where("val_loss is not null and step is null and at is not null").select("run", "line_no", F.col("at").alias("step"), "val_loss")
 
 
@@ -41,21 +47,30 @@ def final_val(curve: DataFrame) -> DataFrame:
     return curve.groupBy("run").agg(F.max_by("val_loss", "line_no").alias("final_val"), F.max_by("step", "line_no").alias("final_step"))
 
 
+def _opened(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``ordinal``, how many lines of the run up to this one name a step, and ``__last``, how many do in all; those before any are dropped."""
+    d = ranges(rows, "line_no", "__range")
+    steps = d.groupBy(F.col("run").alias("__run"), F.col("__range").alias("__of")).agg(F.count("step").alias("__steps"))
+    w = Window.partitionBy("__run")
+    steps = steps.select("__run", "__of", F.coalesce(F.sum("__steps").over(w.orderBy("__of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"), F.sum("__steps").over(w).alias("__last"))
+    d = d.join(steps, same([("run", "__run"), ("__range", "__of")]))
+    inside = F.count("step").over(Window.partitionBy("run", "__range").orderBy("line_no"))
+    return d.withColumn("ordinal", F.col("__before") + inside).where("ordinal > 0").drop("__range", "__run", "__of", "__before")
+
+
 def records(rows: DataFrame) -> DataFrame:
     """``run, ordinal, step, train_loss, val_loss``: a train line and the first val line behind it; a last train line without one is dropped."""
-    w = Window.partitionBy("run").orderBy("line_no")
-    d = rows.withColumn("ordinal", F.count("step").over(w)).where("ordinal > 0")
+    d = _opened(rows)
     first_val = F.min_by(F.when(F.col("step").isNull(), F.col("val_loss")), F.when(F.col("step").isNull() & F.col("val_loss").isNotNull(), F.col("line_no")))
-    r = d.groupBy("run", "ordinal").agg(F.max("step").alias("step"), F.max(F.when(F.col("step").isNotNull(), F.col("train_loss"))).alias("train_loss"), first_val.alias("val_loss"))
-    last = F.max("ordinal").over(Window.partitionBy("run"))
-    return r.withColumn("__last", last).where("val_loss is not null or ordinal < __last").drop("__last")
+    r = d.groupBy("run", "ordinal").agg(F.max("step").alias("step"), F.max(F.when(F.col("step").isNotNull(), F.col("train_loss"))).alias("train_loss"), first_val.alias("val_loss"), F.max("__last").alias("__last"))
+    return r.where("val_loss is not null or ordinal < __last").drop("__last")
 
 
 def steps_once(lines: DataFrame) -> DataFrame:
     """``run, step, val_loss``: any line that names a step opens it, and the first val line behind it takes it; others are dropped."""
     group = lambda p: F.nullif(F.regexp_extract("line", p, 1), F.lit(""))
     d = lines.select("run", "line_no", group(r"step\s+(\d+)").cast("long").alias("step"), group(VAL).cast("double").alias("val_loss")).where("step is not null or val_loss is not null")
-    d = d.withColumn("ordinal", F.count("step").over(Window.partitionBy("run").orderBy("line_no"))).where("ordinal > 0")
+    d = _opened(d)
     # a line with both takes its own step
     r = d.groupBy("run", "ordinal").agg(F.max("step").alias("step"), F.min_by("val_loss", F.when(F.col("val_loss").isNotNull(), F.col("line_no"))).alias("val_loss"))
     return r.where("val_loss is not null").select("run", "step", "val_loss")

@@ -63,7 +63,7 @@ def _arms(spark, sf):
 
 def convergence(spark, sf):
     r, density = _arms(spark, sf)
-    t = r.select("run").distinct().withColumn("target", F.lit(1.0))
+    t = density.select("run", F.lit(1.0).alias("target"))
     p = logs.consumption(logs.reached(r, t).join(density, "run"), TOTAL_BATCH)
     h = logs.head_to_head(p, "even", "odd")
     return h.select(*[F.round(c, 6).alias(c) for c in ("base_bytes", "base_bpb", "other_bytes", "other_bpb", "ratio", "saving_pct")], "winner")

@@ -129,3 +129,42 @@ def test_a_log_run_of_any_size_is_many_tasks(spark, monkeypatch, step):
     plan = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [" in x]
     assert plan and all("__range" in x or "__run" in x for x in plan)
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and want.count() > 60
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_segments_by_table_are_those_by_place(spark, order):
+    import random
+    from collections import Counter
+
+    import numpy as np
+
+    from tokenmill.operators import bytelm, segment
+
+    r = random.Random(order)
+    texts = [None, "", "a", "ab", "é", "\x00" * 40, *("".join(r.choice("aab\x00é c") * r.randint(1, 3) for _ in range(r.randint(1, 90))) for _ in range(60))]
+    d = documents(spark, texts).repartition(3)
+    lm = bytelm.train_lm(d.where("doc_id % 4 != 0"), order)  # so that triples of the texts are not in the model
+    data = [(t or "").encode() for t in texts]
+    h = Counter(x for t in data for x in lm.surprise(np.frombuffer(t, np.uint8)).tolist())
+    hist = bytelm.surprise_histogram(d, lm)
+    assert {x.h: x.n for x in hist.collect()} == h
+    tau = bytelm.threshold(hist, 0.7)
+    for most in (1, 3, 8, 9, 16, 20):
+        want = Counter(t for x in data for t in segment.chopped(x, lm, tau, most))
+        assert {bytes(x.token): x.freq for x in segment.segment_counts(d, lm, tau, most).collect()} == want
+        one, two = Counter(), Counter()
+        for x in data:
+            s = segment.segments(x, lm, tau)
+            one.update(t for t in s if 2 <= len(t) <= most)
+            two.update(a + b for a, b in zip(s, s[1:]) if len(a) + len(b) <= most)
+        assert {bytes(x.token): x.freq for x in segment.segment_pair_counts(d, lm, tau, most).collect()} == dict((one | two).items())
+
+
+def test_surprise_is_scored_by_gram(spark):
+    """Places of texts are not scored one by one: the scored rows are the different grams."""
+    from tokenmill.operators import bytelm
+
+    d = documents(spark, ["abcabcabd" * 50] * 20)
+    lm = bytelm.train_lm(d)
+    plan = bytelm.surprise_histogram(d, lm)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow partial(gram#" in plan

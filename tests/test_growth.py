@@ -168,3 +168,46 @@ def test_surprise_is_scored_by_gram(spark):
     lm = bytelm.train_lm(d)
     plan = bytelm.surprise_histogram(d, lm)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow partial(gram#" in plan
+
+
+@pytest.mark.parametrize("bits,margin", [(6, True), (3, False), (12, False)])
+def test_most_frequent_grams_without_all_counts(spark, monkeypatch, bits, margin):
+    """The same rows, ties included, as from all counts: also where buckets collide and where the first threshold is too high."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tokenmill.operators import ngrams
+
+    if not margin:
+        monkeypatch.setattr(ngrams, "_threshold", lambda totals, k: int(totals.max()))
+    r = random.Random(bits)
+    words = ["".join(r.choice("ab\x00é ") for _ in range(r.randint(1, 12))) for _ in range(12)]
+    texts = [None, "", "a", *("".join(r.choices(words, range(1, 13), k=r.randint(0, 9))) for _ in range(120))]
+    d = documents(spark, texts).repartition(3)
+    for table, sizes in ((d, (2, 3, 4, 5, 6, 7, 8)), (d, (1, 8)), (d.where("doc_id < 3"), (1, 2, 3)), (d.limit(0), (4,))):
+        counts = ngrams.ngram_counts(table, sizes).persist()
+        for k in (1, 60, 10_000):
+            key = lambda rows: sorted(tuple(x) for x in rows)
+            assert key(ngrams.most_frequent(table, k, sizes, bits=bits).collect()) == key(ngrams.top_grams(counts, k).collect())
+        for k in (20,):
+            assert key(ngrams.most_frequent_per_size(table, k, sizes, bits=bits).collect()) == key(ngrams.top_per_size(counts, k).select("n", "gram", "freq", F.col("rank")).collect())
+        counts.unpersist()
+
+
+def test_rows_of_frequent_grams_do_not_grow_with_the_text(spark):
+    """Only grams of buckets that reach the threshold are shuffled, not every different window."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tokenmill.operators import ngrams
+
+    r = np.random.default_rng(5)
+    text = lambda n: pa.RecordBatch.from_arrays([pa.array([b"frequent " * (n // 90) + r.integers(97, 123, n).astype(np.uint8).tobytes()], pa.binary())], ["b"])
+    rows = []
+    for n in (1 << 17, 1 << 20):
+        batch = text(n)
+        totals = {8: np.concatenate([np.frombuffer(x, f"u{w}") for b in ngrams._bucketed(iter([batch]), (8,), 18) for w, x in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)])}
+        mask = np.packbits(totals[8] >= n // 100).tobytes()
+        rows.append(sum(p.num_rows for p in ngrams._within(iter([batch]), {8: mask}, 18)))
+    assert max(rows) < 200

@@ -93,3 +93,17 @@ def test_the_query_indexes_every_batch_and_compacts(spark, monkeypatch):
     rows = [(i, " ".join(f"w{j % 17 + i}" for j in range(40))) for i in range(60)]
     assert substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).count() == 60
     assert seen == [(3, 1)]
+
+
+def test_few_stretches_stay_open_where_only_short_phrases_are_shared(spark):
+    """Texts of few words share phrases of four by chance; stretches that are the same in no other way are settled at once."""
+    r = random.Random(12)
+    rows = [(i, " ".join(f"w{r.randrange(12)}" for _ in range(80))) for i in range(150)]
+    rows += [(1000 + i, rows[i][1]) for i in range(10)]
+    log = RunLog(spark)
+    dup, new = log.add(keyed(spark.createDataFrame(rows, "doc_id long, text string")))[:2]
+    total = log.runs[0][0].rows().count()
+    assert new.where("kind = 1").count() < 0.1 * total and dup.count() > 50
+    log.close()
+    got = substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x.doc_id: (x.n, x.n_removed, x.kept_sha256) for x in got} == brute(rows)

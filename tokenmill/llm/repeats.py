@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import cache, partial
+from itertools import compress
 from typing import NamedTuple
 
 import numpy as np
@@ -71,7 +72,26 @@ def _byte_units() -> np.ndarray:
 
 def _sums(u: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = _powers(base, 1 << (max(len(u), 2 * _CHUNK) - 1).bit_length())
-    return np.r_[_U(0), np.cumsum(u * up[: len(u)])], down
+    out = np.zeros(len(u) + 1, _U)
+    np.cumsum(u * up[: len(u)], out=out[1:])
+    return out, down
+
+
+def _begins(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before in one of the columns; the first row does."""
+    out = np.ones(len(columns[0]), bool)
+    np.not_equal(columns[0][1:], columns[0][:-1], out=out[1:])
+    for c in columns[1:]:
+        out[1:] |= c[1:] != c[:-1]
+    return out
+
+
+def _lengths(begin: np.ndarray, n: int) -> np.ndarray:
+    """Lengths of the stretches of n rows that begin at ``begin``."""
+    out = np.empty(len(begin), np.int64)
+    np.subtract(begin[1:], begin[:-1], out=out[:-1])
+    out[-1:] = n - begin[-1:]
+    return out
 
 
 def runs(u: np.ndarray, spec: Spec) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -89,8 +109,8 @@ def runs(u: np.ndarray, spec: Spec) -> tuple[np.ndarray, np.ndarray, np.ndarray,
         left = m[:-step] <= m[step:]
         m, at = np.where(left, m[:-step], m[step:]), np.where(left, at[:-step], at[step:])
         width += step
-    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    size = np.diff(np.r_[first, n])
+    first = np.flatnonzero(_begins(at))
+    size = _lengths(first, n)
     q, down = _sums(_mix(u), _B)
     digest = _mix((q[first + size - 1 + spec.window] - q[first]) * down[first] + size.astype(_U))
     return g[at[first]], digest, first, size
@@ -105,7 +125,8 @@ def chunks(data: bytes, spec: Spec) -> Iterator[tuple[int, np.ndarray]]:
         return
     at, rest = 0, np.zeros(0, _U)
     for words in word_blocks(data):
-        u = np.r_[rest, np.fromiter(map(xxhash.xxh64_intdigest, words), _U, len(words))]
+        u = np.fromiter(map(xxhash.xxh64_intdigest, words), _U, len(words))
+        u = np.concatenate([rest, u]) if len(rest) else u
         yield at, u
         rest = u[max(len(u) - over, 0) :]
         at += len(u) - len(rest)
@@ -161,8 +182,8 @@ def _run_rows(batches: Iterator[pa.RecordBatch], spec: Spec) -> Iterator[pa.Reco
                     continue
                 order = np.lexsort((first, d, h))
                 h, d, first, size = h[order], d[order], first[order] + a, size[order]
-                new = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (d[1:] != d[:-1])])
-                count = np.diff(np.r_[new, len(h)]) - 1
+                new = np.flatnonzero(_begins(h, d))
+                count = _lengths(new, len(h)) - 1
                 again = np.ones(len(h), bool)
                 again[new] = False
                 k = len(new)
@@ -289,24 +310,26 @@ def units(data: bytes, spec: Spec):
     return data.split() if spec.words else np.frombuffer(data, np.uint8)
 
 
-def mask_of(n: int, windows: list[tuple[int, int]], spec: Spec) -> np.ndarray:
-    """Which of n units lie in windows, given as (first, number)."""
+def mask_of(n: int, first: np.ndarray, size: np.ndarray, spec: Spec) -> np.ndarray:
+    """Which of n units lie in windows, given by the first one of a stretch and their number."""
     edge = np.zeros(n + 1, np.int64)
-    if windows:
-        first, size = np.array(windows, np.int64).T
+    if len(first):
         np.add.at(edge, first, 1)
-        np.add.at(edge, first + size - 1 + spec.window, -1)
+        np.add.at(edge, first.astype(np.int64) + size - 1 + spec.window, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
-def digest_of(data: bytes, windows: list[tuple[int, int]], spec: Spec, keep: bool) -> tuple[int, int, int, str, bytes | None]:
+def digest_of(data: bytes, first: np.ndarray, size: np.ndarray, spec: Spec, keep: bool) -> tuple[int, int, int, str, bytes | None]:
     """Units, removed units, removed runs, SHA-256 of what is kept, and (if ``keep``) what is kept, without characters that are cut in part."""
     x = units(data, spec)
-    gone = mask_of(len(x), windows, spec)
-    spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()) if len(gone) else 0
-    kept = b" ".join(w for w, g in zip(x, gone, strict=True) if not g) if spec.words else x[~gone].tobytes()
+    if len(first):
+        gone = mask_of(len(x), first, size, spec)
+        n_gone, spans = int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
+        kept = b" ".join(compress(x, (~gone).tolist())) if spec.words else x[~gone].tobytes()
+    else:
+        n_gone, spans, kept = 0, 0, b" ".join(x) if spec.words else data
     rest = kept.decode("utf-8", "ignore").encode() if keep else None
-    return len(x), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), rest
+    return len(x), n_gone, spans, hashlib.sha256(kept).hexdigest(), rest
 
 
 _SPLIT = "kind int, doc_id long, dk long, tk int, text string, known array<int>, h long, sub int, starts array<int>, size int, body binary, n long, n_removed long, n_spans long, kept_sha256 string, kept binary"
@@ -317,45 +340,68 @@ def _with_rest(kinds: str, docs: DataFrame) -> StructType:
     return StructType([*StructType.fromDDL(kinds).fields, StructField("rest", docs.schema["rest"].dataType)])
 
 
+def _flat(lists: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Where each row's values begin and end, and the values of all rows; a null list is empty."""
+    return np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64), lists.flatten()
+
+
 def _split(batches: Iterator[pa.RecordBatch], spec: Spec, keep: bool) -> Iterator[pa.RecordBatch]:
     """Per document: its result if its runs are settled, else the document with what is known, and its pieces."""
     schema = pa.schema([(n, _KINDS[t]) for n, t in (x.rsplit(" ", 1) for x in _SPLIT.split(", "))])
 
-    def flush(rows, at, rest):
-        b = pa.RecordBatch.from_pylist(rows, schema=schema)
-        return pa.RecordBatch.from_arrays([*b.columns, rest.take(pa.array(at, pa.int64()))], [*schema.names, "rest"])
+    def rows_of(kind, n, columns, rest):
+        all_columns = {"kind": pa.array(np.full(n, kind, np.int32)), **columns}
+        return pa.RecordBatch.from_arrays([*(all_columns[f.name].cast(f.type) if f.name in all_columns else pa.nulls(n, f.type) for f in schema), rest], [*schema.names, "rest"])
 
     for b in batches:
-        rows, at, size = [], [], 0
-        found, rests = b.column("found"), b.column("rest")
-        for i, data in enumerate(byte_rows(b.column("text"))):
-            doc_id, dk, tk = (b.column(c)[i].as_py() for c in ("doc_id", "dk", "tk"))
-            known, pieces = [], []
-            for f in found[i].as_py() or []:
-                if f["kind"] == DUP:
-                    known += [(s, f["at"] & 255) for s in f["starts"]]
-                else:
-                    pieces.append(f)
-            if not pieces:
-                n, gone, spans, sha, kept = digest_of(data or b"", known, spec, keep and data is not None)
-                rows.append({"kind": 0, "doc_id": doc_id, "n": n, "n_removed": gone, "n_spans": spans, "kept_sha256": sha, "kept": kept})
-                at.append(i)
-                size += 100 + len(kept or b"")
+        ends, found = _flat(b.column("found"))
+        kind, h, sub, at, starts = found.flatten()
+        kind, at = kind.to_numpy(), at.to_numpy()
+        cuts, first = _flat(starts)
+        first, size = first.to_numpy(), at & 255
+        of_dup, of_size = np.repeat(kind == DUP, np.diff(cuts)), np.repeat(size, np.diff(cuts))
+        doc_id, dk, tk, text, rests = (b.column(c) for c in ("doc_id", "dk", "tk", "text", "rest"))
+
+        def flush(done, results, waiting, known, pieces, owner, bodies):
+            if done:
+                rows = pa.array(done)  # noqa: B023
+                n, gone, spans, sha, kept = zip(*results, strict=True)
+                kept = pa.array(kept, pa.binary())
+                yield rows_of(0, len(done), {"doc_id": doc_id.take(rows), "n": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(sha), "kept": kept}, rests.take(rows))  # noqa: B023
+            if waiting:
+                rows, owners, open_runs = pa.array(waiting), pa.array(np.concatenate(owner)), np.concatenate(pieces)
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, known)]).astype(np.int32)), pa.array(np.concatenate(known).astype(np.int32)))
+                yield rows_of(2, len(waiting), {"doc_id": doc_id.take(rows), "dk": dk.take(rows), "tk": tk.take(rows), "text": text.take(rows), "known": lists}, rests.take(rows))  # noqa: B023
+                take = pa.array(open_runs)
+                yield rows_of(1, len(take), {"dk": dk.take(owners), "tk": tk.take(owners), "h": h.take(take), "sub": sub.take(take), "starts": starts.take(take), "size": pa.array(size[open_runs]), "body": pa.array(bodies, pa.binary())}, pa.nulls(len(take), rests.type))  # noqa: B023
+
+        state, held = ([], [], [], [], [], [], []), 0
+        for i, data in enumerate(byte_rows(text)):
+            done, results, waiting, known, pieces, owner, bodies = state
+            a, z = ends[i], ends[i + 1]
+            dup = of_dup[cuts[a] : cuts[z]]
+            places, sizes = first[cuts[a] : cuts[z]][dup], of_size[cuts[a] : cuts[z]][dup]
+            own = a + np.flatnonzero(kind[a:z] != DUP)
+            if not len(own):
+                results.append(digest_of(data or b"", places, sizes, spec, keep and data is not None))
+                done.append(i)
+                held += 100 + len(results[-1][-1] or b"")
             else:
                 x = units(data, spec) if spec.words else data
-                for f in pieces:
-                    k = f["at"] & 255
-                    part = x[f["at"] >> 8 : (f["at"] >> 8) + k - 1 + spec.window]
-                    rows.append({"kind": 1, "dk": dk, "tk": tk, "h": f["h"], "sub": f["sub"], "starts": f["starts"], "size": k, "body": b" ".join(part) if spec.words else part})
-                    at.append(None)
-                rows.append({"kind": 2, "doc_id": doc_id, "dk": dk, "tk": tk, "text": data.decode(), "known": [y for w in known for y in w]})
-                at.append(i)
-                size += len(data) + 300 * len(pieces)
-            if size > _FLUSH:
-                yield flush(rows, at, rests)
-                rows, at, size = [], [], 0
-        if rows:
-            yield flush(rows, at, rests)
+                for p in own.tolist():
+                    f = int(at[p]) >> 8
+                    part = x[f : f + int(size[p]) - 1 + spec.window]
+                    bodies.append(b" ".join(part) if spec.words else part)
+                    held += len(bodies[-1]) + 60
+                pieces.append(own)
+                owner.append(np.full(len(own), i))
+                waiting.append(i)
+                known.append(np.stack([places, sizes], 1).ravel())
+                held += len(data)
+            if held > _FLUSH:
+                yield from flush(*state)
+                state, held = ([], [], [], [], [], [], []), 0
+        yield from flush(*state)
 
 
 def split(docs: DataFrame, met: DataFrame, spec: Spec, keep: bool) -> DataFrame:
@@ -398,10 +444,15 @@ def _finish(batches: Iterator[pa.RecordBatch], spec: Spec, keep: bool) -> Iterat
 
     for b in batches:
         rows, size, first, rests = [], 0, 0, b.column("rest")
+        ends, known = _flat(b.column("known"))
+        known = known.to_numpy()
+        late_ends, late = _flat(b.column("late"))
+        starts, sizes = late.flatten()
+        cuts, starts = _flat(starts)
+        starts, sizes = starts.to_numpy(), np.repeat(sizes.to_numpy(), np.diff(cuts))
         for i, data in enumerate(byte_rows(b.column("text"))):
-            known, late = b.column("known")[i].as_py(), b.column("late")[i].as_py() or []
-            windows = list(zip(known[::2], known[1::2], strict=True)) + [(s, f["size"]) for f in late for s in f["starts"]]
-            rows.append((b.column("doc_id")[i].as_py(), *digest_of(data, windows, spec, keep)))
+            own, at = known[ends[i] : ends[i + 1]], slice(cuts[late_ends[i]], cuts[late_ends[i + 1]])
+            rows.append((b.column("doc_id")[i].as_py(), *digest_of(data, np.concatenate([own[::2], starts[at]]), np.concatenate([own[1::2], sizes[at]]), spec, keep)))
             size += len(data) if keep else 200
             if size > _FLUSH or i + 1 == b.num_rows:
                 yield flush(rows, rests.slice(first, len(rows)))

@@ -22,7 +22,7 @@ from tokenmill.llm.repeats import DUP, FIRST, MORE, PIECE, RESULT_NAMES, Spec, f
 from tokenmill.llm.texts import prepare
 from tokenmill.scratch import MERGE, Sorted, drop_path, settings, stage
 
-SPEC = Spec(window=13, gram=4, words=True, strict=True)
+SPEC = Spec(window=13, gram=6, words=True, strict=True)
 MAX_RUNS = 2
 BATCHES = 4
 #: Pieces of one gram that one task compares; more meet window by window.
